@@ -112,7 +112,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL
 ), parts AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS d FROM v
 ), scores AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x) AS score
