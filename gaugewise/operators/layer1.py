@@ -79,9 +79,13 @@ def irregular_intervals(flow: DataFrame) -> DataFrame:
 
 
 def timestep_consistency(flow: DataFrame) -> DataFrame:
-    """Irregular steps, rows earlier than the source row before, and their sum (disorder counts once); fewer than two times are not assessed."""
+    """Irregular steps, rows earlier than the source row before, and their sum (disorder counts once); fewer than two times are not assessed.
+
+    Rows without a source position have no order to break.
+    """
     inside = _between_valid(flow)
-    order = inside.withColumn("back", F.col("ts") < F.lag("ts").over(P().orderBy("src_pos"))).groupBy(*KEYS).agg(F.count_if("back").alias("out_of_order_rows"), F.count_distinct("ts").alias("times"))
+    back = F.col("src_pos").isNotNull() & (F.col("ts") < F.lag("ts").over(P().orderBy("src_pos")))
+    order = inside.withColumn("back", back).groupBy(*KEYS).agg(F.count_if("back").alias("out_of_order_rows"), F.count_distinct("ts").alias("times"))
     odd = irregular_intervals(flow).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("irregular"))
     irregular = F.coalesce("irregular", F.lit(0).cast("long"))
     value = irregular + (F.col("out_of_order_rows") > 0).cast("long")
