@@ -92,3 +92,10 @@ ORACLE_SQL = {
  SELECT station_id, layer1_score, CASE WHEN n = 0 THEN 'Not assessable' WHEN 100.0 * layer1_score / mx >= 20 THEN 'Needs review' WHEN 100.0 * layer1_score / mx >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class, {r('100.0 * layer1_score / nullif(mx, 0)')} AS layer1_score_percent, mx AS maximum_assessable_score,
  'Focused' AS assessment_scope, 8 AS enabled_check_count, 9 AS total_composite_check_count, 'step_shift' AS disabled_checks, n AS assessable_checks, {r('100.0 * n / 8')} AS evidence_coverage_percent, un IS NOT NULL AS assessment_incomplete, coalesce(un, '') AS unavailable_checks FROM sc""",
 }
+
+
+def basic_tiers_sql(source: str) -> str:
+    """Tiers of the seven checks other than step shift and epoch drift, spikes not held against events."""
+    body = _TIERS[: _TIERS.index("\n UNION ALL SELECT station_id, 'epoch_drift'")] + ")"
+    body = body.replace("flow_spiky", source).replace("(SELECT * FROM crossed WHERE crosscheck_status <> 'plausible_event_context')", "(SELECT * FROM found WHERE status = 'candidate')")
+    return fx.with_sql([source], record(source) + RUNS + SPIKES + PLATEAUS + body)
