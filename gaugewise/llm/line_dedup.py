@@ -16,6 +16,8 @@ from gaugewise.llm._common import col, fresh
 #: log2 of the registers of a sketch: relative standard error 1.04 / 2**6 = 1.6 %.
 LG_K = 12
 MIN_SITES = 10
+#: Tasks that the occurrences of one boilerplate line are dealt over.
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -62,11 +64,13 @@ def dedup_lines(
         .select(col(doc_id), col(mark), col(site), F.posexplode(F.split(col(text), "\n")).alias(pos, line))
         .select(col(doc_id), col(mark), col(site), col(pos), line_key(col(line)).alias(key))
     )
-    spread = site_spread(lines, key, site, min_sites)
+    # a line that many documents hold is dealt over SALTS tasks; only boilerplate keys are repeated for that
+    (salt,) = fresh(lines, "salt")
+    spread = site_spread(lines, key, site, min_sites).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cuts = (
         lines.where(col(key).isNotNull())
-        .select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key))
-        .join(spread, key, "left_semi")
+        .select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key), F.pmod(F.xxhash64(col(doc_id), col(pos)), F.lit(SALTS)).cast("int").alias(salt))
+        .join(spread, [key, salt], "left_semi")
         .groupBy("id", "mark")
         .agg(F.collect_set(col(pos)).alias(cut))
     )
