@@ -88,6 +88,6 @@ def dedup_lines(
     new = {
         text: F.when(has, F.array_join(pick(kept), "\n")).otherwise(col(text)),
         "n_lines": F.when(col(text).isNull(), 0).otherwise(F.size(array)),
-        "removed_lines": F.when(has, pick(F.array_sort(F.col(f"cuts.`{cut}`")))).otherwise(F.array().cast("array<string>")),
+        "removed_lines": F.when(has, pick(F.sort_array(F.col(f"cuts.`{cut}`")))).otherwise(F.array().cast("array<string>")),
     }
     return left.select(*[(new[c] if c == text else col(c)).alias(c) for c in docs.columns], *[new[c].alias(c) for c in ("n_lines", "removed_lines")])
