@@ -77,7 +77,8 @@ def dedup_lines(
     left = marked.alias("docs").join(
         cuts.alias("cuts"), F.col(f"docs.`{doc_id}`").eqNullSafe(F.col("cuts.id")) & (F.col(f"docs.`{mark}`") == F.col("cuts.mark")), "left"
     )
-    array = F.split(col(text), "\n")
+    # by the table's name: a bare name inside a lambda would mean the new text
+    array = F.split(F.col(f"docs.`{text}`"), "\n")
     every = F.sequence(F.lit(0), F.size(array) - 1)
     kept = F.array_except(every, F.col(f"cuts.`{cut}`"))
     has = F.col(f"cuts.`{cut}`").isNotNull()
