@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm._common import col, fresh
+from gaugewise.llm._common import col, fresh, written
 
 #: log2 of the registers of a sketch: relative standard error 1.04 / 2**6 = 1.6 %.
 LG_K = 12
@@ -22,7 +22,8 @@ SALTS = 32
 
 def line_key(line: Column) -> Column:
     """Hash of a line without outer and repeated blanks; null for a blank line, which is never boilerplate."""
-    plain = F.trim(F.regexp_replace(line, r"[ \t\r\f]+", " "))
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f")
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\f]+", " ")).otherwise(line))
     return F.when(plain != "", F.xxhash64(plain))
 
 
@@ -63,13 +64,14 @@ def dedup_lines(
         marked.where(col(text).isNotNull())
         .select(col(doc_id), col(mark), col(site), F.posexplode(F.split(col(text), "\n")).alias(pos, line))
         .select(col(doc_id), col(mark), col(site), col(pos), line_key(col(line)).alias(key))
+        .where(col(key).isNotNull())
     )
+    lines = written(lines, "lines")  # hashes only; three readers follow
     # a line that many documents hold is dealt over SALTS tasks; only boilerplate keys are repeated for that
     (salt,) = fresh(lines, "salt")
     spread = site_spread(lines, key, site, min_sites).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cuts = (
-        lines.where(col(key).isNotNull())
-        .select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key), F.pmod(F.xxhash64(col(doc_id), col(pos)), F.lit(SALTS)).cast("int").alias(salt))
+        lines.select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key), F.pmod(F.xxhash64(col(doc_id), col(pos)), F.lit(SALTS)).cast("int").alias(salt))
         .join(spread, [key, salt], "left_semi")
         .groupBy("id", "mark")
         .agg(F.collect_set(col(pos)).alias(cut))
