@@ -86,7 +86,8 @@ def dedup_lines(
     has = F.col(f"cuts.`{cut}`").isNotNull()
 
     def pick(places: Column) -> Column:
-        return F.transform(places, lambda i: F.get(array, i))
+        """The lines at these places; the text is cut once, not for each of them."""
+        return F.transform(F.array(array), lambda lines: F.transform(places, lambda i: F.get(lines, i)))[0]
 
     new = {
         text: F.when(has, F.array_join(pick(kept), "\n")).otherwise(col(text)),
