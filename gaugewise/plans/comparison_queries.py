@@ -7,7 +7,7 @@ import re
 from gaugewise.operators import comparison, layer2
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.layer1_queries import dated, r, tidy
-from gaugewise.plans.layer2_queries import BASEFLOW, REPRESENTATIVE, annual_sql, events_sql, yearly_sql
+from gaugewise.plans.layer2_queries import _D, BASEFLOW, REPRESENTATIVE, annual_sql, events_sql, yearly_sql
 
 
 def _flows(s, d):
@@ -78,6 +78,8 @@ m AS (SELECT station_id, CAST(count(*) AS DOUBLE) AS pairwise_valid_days, avg(re
  1 - avg((candidate - reference) * (candidate - reference)) / nullif(var_pop(reference), 0) AS nash_sutcliffe_efficiency, stddev_pop(candidate) / nullif(stddev_pop(reference), 0) AS variability_ratio, avg(candidate) / nullif(avg(reference), 0) AS mean_ratio FROM rk GROUP BY 1),
 k AS (SELECT *, 1 - sqrt(pow(pearson_correlation - 1, 2) + pow(variability_ratio - 1, 2) + pow(mean_ratio - 1, 2)) AS kling_gupta_efficiency FROM m)"""
 _MN = ["pairwise_valid_days", "reference_mean", "candidate_mean", "mean_bias", "mean_absolute_error", "root_mean_squared_error", "percent_bias", "pearson_correlation", "spearman_correlation", "nash_sutcliffe_efficiency", "variability_ratio", "mean_ratio", "kling_gupta_efficiency"]
+_SUMMARIES = ", ".join([""] + [f"d_{p} AS (SELECT station_id, diagnostic, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90, count(x) AS sample_count FROM ("
+    + " UNION ALL ".join(f"SELECT station_id, '{c}' AS diagnostic, CAST({c} AS DOUBLE) AS x FROM {p}_{'annual' if i < 4 else 'events'}" for i, c in enumerate(_D)) + ") GROUP BY 1, 2)" for p in "rc"])
 _JSD = """, bo AS (SELECT station_id, 0 AS side, value FROM flow_region WHERE value IS NOT NULL UNION ALL SELECT station_id, 1 AS side, value FROM flow_candidate WHERE value IS NOT NULL),
 st AS (SELECT station_id, count(*) AS n, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1, min(value) AS low, max(value) AS high, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM bo GROUP BY 1),
 st2 AS (SELECT *, CAST(ceil((high - low) / least(greatest(2 * iqr / pow(n, 1.0 / 3), (high - low) / sqrt(n) / 2), (high - low) / (log2(n) + 1))) AS INTEGER) AS bins FROM st),
@@ -124,6 +126,8 @@ ORACLE_SQL = {
         f"SELECT a.station_id, '{c}' AS metric, {r('a.t')} AS reference_typical_value, {r('b.t')} AS candidate_typical_value, " + ("least(abs(a.t - b.t), 12 - abs(a.t - b.t))" if c in comparison.MONTH_METRICS else r("b.t - a.t")) + " AS difference, a.n AS reference_year_count, b.n AS candidate_year_count FROM "
         + " JOIN ".join(f"(SELECT station_id, {'arg_min(CAST(x AS DOUBLE), struct_pack(p := -same, q := x)) FILTER (WHERE x IS NOT NULL)' if c in comparison.MONTH_METRICS else 'quantile_cont(x, 0.5)'} AS t, count(x) AS n FROM (SELECT station_id, {c} AS x, count({c}) OVER (PARTITION BY station_id, {c}) AS same FROM {p}_annual) GROUP BY 1) {q}" for p, q in (("r", "a"), ("c", "b")))
         + " ON a.station_id = b.station_id" for c in _AM),
+    "c_diag": _BOTH + _SUMMARIES + " SELECT station_id, diagnostic, " + ", ".join(f"{r(f'{t}.{c}')} AS {c}_{side}" for t, side in (("a", "reference"), ("b", "candidate")) for c in ("median", "p10", "p90"))
+    + f", a.sample_count AS sample_count_reference, b.sample_count AS sample_count_candidate, {r('b.median - a.median')} AS median_difference FROM d_r a FULL OUTER JOIN d_c b USING (station_id, diagnostic)",
     "c_jsd": fx.with_sql(["flow_region", "flow_candidate"], _JSD + f" SELECT station_id, {r('value')} AS value FROM jsd"),
     "c_cosine": _BOTH + _COMPONENTS + f" SELECT station_id, {r('value')} AS value, {r('median_bias')} AS median_bias FROM cos_f JOIN med_f USING (station_id)",
     "c_seasonal_cosine": _BOTH + _COMPONENTS + f" SELECT station_id, {r('value')} AS value, {r('median_bias')} AS median_bias FROM sea",
