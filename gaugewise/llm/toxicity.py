@@ -60,9 +60,16 @@ class Machine:
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int = FACTORS, steps: int = 600, rate: float = 0.05, decay: float = 1e-6, seed: int = 0):
-    """w0, w, v by Adam on the weighted logistic loss, with L2 decay; x: rows x terms of 0 and 1."""
+    """w0, w, v by Adam on the weighted logistic loss, with L2 decay; x: rows x terms of 0 and 1.
+
+    Equal rows are taken together, with their weights added and the weighted mean of their labels.
+    """
     rng = np.random.default_rng(seed)
     weight = weight / weight.sum()
+    if x.shape[1]:
+        x, at = np.unique(x, axis=0, return_inverse=True)
+        total = np.bincount(at.ravel(), weight)
+        y, weight = np.bincount(at.ravel(), weight * y) / np.maximum(total, 1e-300), total
     base = float(np.clip((weight * y).sum(), 1e-4, 1 - 1e-4))
     params = [np.array([np.log(base / (1 - base))]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
