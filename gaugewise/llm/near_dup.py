@@ -6,12 +6,15 @@
    hashes them in the order of the text: it is alike for two texts if they share those k-mers and
    keep their order, so it follows edit similarity.
 3. ``ROWS`` sketches make the key of a band. The rows of all bands are sorted by band, key and the
-   following sketches, and each is paired with the ``NEAR`` rows before it that share its key. So a
-   key of any number of documents gives a linear number of pairs, those most alike, and a range
-   partitioning spreads it over tasks.
+   following sketches, and each is paired with the ``NEAR`` rows before it that share its key. That
+   is every pair of a key of up to ``NEAR`` + 1 rows; a range partitioning spreads larger keys over tasks.
 4. Pairs are verified by aligning the sequences of labelled k-mers in the band of diagonals in which
    a pair of the required similarity must lie: matched / (all - matched) >= ``SIMILARITY``.
 5. Classes are the connected components of verified pairs, by large-star and small-star rounds.
+6. A larger key whose rows fall in more than one class goes on in rounds: its row of most links and a
+   share of its rows that grows ``GROWTH``-fold, up to all, are representatives, and every row of
+   another class meets them. Sizes and parity bits of the labelled k-mers refute most pairs without
+   loss, the others are verified. So in the end each pair of a key is in one class, or is refuted.
 """
 
 from __future__ import annotations
@@ -30,6 +33,12 @@ from pyspark.sql import functions as F
 from gaugewise.llm._common import col, fresh, word_bytes, written
 
 K, ELL, BANDS, ROWS, NEAR, SIMILARITY = 5, 2, 24, 2, 2, 0.8
+#: Representatives of a larger key in its first round, and the factor from round to round.
+GROWTH = 16
+#: Tasks that the rows of one key, or the pairs of one representative, are dealt over.
+SALTS = 16
+#: Words of 64 parity bits of a row's labelled k-mers.
+PARITY = 16
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, 4096, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -111,18 +120,28 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return matched / (total - matched) if matched >= need else 0.0
 
 
+def parity(kmers: np.ndarray) -> np.ndarray:
+    """Parity bits of the k-mers' hashes: two sets differ in as many k-mers at least as their bits."""
+    odd = np.bincount((kmers & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(k: int, count: int, ell: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                digest, size, sketch = [], [], []
+                digest, size, sketch, bits = [], [], [], []
                 for x in part.column(1).to_pylist():
                     kmers = labelled_kmers(x, k)
                     digest.append(None if x is None else hashlib.md5(x.encode("utf-8", "replace")).digest())
                     size.append(len(kmers))
                     sketch.append(sketches(kmers, count, ell).tobytes() if len(kmers) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary())], ["id", "digest", "size", "sketch"])
+                    bits.append(parity(kmers) if len(kmers) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                    ["id", "digest", "size", "sketch", "bits"],
+                )
 
     return run
 
@@ -155,7 +174,10 @@ def _banded(bands: int, rows: int):
 
 
 def _neighbours(near: int, least: float):
-    """Pairs of rows of one key at most ``near`` apart (kind 0), and a task's first (1) and last (2) rows."""
+    """Pairs of rows of one key at most ``near`` apart (kind 0), and a task's first (1) and last (2) rows.
+
+    Kind 3: all rows of keys of more than ``near`` + 1 rows, and some others at the task's ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, kept, begun, place = TaskContext.get().partitionId(), None, False, 0
@@ -177,6 +199,7 @@ def _neighbours(near: int, least: float):
             table = {c: batch.column(c).to_numpy() for c in ("band", "key", "id", "size")}
             if not begun:
                 yield edge(1, table, slice(0, near))
+                yield edge(3, table, slice(0, near + 1))
                 begun = True
             if kept is not None:
                 table = {c: np.concatenate([kept[c], table[c]]) for c in table}
@@ -189,15 +212,21 @@ def _neighbours(near: int, least: float):
                 if len(at):
                     x, y = table["id"][at], table["id"][at - d]
                     yield rows(0, np.minimum(x, y), np.maximum(x, y), {c: table[c][at] for c in ("band", "key", "size")}, np.zeros(len(at), dtype=np.int32))
-            kept = {c: table[c][-near:] for c in table}
+            at = np.arange(max(near + 1, old), n)
+            at = at[(table["band"][at] == table["band"][at - near - 1]) & (table["key"][at] == table["key"][at - near - 1])]
+            if len(at):
+                yield edge(3, table, np.unique(np.concatenate([at - d for d in range(near + 2)])))
+            kept = {c: table[c][-near - 1 :] for c in table}
         if kept is not None:
-            yield edge(2, kept, slice(None))
+            yield edge(2, kept, slice(-near, None))
+            yield edge(3, kept, slice(None))
 
     return run
 
 
-def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, near: int = NEAR, least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs a < b of ``signed`` (id, size, sketch) that stand close in the order of some band."""
+def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, near: int = NEAR, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of ``signed`` (id, size, sketch) that stand close in the order of some band; and the
+    rows (band, key, id) of the keys of more than ``near`` + 1 rows, with few of other keys."""
     spark = signed.sparkSession
     banded = signed.where("sketch is not null").select("id", "size", "sketch").mapInArrow(
         _banded(bands, rows), "band int, key long, first int, second int, id long, size int"
@@ -208,7 +237,7 @@ def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, nea
     found = written(ordered.mapInArrow(_neighbours(near, least), "kind int, a long, b long, task int, place int, band int, key long, size int"), "neighbours")
     pairs = found.where("kind = 0").select("a", "b")
     # the last rows of a task and the first of the next that has rows: a few for each task
-    edges = found.where("kind > 0")
+    edges = found.where("kind in (1, 2)")
     turn = Window.orderBy("task", "kind", "place")
     joined = []
     for d in range(1, 2 * near):
@@ -220,7 +249,7 @@ def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, nea
         )
     for more in joined:
         pairs = pairs.unionByName(more)
-    return pairs.where("a <> b").distinct()
+    return pairs.where("a <> b").distinct(), found.where("kind = 3").select("band", "key", F.col("a").alias("id")).distinct()
 
 
 def _verified(k: int, least: float):
@@ -240,7 +269,10 @@ def _verified(k: int, least: float):
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the ``pairs`` whose texts (id, text) align to ``least`` or more."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    # a row that is in many pairs is a, so its text is dealt over SALTS tasks
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    many = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    left = pairs.join(many, ["a", "salt"])
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verified(k, least), "a long, b long, similarity double").where(F.col("similarity") >= least)
 
@@ -268,24 +300,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
 
 
+def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``links`` (a, b) and ``classes`` (id, class_id) with what ``crowded`` (band, key, id) adds: no two rows of one
+    key that are in different classes are alike. ``signed``: id, size, bits."""
+    order = F.xxhash64(F.col("id"), F.lit(1))
+    share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    crowded = written(crowded, "crowded")
+    sizes = crowded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    reps = 1
+    while True:
+        counted = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        told = written(told, "told")
+        keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"))
+        # all rows of a key of up to ``reps`` rows have been representatives
+        keys = keys.where("low < high").join(sizes, ["band", "key"]).where(F.lit(reps == 1) | (F.col("n") > reps)).select("band", "key", "hub", "n")
+        keys = written(keys, "keys")
+        if keys.isEmpty():
+            return links, classes
+        dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
+        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
+        old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
+        turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
+        turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
+        chosen = rows.where(turn | (F.col("id") == F.col("hub"))).select(
+            "band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "class_id", "size", "bits", "place")], (F.col("id") == F.col("hub")).alias("hub_"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"),
+        )
+        total = F.col("size") + F.col("size_")
+        apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+        able = (
+            (F.col("rows.band") == F.col("chosen.band")) & (F.col("rows.key") == F.col("chosen.key")) & (F.col("rows.salt") == F.col("chosen.salt"))
+            & (F.col("class_id") != F.col("class_id_"))
+            & (F.col("hub_") | (F.struct("place", "id") > F.struct("place_", "id_")))  # other pairs have met, or will
+            & (F.least("size", "size_") >= least * F.greatest("size", "size_"))
+            & (apart <= total * ((1 - least) / (1 + least)) + 1e-6)
+        )
+        pairs = written(rows.alias("rows").join(chosen.alias("chosen"), able).select(F.col("id_").alias("a"), F.col("id").alias("b")).distinct(), "met")
+        new = written(verify(pairs, texts, k, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
+        if not new.isEmpty():
+            links = links.unionByName(new).distinct()
+            classes = components(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(new))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, ell: int = ELL, bands: int = BANDS, rows: int = ROWS, near: int = NEAR, least: float = SIMILARITY
 ) -> DataFrame:
     """One row per row of ``docs`` with a key: ``key``, class_id (the least key of its class), n_links.
 
-    n_links: verified links of the row's text to other texts. Equal texts are one class, empty ones
+    n_links: links of the row's text to other texts that were verified; rows of a large class whose
+    class other links show already are not all compared. Equal texts are one class, empty ones
     too; texts without words that differ are not alike. A null text is alone. Rows of a null key
     have no row here. Rows that repeat come as often; rows of one key with different texts are one
     document and fall in one class. Other columns play no part.
     """
     given = docs.where(col(key).isNotNull()).select(col(key).cast("long").alias("id"), col(text).cast("string").alias("text"))
-    signed = written(given.mapInArrow(_signed(k, bands * rows, ell), "id long, digest binary, size int, sketch binary"), "sketches")
+    signed = written(given.mapInArrow(_signed(k, bands * rows, ell), "id long, digest binary, size int, sketch binary, bits array<long>"), "sketches")
     # a null text has no digest, and stands for itself
     copies = signed.groupBy("digest").agg(F.min("id").alias("rep")).where("digest is not null")
     stand = signed.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    pairs = candidate_pairs(stand, bands, rows, near, least)
-    links = written(verify(pairs, given.where("text is not null"), k, least).select("a", "b").distinct(), "verified")
-    classes = components(links)
+    pairs, crowded = candidate_pairs(stand, bands, rows, near, least)
+    texts = given.where("text is not null")
+    links = written(verify(pairs, texts, k, least).select("a", "b").distinct(), "verified")
+    links, classes = crowded_links(crowded, links, components(links), stand, texts, k, least)
     counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(counted, "rep", "left")
     known = known.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -121,3 +121,31 @@ def test_edges(docs_from):
     kept = n.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "5", "7", "8", "9", "None"])
     assert sorted(r.doc_id for r in n.keep_one(docs_from([(1, "x y"), (1, "x y"), (1, None)])).collect()) == [1]
+
+
+def test_a_star_is_one_class(docs_from):
+    rng = random.Random(5)
+    base = text(rng, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):  # three words apart are changed: alike to the original, not to each other
+        w = list(base)
+        for at in (rng.randrange(5, 45), rng.randrange(55, 95), rng.randrange(105, 145)):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sims = [n.aligned_similarity(n.labelled_kmers(rows[0][1]), n.labelled_kmers(t)) for _, t in rows[1:]]
+    apart = [n.aligned_similarity(n.labelled_kmers(rows[i][1]), n.labelled_kmers(rows[i + 1][1])) for i in range(1, 1000)]
+    assert 0.8 <= min(sims) and max(sims) < 0.82 and sum(x > 0 for x in apart) < 100
+    family = text(rng, 150).split()
+    # a template without its original: all pairs share keys, none is alike
+    rows += [(2000 + i, " ".join(f"f{i}x{j}" if j % 30 == 7 else w for j, w in enumerate(family))) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(docs_from(rows)).collect()}
+    assert {got[i] for i in range(1001)} == {0} and all(got[2000 + i] == 2000 + i for i in range(60))
+
+
+def test_parity_refutes_without_loss():
+    rng = random.Random(6)
+    for _ in range(200):
+        a = text(rng, rng.randrange(5, 400))
+        x, y = n.labelled_kmers(a), n.labelled_kmers(edited(rng, a, rng.randrange(0, 30)))
+        differ = len(np.setxor1d(x, y))
+        assert sum(int(v).bit_count() for v in (n.parity(x) ^ n.parity(y)).view(np.uint64)) <= differ
