@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sources are cut; every document stays."""
-    return _sized(line_dedup.dedup_lines(docs).drop("n_lines", "removed_lines"))
+    """Lines on many sources are cut; every document stays. Copies of one text count as one source."""
+    return _sized(line_dedup.dedup_lines(docs, by_text=True).drop("n_lines", "removed_lines"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

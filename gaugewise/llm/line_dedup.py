@@ -48,14 +48,15 @@ def site_spread(lines: DataFrame, key: str, site: str, min_sites: int, lg_k: int
 
 
 def dedup_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id"
+    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", by_text: bool = False
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text``, and what was cut.
 
     New columns: ``n_lines`` int, ``removed_lines`` array of the cut lines in their order. All other
     columns and all rows stay. A null text stays null with 0 lines; an empty text is one blank line;
     rows that repeat count as one site each time; input columns called n_lines or removed_lines are
-    replaced.
+    replaced. ``by_text``: all copies of one text stand on one site, the least of theirs, so that a
+    document does not lose its lines for being copied to many sites.
     """
     docs = docs.drop("n_lines", "removed_lines")
     mark, pos, line, key, cut = fresh(docs, "text_mark", "line_pos", "line", "line_key", "cut_lines")
@@ -69,7 +70,8 @@ def dedup_lines(
     lines = written(lines, "lines")  # hashes only; three readers follow
     # a line that many documents hold is dealt over SALTS tasks; only boilerplate keys are repeated for that
     (salt,) = fresh(lines, "salt")
-    spread = site_spread(lines, key, site, min_sites).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sited = lines.groupBy(col(key), col(mark)).agg(F.min(F.coalesce(col(site).cast("string"), F.lit("\0"))).alias(site)) if by_text else lines
+    spread = site_spread(sited, key, site, min_sites).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cuts = (
         lines.select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key), F.pmod(F.xxhash64(col(doc_id), col(pos)), F.lit(SALTS)).cast("int").alias(salt))
         .join(spread, [key, salt], "left_semi")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gaugewise.llm import line_dedup
 
 
@@ -43,3 +44,10 @@ def test_edges(docs_from, spark):
     assert len(got) == 7 and all(r.line == "keep" and r.text_mark == 5 for r in got)
     by = sorted((str(r.doc_id), r.text if r.text is None else r.text[:9], r.n_lines, r.removed_lines) for r in got)
     assert by == [("1", None, 0, []), ("2", "", 1, []), ("3", "q", 2, ["x"]), ("3", "z", 2, ["x"]), ("3", "z", 2, ["x"]), ("4", "l0\nl1\nl2\n", 50_001, ["x"]), ("None", "y", 2, ["x"])]
+
+
+def test_the_pipeline_keeps_a_copied_text(docs_from, spark, sf):
+    copied = "\n".join(f"a line of the copied text {i}" for i in range(30)) + "\nboilerplate"
+    rows = [(i, copied, "en", f"copy{i}") for i in range(20)] + [(100 + i, f"own {i}\nboilerplate", "en", f"site{i}") for i in range(10)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs_from(rows), sf).collect()}
+    assert all(got[i] == copied.removesuffix("\nboilerplate") for i in range(20)) and all(got[100 + i] == f"own {i}" for i in range(10))
