@@ -12,6 +12,7 @@ merged into spans of words. The text is read once, and no text is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,13 @@ def _scan(shared, at_text: int, clean: bool, again: bool, shard_words: int):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, text, spans: the texts without their spans."""
+    for batch in batches:
+        texts = [cut_spans(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.schema.field(1).type)], ["row", "text"])
+
+
 def _blocks(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int):
     """The benchmark's windows in blocks of bounded size, each collected by itself."""
     rows = benchmark.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), col(text).cast("string").alias("text")).where("text is not null")
@@ -314,11 +322,21 @@ def decontaminate(
     """``docs`` with every occurring window cut out of ``text``; cuts repeat until none occurs.
 
     All rows and columns stay; texts without hits are untouched, nulls stay null, and a text that is
-    nothing but hits keeps only its signs. Between passes over the blocks of a larger benchmark the
-    text is written.
+    nothing but hits keeps only its signs. Over the blocks of a larger benchmark, the spans of all
+    blocks are found on one text before any is cut, and what was cut is searched again by all blocks.
     """
-    spark, at, out = docs.sparkSession, docs.columns.index(text), docs
-    for shared, last in _blocks(spark, benchmark, item_id, item_text, window, block_bytes):
-        out = out.mapInArrow(_scan(shared, at, True, False, shard_words), docs.schema)
-        out = out if last else written(out, "decontaminated")
-    return out
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    shared, last = next(_blocks(spark, benchmark, item_id, item_text, window, block_bytes))
+    if last:
+        return docs.mapInArrow(_scan(shared, at, True, False, shard_words), docs.schema)
+    todo = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(text).alias("text"))
+    done = []
+    while True:
+        found = written(find_contamination(todo, benchmark, window, "text", item_id, item_text, block_bytes, shard_words), "contamination")
+        done.append(found.where("n_hit = 0").select("row", "text"))
+        hit = found.where("n_hit > 0").select("row", "text", "spans")
+        if hit.isEmpty():
+            break
+        todo = written(hit.mapInArrow(_cut, todo.schema), "decontaminated")
+    out = reduce(DataFrame.unionByName, done)
+    return out.select(*[(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -86,3 +86,20 @@ def test_edges(spark, docs_from):
     assert d.find_contamination(df, empty).agg(F.sum("n_hit")).first()[0] == 0 and d.find_contamination(docs_from([]), bench).count() == 0
     cut = {str(r.doc_id): r.text for r in d.decontaminate(docs_from([(1, "a alpha x beta b"), (2, "alpha gamma delta beta c"), (3, None)]), bench).collect()}
     assert cut["1"] == "a alpha x beta b" and words(cut["2"]) == ["c"] and cut["3"] is None
+
+
+def test_blocks_do_not_change_results(spark, docs_from):
+    bench, rows = [], []
+    for k in range(6):
+        w = [f"k{k}w{i}" for i in range(36)]
+        bench += [(f"a{k}", " ".join(w[:30])), (f"b{k}", " ".join(w[20:35]))]  # they overlap in a text
+        rows.append((k, "before " + " ".join(w) + " after"))
+        bench += [(f"c{k}", " ".join(f"k{k}c{i}" for i in range(12))), (f"d{k}", " ".join(f"k{k}d{i}" for i in range(12)))]
+        inner, outer = ([f"k{k}{x}{i}" for i in range(12)] for x in "cd")
+        rows.append((100 + k, " ".join(outer[:6] + inner + outer[6:]) + " x"))  # a cut brings a window together
+        rows.append((200 + k, " ".join(inner[:6] + outer + inner[6:]) + " x"))
+    docs, bench = docs_from([*rows, (900, None), (901, "")]).withColumn("spans", F.lit("mine")), spark.createDataFrame(bench, "item_id string, text string")
+    one = {r.doc_id: r.text for r in d.decontaminate(docs, bench).collect()}
+    out = d.decontaminate(docs, bench, block_bytes=400)
+    assert out.columns == docs.columns and {r.spans for r in out.collect()} == {"mine"}
+    assert {r.doc_id: r.text for r in out.collect()} == one and all(words(one[k]) == ["before", f"k{k}w35", "after"] and words(one[100 + k]) == words(one[200 + k]) == ["x"] for k in range(6))
