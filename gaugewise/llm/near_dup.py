@@ -307,21 +307,21 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     crowded = written(crowded, "crowded")
-    sizes = crowded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     reps = 1
     while True:
         counted = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         told = written(told, "told")
-        keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"))
+        keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"), F.count(F.lit(1)).alias("n"))
         # all rows of a key of up to ``reps`` rows have been representatives
-        keys = keys.where("low < high").join(sizes, ["band", "key"]).where(F.lit(reps == 1) | (F.col("n") > reps)).select("band", "key", "hub", "n")
+        keys = keys.where("low < high").where(F.lit(reps == 1) | (F.col("n") > reps)).select("band", "key", "hub", "n")
         keys = written(keys, "keys")
         if keys.isEmpty():
             return links, classes
         dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
         rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
+        crowded = rows.select("band", "key", "id").distinct()  # a key that is settled stays so
         old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
         turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
