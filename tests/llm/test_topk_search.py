@@ -34,18 +34,32 @@ def test_against_brute_force(spark, kind):
     x = {"normal": rng.normal(0, 0.12, (400, 64)), "ties": rng.integers(-1, 2, (400, 3)) / 64, "wide": rng.normal(0, 1e4, (200, 8)), "clusters": np.repeat(rng.normal(0, 0.2, (8, 16)), 50, 0)}[kind]
     rows = [(i, r.tolist()) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for how in ({}, {"candidate_block": 60, "query_block": 7, "lists": 3}):
+    for how in ({}, {"candidate_block": 60, "query_block": 7}):
         assert got(df, 20, **how) == brute(rows, 20)
 
 
 def test_reading_stops_early():
+    """On skewed vectors most queries stop before the lists' end, and what they give is exact."""
     rng = np.random.default_rng(0)
-    parts = rng.normal(0, 100, (4, 4000)).astype(np.int16)
-    parts[:, 7] = 900
-    able, depth = t.aggregate_lists(parts, 1, 50)
-    assert 7 in able and depth < 4000 and len(able) < 200
-    best = set(np.argsort(-parts.sum(0, dtype=int))[:25])
-    assert best <= set(t.aggregate_lists(parts, 25, 50)[0].tolist())
+    v = np.floor(np.exp(rng.normal(0, 1.5, (4000, 6)))).astype(np.int64)  # few large entries
+    ids, q = np.arange(4000), v[::20] * rng.choice([1, -1], (200, 1), p=[0.8, 0.2])
+    depths = []
+    for query, best, scores, depth in t.block_top_k(ids[::20], q, ids, v, 10):
+        full = v @ q[query // 20]
+        want = sorted((-int(s), i) for i, s in enumerate(full) if i != query)[:10]
+        assert [(-int(s), int(i)) for s, i in zip(scores, best, strict=True)] == want
+        depths.append(depth)
+    assert len(depths) == 200 and np.mean(np.asarray(depths) < 4000) > 0.6 and min(depths) <= 1000
+
+
+def test_bounds_hold_at_any_depth():
+    rng = np.random.default_rng(1)
+    v, q = rng.integers(-50, 50, (300, 5)), rng.integers(-50, 50, (40, 5))
+    lists, exact = t.SortedLists(v, 50), q @ v.T
+    for depth in (1, 10, 150, 299, 300):
+        lower, upper = lists.bounds(q, depth)
+        assert (lower <= exact).all() and (exact <= upper).all()
+    assert (lower == exact).all() and (upper == exact).all()
 
 
 def test_edges(spark):
