@@ -15,7 +15,7 @@ WORD_TABLE = bytes(
     (b + 32 if 0x41 <= b <= 0x5A else b) if (b + 32 if 0x41 <= b <= 0x5A else b) in _KEPT else 0x20
     for b in range(256)
 )
-LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -23,6 +23,11 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split() if text else []
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter is what Unicode calls one: not a numeral such as a superscript, a fraction or a Roman number sign."""
+    return bool(text) and any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -44,12 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, the warehouse's folder, which they share too; a temporary one only where the
+    master is local and there is but one machine.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         where = spark.sparkContext.getCheckpointDir()
     if where is None:
-        where = tempfile.mkdtemp(prefix="checkpoint-")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        where = tempfile.mkdtemp(prefix="checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -73,5 +83,3 @@ def drop_written(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-

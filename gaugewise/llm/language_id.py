@@ -13,13 +13,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewise.llm._common import LETTER, col
+from gaugewise.llm._common import col, has_letter
 
 DIMS = 1 << 13
+#: Bytes of text whose n-grams are counted at once: what a task holds does not grow with a text.
+CHUNK = 1 << 20
 #: Training takes at most this many texts of each language, those of the lowest hash.
 SAMPLE_PER_LANGUAGE = 1000
 # Families of languages by ISO 639-1 code; any other language is a family by itself.
@@ -40,25 +42,39 @@ FAMILY = {language: family for family, languages in FAMILIES.items() for languag
 _LETTERS = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 0x20 for b in range(256))
 
 
-def features(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
+def features(texts: list[str | None], dims: int = DIMS, chunk: int = CHUNK) -> np.ndarray:
     """Rows of length 1 (0 for texts without a letter)."""
     data = [f" {t.lower()} ".encode("utf-8", "replace").translate(_LETTERS) if t else b"" for t in texts]
-    sizes = np.asarray([len(x) for x in data])
-    b = np.frombuffer(b"".join(data) + bytes(2), dtype=np.uint8).astype(np.int64)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    base = np.repeat(np.arange(len(texts)) * dims, sizes)
-    n = len(ends)
-    here, code, shift = np.arange(n), np.zeros(n, dtype=np.int64), 32 - (dims.bit_length() - 1)
-    places = []
-    for size in (1, 2, 3):
-        code = code << 8 | b[size - 1 : size - 1 + n]
-        place = base + (((code + (size << 24)) * 2654435761 & 0xFFFFFFFF) >> shift)
-        places.append(place[here + size <= ends])
-    out = np.sqrt(np.bincount(np.concatenate(places), minlength=len(texts) * dims).reshape(len(texts), dims).astype(np.float32))
+    ends = np.cumsum([len(x) for x in data])
+    b = np.frombuffer(b"".join(data) + bytes(2), dtype=np.uint8)
+    out, shift = np.zeros(len(texts) * dims, dtype=np.float32), 32 - (dims.bit_length() - 1)
+    for at in range(0, len(b) - 2, chunk):
+        here = np.arange(at, min(at + chunk, len(b) - 2))
+        text = np.searchsorted(ends, here, side="right")
+        code, places = np.zeros(len(here), dtype=np.int64), []
+        for size in (1, 2, 3):
+            code = code << 8 | b[here + size - 1]
+            place = text * dims + (((code + (size << 24)) * 2654435761 & 0xFFFFFFFF) >> shift)
+            places.append(place[here + size <= ends[text]])
+        out += np.bincount(np.concatenate(places), minlength=len(out))
+    out = np.sqrt(out.reshape(len(texts), dims))
     norm = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
     return out / np.where(norm > 0, norm, 1)
 
 
+def slices(column: pa.Array, rows: int = 64, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of few rows and few bytes; a longer text is a slice by itself."""
+    start, held = 0, 0
+    for i, x in enumerate(column):
+        n = len(x.as_buffer()) if x.is_valid else 0
+        if i > start and (i - start == rows or held + n > size):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(column) > start:
+        yield start, len(column) - start
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """A linear machine for y in {-1, 1}: squared hinge loss, classes balanced, accelerated gradient."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
@@ -106,7 +122,7 @@ class Machine:
         return best, sure[np.arange(len(x)), best]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        seen = np.asarray([bool(t and LETTER.search(t)) for t in texts], dtype=bool)
+        seen = np.asarray([has_letter(t) for t in texts], dtype=bool)
         out, score = ["und"] * len(texts), np.zeros(len(texts))
         if not self.languages or not seen.any():
             return out, score
@@ -129,25 +145,32 @@ def train(docs: DataFrame, use: Column | None = None, text: str = "text", lang:
 
     ``use``: which rows may be learned from. At most ``sample_per_language`` texts of each language
     are taken, by the hash of the text, repeated texts once; what is collected is their features.
+    One scan finds the hashes, each task keeping few of a language, another reads those texts.
     """
     rows = docs.where(F.lit(True) if use is None else use).where(col(text).isNotNull() & col(lang).isNotNull())
-    rows = rows.select(col(lang).cast("string").alias("lang"), col(text).cast("string").alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    parts = []
-    for language in languages:  # the least hashes; a hash at the edge takes its ties along
-        mine = rows.where(F.col("lang") == language).select("lang", "text", F.xxhash64("text").alias("mark"))
-        parts.append(mine.select("mark").distinct().orderBy("mark").limit(sample_per_language).select("mark", F.lit(language).alias("lang")))
-    if not parts:
-        return Machine([])
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["mark", "lang"])
+    rows = rows.select(F.xxhash64(col(text)).alias("mark"), col(lang).cast("string").alias("lang"), col(text).cast("string").alias("text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's least hashes of each language: at most ``sample_per_language``, each once."""
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            ok = np.asarray([has_letter(x.as_py()) for x in batch.column(2)], dtype=bool)
+            marks, langs = batch.column(0).to_numpy()[ok], np.asarray(batch.column(1).to_pylist(), dtype=object)[ok]
+            for language in set(langs):
+                mine = np.concatenate([held.get(language, marks[:0]), marks[langs == language]])
+                held[language] = np.unique(mine)[:sample_per_language]
+        names = [k for k, v in held.items() for _ in v]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held.values(), np.zeros(0, np.int64)])), pa.array(names, pa.string())], ["mark", "lang"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = rows.mapInArrow(least, "mark long, lang string").distinct().withColumn("place", place).where(F.col("place") <= sample_per_language)
+    # at most sample_per_language hashes of each language
+    sample = rows.join(F.broadcast(chosen.select("mark", "lang")), ["mark", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i, n in slices(batch.column(2)):
+                part = batch.slice(i, n)
                 x = features(part.column(2).to_pylist())
                 places = [np.flatnonzero(r).astype("<u2").tobytes() for r in x]
                 values = [r[r > 0].astype("<f2").tobytes() for r in x]
@@ -186,8 +209,8 @@ def identify(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for i, n in slices(batch.column(at)):
+                part = batch.slice(i, n)
                 language, score = shared.value.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(language, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
 

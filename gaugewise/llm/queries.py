@@ -51,7 +51,7 @@ FROM cleaned
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     machine = language_id.train(docs, use=~held)
     return language_id.identify(docs.select("doc_id", "text"), machine).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
@@ -95,7 +95,7 @@ FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id LEFT JOIN named ON d
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     machine = toxicity.train(docs, labels, use=~held)
     out = toxicity.score(docs.select("doc_id", "text"), machine)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
