@@ -1,64 +1,49 @@
 """Packing: cost-balanced sequences of at most ``capacity`` tokens.
 
 A document's token ids are cut into pieces of ``capacity``, each a sequence by itself; the piece
-that is left is packed with those of other documents. A task packs windows of at least
-``window_tokens`` such tokens: sequences get capacities that add up to exactly the window's tokens
-(full ones, and powers of two for what is over, which need no padding). Pieces go in descending
-cost, linear * length + quadratic * length**2, each to the sequence of lowest cost that can hold it;
-if none can, the sequence of lowest cost that has room left takes what it can, and the rest goes on.
-Everything happens inside the task that tokenises: no shuffle, and a lost task is redone by itself.
+that is left is packed with those of other documents. Documents are dealt over windows of about
+``window_bytes`` of text by the hash of key and text, so that neither windows nor sequences depend on
+files or partitions. A window's sequences get capacities that add up to exactly its tokens: full
+ones, and powers of two for what is over, which need no padding. Its pieces come in descending cost,
+linear * length + quadratic * length**2, each to the sequence of lowest cost that can hold it; if none
+can, the sequence of lowest cost that has room left takes what it can, and the rest goes on.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm._common import col
-from gaugewise.llm.token_count import ODD, SPECIAL, tokenizer
+from gaugewise.llm._common import col, fresh
+from gaugewise.llm.token_count import pre_tokens, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
-WINDOW_TOKENS = 1 << 22
+#: Text of a window, on average: a million tokens, some 500 sequences.
+WINDOW_BYTES = 4 << 20
 #: Cost of a piece: LINEAR * n + QUADRATIC * n * n. Attention costs as much as the rest at 4096 tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+#: Pre-tokens whose ids a worker remembers.
+REMEMBERED = 1 << 18
 
-_fast: dict = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
-def _ranked(json_path: str):
-    """The same vocabulary and merges as ranks, which encode faster; None if there is no such file."""
-    if json_path not in _fast:
-        import base64
-        from pathlib import Path
-
-        ranks = Path(re.sub(r"\.json$", ".tiktoken", json_path))
-        if ranks == Path(json_path) or not ranks.exists():
-            _fast[json_path] = None
-        else:
-            import tiktoken
-
-            lines = [line.split() for line in ranks.read_bytes().splitlines() if line]
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            _fast[json_path] = tiktoken.Encoding(
-                "ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={SPECIAL: tokenizer(json_path).token_to_id(SPECIAL)}
-            )
-    return _fast[json_path]
-
-
-def token_ids(text: str, path: str) -> np.ndarray:
-    """A text's ids as the library gives them without added special tokens."""
-    fast = None if ODD.search(text) else _ranked(path)
-    if fast is not None:
-        return np.asarray(fast.encode(text, allowed_special="all", disallowed_special=()), dtype="<u4")
-    return np.asarray(tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """The texts' ids as the library gives them without added special tokens; each new pre-token is encoded once."""
+    known = _known.setdefault(path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    cut = [pre_tokens(t or "", path) for t in texts]
+    new = list({p for c in cut for p in c if p not in known})
+    for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
+        known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+    return [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4") for c in cut]
 
 
 def cost(n, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -93,11 +78,26 @@ _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
 DDL = "`start` long, `length` long, `ids` binary, `doc_tokens` long, `sequence_id` long, `offset` long"
 
 
-def _packed(path: str, capacity: int, end_id: int, window: int, names: list[str], digest: bool):
+def _encoded(path: str, end_id: int, names: list[str]):
+    """key, window, mark and text to key, window, mark, tokens and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.asarray([end_id], dtype="<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [x.tobytes() + end for x in token_ids(part.column(3).to_pylist(), path)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+
+    return run
+
+
+def _packed(capacity: int, most: int, names: list[str], digest: bool):
+    """Pieces of the rows of whole windows, which come one after another in descending order of tokens left over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 40  # sequences of a task: this and up
         waiting: list[tuple] = []  # key, start, ids, tokens of the document
-        held, rows = 0, []
+        window, sequence, held, rows, kind = None, 0, 0, [], None
 
         def give(key, start, ids, total, sequence, offset):
             data = ids.tobytes()
@@ -112,49 +112,58 @@ def _packed(path: str, capacity: int, end_id: int, window: int, names: list[str]
             waiting.clear()
             held = 0
 
-        def batch_of(kind) -> pa.RecordBatch:
+        def batch_of() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, (_, t) in zip(columns[1:], _FIELDS, strict=True))], names)
 
-        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, x in zip(batch.column(0), batch.column(1), strict=True):
-                key, ids = key.as_py(), token_ids(x.as_py() or "", path)
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for key, own, data in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(4), strict=True):
+                if own != window or held >= most:  # rows alike in key and text may fill a window beyond measure
+                    flush()
+                    sequence = sequence if own == window else own << 32
+                    window = own
+                ids = np.frombuffer(data.as_buffer(), dtype="<u4")
                 whole = len(ids) // capacity * capacity
                 for at in range(0, whole, capacity):
-                    give(key, at, ids[at : at + capacity], len(ids), sequence, 0)
+                    give(key.as_py(), at, ids[at : at + capacity], len(ids), sequence, 0)
                     sequence += 1
                 if whole < len(ids):
-                    waiting.append((key, whole, ids[whole:].copy(), len(ids)))
+                    waiting.append((key.as_py(), whole, ids[whole:].copy(), len(ids)))
                     held += len(ids) - whole
-                if held >= window:
-                    flush()
                 if len(rows) >= 2000:
-                    yield batch_of(kind)
+                    yield batch_of()
         if kind is not None:
             flush()
-            yield batch_of(kind)
+            yield batch_of()
 
     return run
 
 
 def pack_documents(
     docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id",
-    window_tokens: int = WINDOW_TOKENS, digest: bool = False,
+    window_bytes: int = WINDOW_BYTES, digest: bool = False,
 ) -> DataFrame:
     """One row per piece: ``key``, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``path``: the tokenizer's file. A document's tokens are its ids and then ``end_id``; ids are
     unsigned 32-bit little-endian, with ``digest`` their CRC-32 (4 bytes, big-endian) instead. A
     null text counts as empty: one token. Each row is a document, repeated keys and null keys
-    included. An empty table has no pieces. Every sequence is full or as long as a power of two.
+    included; rows alike in key and text are interchangeable. An empty table has no pieces. Every
+    sequence is full or as long as a power of two. The same rows give the same sequences in any layout.
     """
     names = [key, *(n for n, _ in _FIELDS)]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(col(key), col(text).cast("string")).mapInArrow(_packed(path, capacity, end_id, window_tokens, names, digest), f"`{key}` {kind}, {DDL}")
+    total = docs.agg(F.sum(F.octet_length(col(text).cast("string")) + 1)).first()[0] or 0
+    windows = max(1, round(total / window_bytes))
+    window, mark, tokens, ids = fresh(docs.select(col(key)), "window", "mark", "tokens", "token_ids")
+    hashed = F.xxhash64(col(key).cast("string"), col(text))
+    given = docs.select(col(key), F.pmod(hashed, F.lit(windows)).alias(window), hashed.alias(mark), col(text).cast("string").alias("text"))
+    encoded = given.mapInArrow(_encoded(path, end_id, [key, window, mark, tokens, ids]), f"`{key}` {kind}, `{window}` long, `{mark}` long, `{tokens}` long, `{ids}` binary")
+    left = col(tokens) % capacity
+    dealt = encoded.repartition(col(window)).sortWithinPartitions(col(window), left.desc(), col(mark))
+    return dealt.mapInArrow(_packed(capacity, 2 * window_bytes, names, digest), f"`{key}` {kind}, {DDL}")
 
 
 def id_digest(column: str = "ids"):

@@ -63,7 +63,7 @@ def back(df):
 def test_round_trip(docs_from, sample):
     rows = [(None, None), (1, ""), (2, "long text " * 30_000), (3, "<|endoftext|> 日本"), (4, "x y")]
     df = docs_from(rows).unionByName(sample.withColumn("doc_id", F.col("doc_id") + 1000)).withColumn("offset", F.lit("mine")).withColumn("ids", F.lit("mine"))
-    pieces, _ = back(packing.pack_documents(df, PATH, window_tokens=20_000))
+    pieces, _ = back(packing.pack_documents(df, PATH, window_bytes=60_000))
     assert len(pieces) == df.count()
     for r in df.collect():
         want = [*TOK.encode(r.text or "", add_special_tokens=False).ids, 1]
@@ -85,3 +85,28 @@ def test_repeated_and_empty(docs_from):
     assert packing.pack_documents(docs_from([]), PATH).count() == 0
     got = packing.pack_documents(docs_from([(1, "same text")] * 3), PATH).collect()
     assert sum(r.length for r in got) == 3 * got[0].doc_tokens
+
+
+def test_layout_does_not_matter(docs_from, sample):
+    """Other files, partitions and order give the same sequences."""
+    def rows(df):
+        return sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset, bytes(r.ids)) for r in packing.pack_documents(df, PATH, window_bytes=50_000).collect())
+
+    a = rows(sample)
+    assert a == rows(sample.repartition(7, "source")) == rows(sample.orderBy(F.desc("doc_id")).coalesce(1))
+    assert len({r[3] >> 32 for r in a}) > 5
+
+
+def test_ids_are_the_librarys(sample):
+    texts = [r.text for r in sample.collect()] + ["<|endoftext|>a", "日本 \u3000x", "", None, "a\r\n  b\t'll ½", "\x85 \u200b"]
+    for t, got in zip(texts, packing.token_ids(texts, PATH), strict=True):
+        assert got.tolist() == TOK.encode(t or "", add_special_tokens=False).ids
+
+
+def test_a_window_of_repeated_rows_is_cut(docs_from):
+    got = packing.pack_documents(docs_from([(1, "same text")] * 300), PATH, window_bytes=100).collect()
+    assert sum(r.length for r in got) == 300 * got[0].doc_tokens
+    room = defaultdict(int)
+    for r in got:
+        room[r.sequence_id] += r.length
+    assert len({r.sequence_id >> 32 for r in got}) == 1 and all(n == 2048 or n & (n - 1) == 0 for n in room.values())
