@@ -74,12 +74,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once nothing reads them any more; other frames stay."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

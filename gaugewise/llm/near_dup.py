@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewise.llm._common import col, fresh, word_bytes, written
+from gaugewise.llm._common import col, drop_written, fresh, word_bytes, written
 
 K, ELL, BANDS, ROWS, NEAR, SIMILARITY = 5, 2, 24, 2, 2, 0.8
 #: Representatives of a larger key in its first round, and the factor from round to round.
 GROWTH = 16
 #: Tasks that the rows of one key, or the pairs of one representative, are dealt over.
 SALTS = 16
+#: A text of this many copies or more, and of a share of all rows above 1 / HOT_TEXTS, is handed to all tasks.
+HOT_COPIES, HOT_TEXTS = 1000, 100_000
 #: Words of 64 parity bits of a row's labelled k-mers.
 PARITY = 16
 _rng = np.random.default_rng(20240229)
@@ -293,7 +295,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours join the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        old, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        drop_written(old)
         before, now = now, state(edges)
         if before == now:
             break
@@ -307,11 +310,12 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     crowded = written(crowded, "crowded")
-    reps = 1
+    reps, met_rows = 1, crowded
     while True:
         counted = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         told = written(told, "told")
+        drop_written(met_rows)
         keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"), F.count(F.lit(1)).alias("n"))
         # all rows of a key of up to ``reps`` rows have been representatives
         keys = keys.where("low < high").where(F.lit(reps == 1) | (F.col("n") > reps)).select("band", "key", "hub", "n")
@@ -321,7 +325,8 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
         dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
         rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
-        crowded = rows.select("band", "key", "id").distinct()  # a key that is settled stays so
+        drop_written(told, keys)
+        crowded, met_rows = rows.select("band", "key", "id").distinct(), rows  # a key that is settled stays so
         old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
         turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
@@ -340,6 +345,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
         )
         pairs = written(rows.alias("rows").join(chosen.alias("chosen"), able).select(F.col("id_").alias("a"), F.col("id").alias("b")).distinct(), "met")
         new = written(verify(pairs, texts, k, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
+        drop_written(pairs)
         if not new.isEmpty():
             links = links.unionByName(new).distinct()
             classes = components(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(new))
@@ -348,28 +354,34 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, ell: int = ELL, bands: int = BANDS, rows: int = ROWS, near: int = NEAR, least: float = SIMILARITY
 ) -> DataFrame:
-    """One row per row of ``docs`` with a key: ``key``, class_id (the least key of its class), n_links.
+    """One row per row of ``docs`` with a key: ``key`` and class_id, the least key of its class.
 
-    n_links: links of the row's text to other texts that were verified; rows of a large class whose
-    class other links show already are not all compared. Equal texts are one class, empty ones
-    too; texts without words that differ are not alike. A null text is alone. Rows of a null key
-    have no row here. Rows that repeat come as often; rows of one key with different texts are one
-    document and fall in one class. Other columns play no part.
+    Classes are the connected components of the verified pairs of texts. Equal texts are one class,
+    empty ones too; texts without words that differ are not alike. A null text is alone. Rows of a
+    null key have no row here. Rows that repeat come as often; rows of one key with different texts
+    have each the class of its text. Other columns play no part.
     """
     given = docs.where(col(key).isNotNull()).select(col(key).cast("long").alias("id"), col(text).cast("string").alias("text"))
     signed = written(given.mapInArrow(_signed(k, bands * rows, ell), "id long, digest binary, size int, sketch binary, bits array<long>"), "sketches")
     # a null text has no digest, and stands for itself
-    copies = signed.groupBy("digest").agg(F.min("id").alias("rep")).where("digest is not null")
+    copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copies = written(copies, "copies")
     stand = signed.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     pairs, crowded = candidate_pairs(stand, bands, rows, near, least)
     texts = given.where("text is not null")
     links = written(verify(pairs, texts, k, least).select("a", "b").distinct(), "verified")
     links, classes = crowded_links(crowded, links, components(links), stand, texts, k, least)
-    counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(counted, "rep", "left")
-    known = known.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("id", "digest").join(known, "digest", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("class_id", "rep").alias("class_id"))
+    known = written(known, "classes")
+    ids = signed.select("id", "digest")
+    # rows of a text of many copies do not meet in one task: such texts are few, HOT_TEXTS at most
+    most = max(HOT_COPIES, -(-(copies.agg(F.sum("n")).first()[0] or 0) // HOT_TEXTS))
+    hot = F.broadcast(known.where(F.col("n") >= most).select("digest", "class_id"))
+    cold = known.where(F.col("n") < most).select("digest", "class_id")
+    out = ids.join(hot, "digest").select("id", "class_id")
+    out = out.unionByName(ids.join(hot, "digest", "left_anti").join(cold, "digest").select("id", "class_id"))
+    out = out.unionByName(ids.where("digest is null").select("id", F.col("id").alias("class_id")))
+    return out.select(F.col("id").alias(key), "class_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
