@@ -309,11 +309,12 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
     order = F.xxhash64(F.col("id"), F.lit(1))
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    crowded = written(crowded, "crowded")
+    # by id, with its keys, at most as many as bands: classes join ids, not keys
+    crowded = written(crowded.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), "crowded")
     reps, met_rows = 1, crowded
     while True:
         counted = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-        told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("band", "key", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.inline("keys"))
         told = written(told, "told")
         drop_written(met_rows)
         keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"), F.count(F.lit(1)).alias("n"))
@@ -326,7 +327,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
         rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
         rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
         drop_written(told, keys)
-        crowded, met_rows = rows.select("band", "key", "id").distinct(), rows  # a key that is settled stays so
+        crowded, met_rows = rows.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), rows  # a key that is settled stays so
         old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
         turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
