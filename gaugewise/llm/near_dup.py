@@ -39,6 +39,8 @@ GROWTH = 16
 SALTS = 16
 #: A text of this many copies or more, and of a share of all rows above 1 / HOT_TEXTS, is handed to all tasks.
 HOT_COPIES, HOT_TEXTS = 1000, 100_000
+#: Ids of texts to verify that are handed to all tasks, 16 MB; for more, texts are joined as they are.
+FEW_IDS = 1 << 20
 #: Words of 64 parity bits of a row's labelled k-mers.
 PARITY = 16
 _rng = np.random.default_rng(20240229)
@@ -251,7 +253,7 @@ def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, nea
         )
     for more in joined:
         pairs = pairs.unionByName(more)
-    return pairs.where("a <> b").distinct(), found.where("kind = 3").select("band", "key", F.col("a").alias("id")).distinct()
+    return written(pairs.where("a <> b").distinct(), "pairs"), found.where("kind = 3").select("band", "key", F.col("a").alias("id")).distinct()
 
 
 def _verified(k: int, least: float):
@@ -270,7 +272,13 @@ def _verified(k: int, least: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity of the ``pairs`` whose texts (id, text) align to ``least`` or more."""
+    """a, b, similarity of the ``pairs`` whose texts (id, text) align to ``least`` or more.
+
+    ``pairs`` is read more than once.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.count() <= FEW_IDS:  # only texts that are in pairs are shuffled
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     # a row that is in many pairs is a, so its text is dealt over SALTS tasks
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     many = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")

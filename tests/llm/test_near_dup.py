@@ -151,10 +151,12 @@ def test_parity_refutes_without_loss():
         assert sum(int(v).bit_count() for v in (n.parity(x) ^ n.parity(y)).view(np.uint64)) <= differ
 
 
-def test_hot_texts_are_handed_out(docs_from, monkeypatch):
-    """The same classes whether a text's copies meet in a join or the text goes to all tasks."""
+def test_paths_are_equal(docs_from, monkeypatch):
+    """The same classes whether copies and verified texts meet in joins or their keys go to all tasks."""
     rng = random.Random(8)
     rows = [(i, f"copy {text(random.Random(i % 7), 20)}") for i in range(60)] + [(100 + i, text(rng, 20)) for i in range(20)] + [(200, None)]
+    rows += [(300 + i, edited(rng, "near " * 3 + text(random.Random(9), 150), 1)) for i in range(12)]
     cold = sorted(map(tuple, n.near_duplicates(docs_from(rows)).collect()))
     monkeypatch.setattr(n, "HOT_COPIES", 3)
-    assert cold == sorted(map(tuple, n.near_duplicates(docs_from(rows)).collect())) and {c for _, c in cold} == {*range(7), *range(100, 120), 200}
+    monkeypatch.setattr(n, "FEW_IDS", 0)
+    assert cold == sorted(map(tuple, n.near_duplicates(docs_from(rows)).collect())) and {c for _, c in cold} == {*range(7), *range(100, 120), 200, 300}
