@@ -69,27 +69,51 @@ def _op5_sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    ids = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in license_scan.SENTENCES.items())
-    rules = " UNION ALL ".join(
-        f"SELECT doc_id, {quoted(name)} AS licence FROM found WHERE "
-        + " OR ".join(f"regexp_matches(' ' || ids || ' ', {quoted(license_scan.rule_pattern(s))})" for s in ways)
-        for name, ways in license_scan.RULES.items()
-    )
+    def values(pairs: dict[str, str]) -> str:
+        return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in sorted(pairs.items()))
+
+    def shows(way: list[str]) -> str:
+        never = "".join(f" AND NOT contains(framed, {quoted(f' {s[1:]} ')})" for s in way if s[0] == "!")
+        return f"(regexp_matches(framed, {quoted(license_scan.rule_pattern(way))}){never})"
+
+    ls = license_scan
+    rules = " UNION ALL ".join(f"SELECT doc_id, {quoted(name)} AS licence FROM sequences WHERE {' OR '.join(map(shows, ways))}" for name, ways in ls.RULES.items())
+    shapes = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(i)}" for p, i in ls.PATTERNS.items())
+    comment = ls.COMMENT
     return f"""
-WITH known(sentence, id) AS (VALUES {ids}),
-cut AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?:;\\n])\\r?\\n[ \\t]*([a-z(])', '\\1 \\2', 'g'), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS parts
-  FROM documents
-), sentences AS (
-  SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut
+WITH known(sentence, id) AS (VALUES {values(ls.SENTENCES)}),
+names(name, licence) AS (VALUES {values(ls.LICENCE_NAMES)}),
+bare AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), {quoted(comment)}, '\\1', 'g') AS t FROM documents),
+clean AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\b([vV])\\. ', '\\1 ', 'g'), 'SPDX-License-Identifier:[ \\t]*', 'SPDX-License-Identifier ', 'g') AS t FROM bare),
+lines AS (SELECT doc_id, t, string_split(regexp_replace(t, '([^.!?:;\\n])\\n[ \\t]*([a-z(])', '\\1 \\2', 'g'), chr(10)) AS parts FROM clean),
+views AS (
+  SELECT doc_id, 1 AS view, array_to_string(list_transform(parts, lambda x: x || CASE WHEN length(trim(x)) >= {ls.WRAPPED} THEN ' ' ELSE chr(10) END), '') AS t FROM lines
+  UNION ALL SELECT doc_id, 2, t FROM clean
+), cut AS (SELECT doc_id, view, string_split(regexp_replace(t, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM views),
+sentences AS (
+  SELECT doc_id, view, pos, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS s
+  FROM (SELECT doc_id, view, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut)
+), told AS (
+  SELECT doc_id, view, pos, s, known.id AS known_id,
+    trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(regexp_replace(s, {quoted(ls.FILLER)}, '', 'g')), {quoted(ls.VERSION)}, '\\1', 'g'), {quoted(ls.NOTICE)}, 1), {quoted(ls.TAIL)}, ''), {quoted(ls.LATER)}, '')) AS name
+  FROM sentences LEFT JOIN known ON s = known.sentence
 ), mapped AS (
-  SELECT doc_id, pos, known.id FROM sentences JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = known.sentence
-), found AS (
-  SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids, string_agg(id, ',' ORDER BY pos) AS list, count(*) AS n FROM mapped GROUP BY doc_id
-), licences AS ({rules}),
-named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licenses FROM licences GROUP BY doc_id)
-SELECT d.doc_id, coalesce(named.licenses, '') AS licenses, coalesce(found.list, '') AS sentence_ids, CAST(coalesce(found.n, 0) AS INTEGER) AS n_sentences
-FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+  SELECT doc_id, view, pos,
+    CASE WHEN known_id IS NOT NULL THEN known_id
+         WHEN contains(s, ' name') AND contains(s, ' software') THEN CASE {shapes} END
+         WHEN regexp_matches(s, '^spdx|{ls._VERBS} (?:under|by|to) ') AND NOT regexp_matches(s, {quoted(ls.DENIAL)}) THEN 'notice:' || names.licence END AS id
+  FROM told LEFT JOIN names ON told.name = names.name
+), whole AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM mapped WHERE view = 1 AND id IS NOT NULL GROUP BY doc_id),
+alone AS (SELECT doc_id, list(DISTINCT id) AS ids FROM mapped WHERE view = 2 AND id IS NOT NULL GROUP BY doc_id),
+sequences AS (
+  SELECT d.doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS framed FROM (
+    SELECT d.doc_id, list_concat(coalesce(whole.ids, []), list_sort(list_filter(coalesce(alone.ids, []), lambda x: NOT list_contains(coalesce(whole.ids, []), x)))) AS ids
+    FROM documents d LEFT JOIN whole ON d.doc_id = whole.doc_id LEFT JOIN alone ON d.doc_id = alone.doc_id
+  ) d
+), licences AS ({rules} UNION ALL SELECT doc_id, id[8:] FROM (SELECT doc_id, unnest(ids) AS id FROM sequences) WHERE starts_with(id, 'notice:')),
+shown AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses FROM licences GROUP BY doc_id)
+SELECT s.doc_id, coalesce(shown.licenses, '') AS licenses, array_to_string(s.ids, ',') AS sentence_ids, CAST(len(s.ids) AS INTEGER) AS n_sentences
+FROM sequences s LEFT JOIN shown ON s.doc_id = shown.doc_id
 """
 
 
