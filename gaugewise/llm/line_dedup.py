@@ -16,6 +16,9 @@ from gaugewise.llm._common import col, fresh, written
 #: log2 of the registers of a sketch: relative standard error 1.04 / 2**6 = 1.6 %.
 LG_K = 12
 MIN_SITES = 10
+#: Up to this many boilerplate lines, their hashes (8 bytes each) go to all tasks, which cut lines as they read
+#: a text; beyond, the lines are joined with them by a shuffle.
+FEW_KEYS = 4096
 #: Tasks that the occurrences of one boilerplate line are dealt over.
 SALTS = 32
 
@@ -47,6 +50,25 @@ def site_spread(lines: DataFrame, key: str, site: str, min_sites: int, lg_k: int
     return sure.unionByName(exact)
 
 
+def _cut_in_rows(docs: DataFrame, text: str, keys: list[int]) -> DataFrame:
+    """``docs`` without the lines of these hashes, and the new columns of ``dedup_lines``."""
+    lines = F.split(col(text), "\n")
+    marked = F.array(F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.coalesce(line_key(x).isin(keys), F.lit(False))).alias("cut")))
+
+    def parts(row: Column) -> Column:
+        def picked(which: bool) -> Column:
+            return F.filter(row["lines"], lambda _, i: F.get(row["cut"], i) == which)
+
+        some = F.exists(row["cut"], lambda x: x)
+        return F.struct(F.when(some, F.array_join(picked(False), "\n")).alias("text"), F.when(some, picked(True)).alias("removed"), F.size(row["lines"]).alias("n"))
+
+    (found,) = fresh(docs, "found")
+    with_parts = docs.withColumn(found, F.when(col(text).isNotNull(), F.transform(marked, parts)[0]))
+    none = F.array().cast("array<string>")
+    new = {text: F.coalesce(col(found)["text"], col(text)), "n_lines": F.coalesce(col(found)["n"], F.lit(0)), "removed_lines": F.coalesce(col(found)["removed"], none)}
+    return with_parts.select(*[(new[c] if c == text else col(c)).alias(c) for c in docs.columns], *[new[c].alias(c) for c in ("n_lines", "removed_lines")])
+
+
 def dedup_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", by_text: bool = False
 ) -> DataFrame:
@@ -71,7 +93,11 @@ def dedup_lines(
     # a line that many documents hold is dealt over SALTS tasks; only boilerplate keys are repeated for that
     (salt,) = fresh(lines, "salt")
     sited = lines.groupBy(col(key), col(mark)).agg(F.min(F.coalesce(col(site).cast("string"), F.lit("\0"))).alias(site)) if by_text else lines
-    spread = site_spread(sited, key, site, min_sites).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = written(site_spread(sited, key, site, min_sites), "boilerplate")
+    few = [r[0] for r in spread.limit(FEW_KEYS + 1).collect()]
+    if len(few) <= FEW_KEYS:
+        return _cut_in_rows(docs, text, few)
+    spread = spread.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cuts = (
         lines.select(col(doc_id).alias("id"), col(mark).alias("mark"), col(pos), col(key), F.pmod(F.xxhash64(col(doc_id), col(pos)), F.lit(SALTS)).cast("int").alias(salt))
         .join(spread, [key, salt], "left_semi")

@@ -46,6 +46,18 @@ def test_edges(docs_from, spark):
     assert by == [("1", None, 0, []), ("2", "", 1, []), ("3", "q", 2, ["x"]), ("3", "z", 2, ["x"]), ("3", "z", 2, ["x"]), ("4", "l0\nl1\nl2\n", 50_001, ["x"]), ("None", "y", 2, ["x"])]
 
 
+def test_paths_are_equal(spark, sample, docs_from, monkeypatch):
+    """The same rows whether few boilerplate lines go to all tasks or many are joined."""
+    extra = docs_from([(9001, None), (9002, ""), (9003, "\n\n"), (None, "x\ny")])
+    df = sample.unionByName(extra)
+    for by_text in (False, True):
+        a = sorted(map(str, line_dedup.dedup_lines(df, 4, by_text=by_text).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "FEW_KEYS", 0)
+            assert a == sorted(map(str, line_dedup.dedup_lines(df, 4, by_text=by_text).collect()))
+        assert any("removed_lines=['" in x for x in a)
+
+
 def test_the_pipeline_keeps_a_copied_text(docs_from, spark, sf):
     copied = "\n".join(f"a line of the copied text {i}" for i in range(30)) + "\nboilerplate"
     rows = [(i, copied, "en", f"copy{i}") for i in range(20)] + [(100 + i, f"own {i}\nboilerplate", "en", f"site{i}") for i in range(10)]
