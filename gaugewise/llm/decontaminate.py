@@ -128,16 +128,35 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        starts, sizes, owner, at = [], [], [], 0
+        ids = []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in word_bytes(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.by_length: list[tuple[np.ndarray, list[set[str]]]] = []
-        for n in sorted({len(w) for w in owners}):
-            mine = [w for w in owners if len(w) == n]
-            self.by_length.append((np.asarray(mine, dtype=np.int64), [owners[w] for w in mine]))
-        self.shortest = min((len(w) for w in owners), default=0)
+            mine = np.asarray([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in word_bytes(text)], dtype=np.int32)
+            if len(mine):
+                ids.append(mine)
+                starts.append(at + np.arange(max(1, len(mine) - window + 1), dtype=np.int64))
+                sizes.append(min(window, len(mine)))
+                owner.append(number[item])
+                at += len(mine)
+        counts = [len(x) for x in starts]
+        symbols = np.concatenate([*ids, np.zeros(0, np.int32)])
+        starts = np.concatenate([*starts, np.zeros(0, np.int64)])
+        size, who = np.repeat(np.asarray(sizes, np.int64), counts), np.repeat(np.asarray(owner, np.int32), counts)
+        #: By length: distinct windows, and the items of window i at owners[cuts[i] : cuts[i + 1]].
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(size).tolist():
+            mine = size == n
+            rows = symbols[starts[mine][:, None] + np.arange(n)]
+            order = np.lexsort((who[mine], *rows.T[::-1]))
+            rows, owners = rows[order], who[mine][order]
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(1)
+            pair = new.copy()
+            pair[1:] |= owners[1:] != owners[:-1]
+            self.by_length.append((rows[new], owners[pair], np.append(np.flatnonzero(new[pair]), pair.sum())))
+        self.shortest = int(size.min()) if len(size) else 0
 
     def occurrences(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """For documents' words (as symbols, one after another, ending at ``ends``): starts and ends of all
@@ -162,9 +181,9 @@ class Phrases:
         symbols[np.repeat(into[:-1], size) + inside] = words[np.repeat(first, size) + inside]
         index = FMIndex(symbols)
         top = len(index.starts) - 1
-        for patterns, owners in self.by_length:
+        for patterns, owners, cuts in self.by_length:
             able = np.flatnonzero((patterns < top).all(1))
-            low, high = index.search(patterns[able])
+            low, high = index.search(patterns[able].astype(np.int64))
             count = high - low
             which = np.repeat(able, count)
             if not len(which):
@@ -175,7 +194,7 @@ class Phrases:
             stops.append(at + patterns.shape[1])
             pairs = np.unique(np.stack([np.searchsorted(ends, at, side="right"), which], 1), axis=0)
             for doc, w in pairs.tolist():
-                items[doc] |= owners[w]
+                items[doc].update(self.items[i] for i in owners[cuts[w] : cuts[w + 1]])
         return np.concatenate(starts), np.concatenate(stops), items
 
     def spans(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:

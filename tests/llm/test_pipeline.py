@@ -36,6 +36,23 @@ def test_run_is_the_stages(spark, sf):
     assert (rows.groupby(["doc_id", "start"]).size() == 1).all() and (rows.groupby("doc_id").length.sum() == rows.groupby("doc_id").doc_tokens.first()).all()
 
 
+def test_stages_on_odd_tables(spark, sf, docs_from):
+    """Empty tables, null ids and texts, repeated rows, and columns called like those that stages add."""
+    extra = docs_from([(None, None), (None, "some words"), (1, ""), (2, "fine words here"), (2, "fine words here"), (3, "x " * 5000)])
+    for name in ("toxic_score", "N_Lines", "removed_lines", "class_id", "spans", "score"):
+        extra = extra.withColumn(name, F.lit("mine"))
+    for docs in (extra, extra.limit(0)):
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert all(v == "mine" for r in rows for c, v in r.asDict().items() if c not in ("doc_id", "text", "lang", "source", "n_chars"))
+        assert sorted(str(r.doc_id) for r in rows) == ([] if docs is not extra else ["1", "2", "3", "None", "None"])
+        packed = corpus_pipeline.pack(spark, kept, sf).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in rows} and all(len(r["ids"]) == 4 * r.length for r in packed)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_oracles(spark, sf, name):
     con = duckdb.connect()
