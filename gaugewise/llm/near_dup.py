@@ -271,12 +271,17 @@ def _verified(k: int, least: float):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """id: both rows of each pair (a, b)."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the ``pairs`` whose texts (id, text) align to ``least`` or more.
 
     ``pairs`` is read more than once.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(_ends(pairs).distinct(), "ids")
     if ids.count() <= FEW_IDS:  # only texts that are in pairs are shuffled
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     # a row that is in many pairs is a, so its text is dealt over SALTS tasks
@@ -321,7 +326,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
     crowded = written(crowded.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), "crowded")
     reps, met_rows = 1, crowded
     while True:
-        counted = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        counted = _ends(links).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.inline("keys"))
         told = written(told, "told")
         drop_written(met_rows)
