@@ -11,6 +11,7 @@ can, the sequence of lowest cost that has room left takes what it can, and the r
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.llm._common import col, fresh
-from gaugewise.llm.token_count import pre_tokens, tokenizer
+from gaugewise.llm.token_count import SPECIAL, pre_tokens, tokenizer
 
 CAPACITY = 2048
 END_ID = 1
@@ -31,19 +32,39 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1 << 18
 
-_known: dict[str, dict[str, bytes]] = {}
+
+class _Pieces(dict):
+    """Pre-token to the bytes of its ids, by the library's model; the first REMEMBERED stay in memory."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        tok = tokenizer(path)
+        self.model, self.special = tok.model, tok.token_to_id(SPECIAL)
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in printable]
+        #: The model's letters: printable bytes as they are, the others from U+0100 on in their order.
+        self.letters = {b: b for b in printable} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece == SPECIAL:
+            ids = [self.special]
+        else:
+            ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < REMEMBERED:
+            self[piece] = out
+        return out
+
+
+_known: dict[str, _Pieces] = {}
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """The texts' ids as the library gives them without added special tokens; each new pre-token is encoded once."""
-    known = _known.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    cut = [pre_tokens(t or "", path) for t in texts]
-    new = list({p for c in cut for p in c if p not in known})
-    for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4") for c in cut]
+    """The texts' ids as the library gives them without added special tokens, pre-token by pre-token."""
+    if path not in _known:
+        _known[path] = _Pieces(path)
+    get = _known[path].__getitem__
+    return [np.frombuffer(b"".join(map(get, pre_tokens(t or "", path))), dtype="<u4") for t in texts]
 
 
 def cost(n, linear: float = LINEAR, quadratic: float = QUADRATIC):
