@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import LAYER2, overlay
 from gaugewise.functions.numeric import correlation, cosine, median, month_distance, quantile, ratio, resampled
+from gaugewise.functions.shared import written
 from gaugewise.operators import layer2
-from gaugewise.operators.primitives import KEYS
+from gaugewise.operators.primitives import KEYS, prepared
 
 ANNUAL_METRICS = [
     "mean_flow", "median_flow", "minimum_flow", "maximum_flow", "flashiness_index", "baseflow_index", "seasonality_index", "lag1_autocorrelation", "wettest_month", "driest_month",
@@ -209,13 +210,15 @@ def event_shape(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "station_id").select("station_id", F.when(enough, _cosine_or_null(resampled(F.col("x"), 100), resampled(F.col("y"), 100))).alias("value"))
 
 
-def signatures(flow: DataFrame, spikes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of one side that the comparison takes."""
-    annual, events = layer2.annual_signatures(flow, spikes), layer2.high_flow_events(flow)
-    eligible = events if spikes is None else layer2.representative_eligibility(events, layer2.crosscheck(spikes.select(*KEYS, "ts", "type"), events))
+def signatures(flow: DataFrame, spikes: DataFrame | None = None, settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
+    """The tables of one side that the comparison takes; ``settings``: of its annual signatures and events."""
+    c = overlay(LAYER2, settings)
+    flow = prepared(flow)
+    annual, events = written(layer2.annual_signatures(flow, spikes, **c["annual"]), "annual"), layer2.high_flow_events(flow, c["events"]["trigger_percentile"], c["events"]["boundary_percentile"])
+    eligible = events if spikes is None else layer2.representative_eligibility(events, layer2.crosscheck(spikes.select(*KEYS, "ts", "type"), events, c["events"]["spike_crosscheck_minimum_event_duration_days"]))
     return {
         "flow": flow, "annual": annual, "events": events, "representative": layer2.representative_event(eligible),
-        "profile": layer2.seasonality_profile(layer2.monthly_profile(flow)), "diagnostics": layer2.diagnostic_summary(annual, events),
+        "profile": layer2.seasonality_profile(layer2.monthly_profile(flow, c["annual"]["minimum_valid_days_per_year"], c["annual"]["minimum_valid_days_per_month"])), "diagnostics": layer2.diagnostic_summary(annual, events),
     }
 
 

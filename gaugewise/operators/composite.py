@@ -8,11 +8,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.config import LAYER1, overlay
+from gaugewise.config import LAYER1, LAYER2, overlay
 from gaugewise.functions.numeric import quantile, ratio
+from gaugewise.functions.shared import written
 from gaugewise.operators import layer1, layer2
 from gaugewise.operators.epoch_drift import epoch_drift
-from gaugewise.operators.primitives import KEYS, valid_record
+from gaugewise.operators.primitives import KEYS, prepared, valid_record
 from gaugewise.operators.step_shift import step_shift
 
 CHECKS = ["missing_values", "long_gaps", "duplicate_timestamps", "timestep_consistency", "negative_discharge", "spike_dip", "low_variability", "step_shift", "epoch_drift"]
@@ -28,6 +29,7 @@ def tiers(flow: DataFrame, settings: Mapping[str, Any] | None = None, crosscheck
     ``crosschecked``: candidates held against events; those in a plausible event are resolved.
     """
     c = overlay(LAYER1, settings)
+    flow = prepared(flow)
     k = c["composite"]
     on = [n for n in CHECKS if c[n].get("enabled", True)]
     args = {n: {a: v for a, v in c[n].items() if a != "enabled"} for n in CHECKS}
@@ -117,16 +119,25 @@ def composite(parts: DataFrame, settings: Mapping[str, Any] | None = None) -> Da
     )
 
 
-def screened(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
-    """The intrinsic checks, signatures and composite of a flow, in the order they need each other."""
-    c = overlay(LAYER1, settings)
-    found = layer1.spike_candidates(flow, **{a: v for a, v in c["spike_dip"].items() if a != "enabled"})
+def spikes_of(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> DataFrame:
+    """Spike and dip candidates of the layer 1 ``settings``, rejected ones included."""
+    return layer1.spike_candidates(flow, **{a: v for a, v in overlay(LAYER1, settings)["spike_dip"].items() if a != "enabled"})
+
+
+def screened(flow: DataFrame, settings: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
+    """The intrinsic checks, signatures and composite of a flow, in the order they need each other; what several need is written once.
+
+    ``signature_settings``: of annual signatures and events, as in the defaults of layer 2.
+    """
+    c = overlay(LAYER2, signature_settings)
+    flow = prepared(flow)
+    found = written(spikes_of(flow, settings), "candidates")
     spikes = found.where("status = 'candidate'")
-    events = layer2.high_flow_events(flow)
-    checked = layer2.crosscheck(spikes.select(*KEYS, "ts", "type", "value", "score"), events)
-    parts = components(flow, settings, checked)
+    events = layer2.high_flow_events(flow, c["events"]["trigger_percentile"], c["events"]["boundary_percentile"])
+    checked = written(layer2.crosscheck(spikes.select(*KEYS, "ts", "type", "value", "score"), events, c["events"]["spike_crosscheck_minimum_event_duration_days"]), "crosscheck")
+    parts = written(components(flow, settings, checked), "components")
     eligible = layer2.representative_eligibility(events, checked)
     return {
-        "candidates": found, "events": eligible, "crosscheck": checked, "components": parts, "composite": composite(parts, settings), "annual": layer2.annual_signatures(flow, spikes),
-        "monthly": layer2.monthly_profile(flow), "representative": layer2.representative_event(eligible), "record": layer2.record_summary(flow, spikes),
+        "candidates": found, "events": eligible, "crosscheck": checked, "components": parts, "composite": composite(parts, settings), "annual": layer2.annual_signatures(flow, spikes, **c["annual"]),
+        "monthly": layer2.monthly_profile(flow, c["annual"]["minimum_valid_days_per_year"], c["annual"]["minimum_valid_days_per_month"]), "representative": layer2.representative_event(eligible), "record": layer2.record_summary(flow, spikes),
     }

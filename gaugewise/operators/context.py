@@ -12,11 +12,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewise.config import LAYER3, overlay
+from gaugewise.config import LAYER2, LAYER3, overlay
 from gaugewise.functions.numeric import cosine, haversine_km, median, ratio, resampled
+from gaugewise.functions.shared import written
 from gaugewise.operators import layer1, layer2
+from gaugewise.operators.composite import spikes_of
 from gaugewise.operators.epoch_drift import epoch_drift
-from gaugewise.operators.primitives import KEYS
+from gaugewise.operators.primitives import KEYS, prepared
 from gaugewise.operators.step_shift import step_shift, tiered_boundaries
 
 # Spellings of the two series types.
@@ -139,15 +141,20 @@ def matched_dates(a: Column, b: Column, tolerance_days: float) -> Column:
     return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), start, turn, lambda s: s["m"])).otherwise(0)
 
 
-def evidence(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> DataFrame:
+def evidence(flow: DataFrame, settings: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None) -> DataFrame:
     """One row per station: everything its peers are compared on.
 
-    Days are numbers since 1970-01-01; dates that a check found none of are empty, and null where
+    ``settings``: of layer 1, whose spike candidates mark events that cannot represent the record;
+    ``signature_settings``: of layer 2. Days are numbers since 1970-01-01; dates that a check found none of are empty, and null where
     the check could not run.
     """
-    events = layer2.high_flow_events(flow)
-    annual = layer2.annual_signatures(flow)
-    profile = layer2.seasonality_profile(layer2.monthly_profile(flow))
+    c = overlay(LAYER2, signature_settings)
+    flow = prepared(flow)
+    events = layer2.high_flow_events(flow, c["events"]["trigger_percentile"], c["events"]["boundary_percentile"])
+    spikes = spikes_of(flow, settings).where("status = 'candidate'").select(*KEYS, "ts", "type")
+    eligible = layer2.representative_eligibility(events, layer2.crosscheck(spikes, events, c["events"]["spike_crosscheck_minimum_event_duration_days"]))
+    annual = layer2.annual_signatures(flow, None, **c["annual"])
+    profile = layer2.seasonality_profile(layer2.monthly_profile(flow, c["annual"]["minimum_valid_days_per_year"], c["annual"]["minimum_valid_days_per_month"]))
 
     def day(c: str) -> Column:
         return F.datediff(c, F.lit("1970-01-01").cast("date"))
@@ -160,7 +167,7 @@ def evidence(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> Data
     yearly = annual.groupBy(*KEYS).agg(median(F.col("flashiness_index")).alias("flashiness"), median(F.col("baseflow_index")).alias("baseflow"))
     zero = layer1.zero_flow_regime(flow).select(*KEYS, F.col("zero_ratio").alias("zero_flow"))
     months = profile.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "median"))), lambda s: s["median"]).alias("profile"))
-    shown = layer2.representative_event(events).select(*KEYS, "curve", "peak_flow", "time_to_peak_days", "event_duration_days")
+    shown = layer2.representative_event(eligible).select(*KEYS, "curve", "peak_flow", "time_to_peak_days", "event_duration_days")
     out = given
     for part in (peaks, shifts, steps, epochs, yearly, zero, months, shown):
         out = out.join(part, KEYS, "left")
@@ -277,18 +284,32 @@ def combined_context(rows: DataFrame, settings: Mapping[str, Any] | None = None)
     )
 
 
-def network_context(flow: DataFrame, stations: DataFrame, settings: Mapping[str, Any] | None = None, series_type: str = "observation") -> dict[str, DataFrame]:
-    """Peers, checks and combined context of every station that has both metadata and a series."""
+def network_context(
+    flow: DataFrame, stations: DataFrame, settings: Mapping[str, Any] | None = None, series_type: str = "observation",
+    screening: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None, composite: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Peers, checks and combined context of every station that has both metadata and a series.
+
+    ``screening`` and ``signature_settings``: of layers 1 and 2, for the evidence. With the
+    ``composite`` of the flow, a report is recommended for stations whose class asks for review and
+    whose peers are similar enough.
+    """
     c = overlay(LAYER3, settings)
+    flow = prepared(flow)
     have = flow.select("station_id").distinct()
     usable = stations.join(have, "station_id", "left_semi")
     local = local_peers(usable, c["local_peers"], series_type)
     analogue = analogue_peers(usable, local, c["analogue_peers"], series_type)
-    found = evidence(flow)
+    found = written(evidence(flow, screening, signature_settings), "evidence")
     near = finished_checks(pair_similarities(local.where("ready"), found, c["comparison"]), c["comparison"])
     far = finished_checks(pair_similarities(analogue.where("ready"), found, c["comparison"]).where(F.col("check").isin(SHARED)), c["comparison"])
+    near, far = written(near, "local_checks"), written(far, "analogue_checks")
     rows = combined_checks(near, far, c["comparison"])
+    combined = combined_context(rows, c["comparison"])
+    if composite is not None:
+        asks = composite.where("layer1_class = 'Needs review'").select("station_id").distinct().withColumn("asks", F.lit(True))
+        combined = combined.join(asks, "station_id", "left").withColumn("report_recommended", F.col("report_similarity_met") & F.coalesce("asks", F.lit(False))).drop("asks")
     return {
-        "local_peers": local, "analogue_peers": analogue, "evidence": found, "local_checks": near, "analogue_checks": far, "combined_checks": rows, "combined": combined_context(rows, c["comparison"]),
+        "local_peers": local, "analogue_peers": analogue, "evidence": found, "local_checks": near, "analogue_checks": far, "combined_checks": rows, "combined": combined,
         "local_summary": context_summary(near, LOCAL_ONLY + SHARED, c["comparison"]), "analogue_summary": context_summary(far, SHARED, c["comparison"]),
     }

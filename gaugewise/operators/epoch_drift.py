@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import LAYER1, overlay
 from gaugewise.functions.numeric import median, ratio
-from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, valid_record
+from gaugewise.functions.shared import once
+from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, prepared, valid_record
 
 
+@once
 def annual_levels(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """Median of the month-of-year anomalies of each year in log space; null with too few months."""
     c = overlay(LAYER1["epoch_drift"], settings)

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewise.functions.numeric import correlation, days_between, median, quantile, ratio
-from gaugewise.operators.primitives import KEYS
+from gaugewise.functions.shared import once
+from gaugewise.operators.primitives import KEYS, prepared
 
 YEAR = [*KEYS, "year"]
 EVENT_METRICS = ["peak_flow", "event_duration_days", "time_to_peak_days", "rising_slope", "recession_slope"]
 
 
+@once
 def yearly(flow: DataFrame) -> DataFrame:
     """First row of each time, with its year, the value before within the year, and whether that is one day back."""
     first = Window.partitionBy(*KEYS, "ts").orderBy(F.col("src_pos").asc_nulls_last())
@@ -26,6 +28,7 @@ def yearly(flow: DataFrame) -> DataFrame:
     )
 
 
+@once
 def monthly_profile(flow: DataFrame, minimum_valid_days_per_year: int = 30, minimum_valid_days_per_month: int = 10) -> DataFrame:
     """Mean and median of each month with enough values, in years with enough values."""
     months = yearly(flow).groupBy(*YEAR, F.month("ts").alias("month")).agg(F.count("value").alias("valid_days"), F.avg("value").alias("monthly_mean"), median(F.col("value")).alias("monthly_median"))
@@ -35,16 +38,24 @@ def monthly_profile(flow: DataFrame, minimum_valid_days_per_year: int = 30, mini
 
 def flashiness(flow: DataFrame) -> DataFrame:
     """Richards-Baker: sum of daily changes within the year over the sum of its values."""
+    return yearly(flow).groupBy(*YEAR).agg(_flashiness())
+
+
+def _flashiness() -> Column:
     change = F.when(F.col("daily"), F.abs(F.col("value") - F.col("before")))
     total = F.sum("value")
-    return yearly(flow).groupBy(*YEAR).agg(F.when((total > 0) & (F.count(change) > 0), ratio(F.sum(change), total)).alias("flashiness_index"))
+    return F.when((total > 0) & (F.count(change) > 0), ratio(F.sum(change), total)).alias("flashiness_index")
 
 
 def lag1_autocorrelation(flow: DataFrame) -> DataFrame:
     """Pearson of values and those of the day before within the year, from 3 pairs on."""
+    return yearly(flow).groupBy(*YEAR).agg(_lag1())
+
+
+def _lag1() -> Column:
     x, y = F.when(F.col("daily"), F.col("value")), F.when(F.col("daily"), F.col("before"))
     pairs = F.count_if(x.isNotNull() & y.isNotNull())
-    return yearly(flow).groupBy(*YEAR).agg(F.when(pairs >= 3, correlation(x, y)).alias("lag1_autocorrelation"))
+    return F.when(pairs >= 3, correlation(x, y)).alias("lag1_autocorrelation")
 
 
 def baseflow(flow: DataFrame, alpha: float = 0.925, passes: int = 3, minimum_segment_days: int = 3) -> DataFrame:
@@ -90,6 +101,7 @@ def annual_signatures(
     baseflow_alpha: float = 0.925, baseflow_passes: int = 3, minimum_baseflow_segment_days: int = 3,
 ) -> DataFrame:
     """One row per year with enough values. ``spikes`` (keys, ts): left out of the screened extremes."""
+    flow = prepared(flow)
     rows = yearly(flow)
     if spikes is None:
         rows = rows.withColumn("spike", F.lit(False))
@@ -100,10 +112,11 @@ def annual_signatures(
     base = rows.groupBy(*YEAR).agg(
         F.avg(v).alias("mean_flow"), median(v).alias("median_flow"), F.min(kept).alias("minimum_flow"), F.max(kept).alias("maximum_flow"), F.min(v).alias("raw_minimum_flow"), F.max(v).alias("raw_maximum_flow"),
         F.count_if(v.isNotNull() & F.col("spike")).alias("extrema_excluded_candidate_count"), F.count(v).alias("valid_days"),
+        _flashiness(), _lag1(),
     ).where(F.col("valid_days") >= minimum_valid_days_per_year)
     monthly = monthly_profile(flow, minimum_valid_days_per_year, minimum_valid_days_per_month)
     out = base
-    for part in (flashiness(flow), baseflow(flow, baseflow_alpha, baseflow_passes, minimum_baseflow_segment_days), seasonality(monthly), lag1_autocorrelation(flow), extreme_months(monthly)):
+    for part in (baseflow(flow, baseflow_alpha, baseflow_passes, minimum_baseflow_segment_days), seasonality(monthly), extreme_months(monthly)):
         out = out.join(part, YEAR, "left")
     return out.withColumn("usable_months", F.coalesce("usable_months", F.lit(0).cast("long")))
 
@@ -121,6 +134,7 @@ def flow_references(flow: DataFrame, trigger_percentile: float = 0.95, boundary_
     return flow.groupBy(*KEYS).agg(quantile(v, trigger_percentile).alias("trigger_threshold"), quantile(v, boundary_percentile).alias("boundary_threshold"), F.count(v).alias("n")).where("n >= 3").drop("n")
 
 
+@once
 def high_flow_events(flow: DataFrame, trigger_percentile: float = 0.95, boundary_percentile: float = 0.9) -> DataFrame:
     """Runs of consecutive days at or above the boundary that reach the trigger; event_id from 1 in time order."""
     if boundary_percentile > trigger_percentile:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugewise.functions.numeric import median, quantile, ratio
+from gaugewise.functions.shared import once
 
 KEYS = ["station_id", "series_slot"]
 
@@ -42,6 +43,22 @@ def flow_of(df: DataFrame, slot: str = "series1", order: str | None = None) -> D
     )
 
 
+def prepared(flow: DataFrame) -> DataFrame:
+    """The flow with its positions written once; tables that checks share are then written once, too.
+
+    For operators that read a flow many times. Whatever is derived from the result is an ordinary flow.
+    """
+    if hasattr(flow, "prepared") or flow.isStreaming:
+        return flow
+    memo: dict = {}
+    held = flow.select("*")
+    held.prepared = memo
+    out = positioned(held).select(flow.columns)
+    out.prepared = memo
+    return out
+
+
+@once
 def positioned(flow: DataFrame) -> DataFrame:
     """Adds pos (1.. in stable time order) and first_pos, last_pos of non-null values (null if none)."""
     out = flow.withColumn("pos", F.row_number().over(P().orderBy("ts", "src_pos")))
@@ -91,6 +108,7 @@ def summary(flow: DataFrame) -> DataFrame:
     )
 
 
+@once
 def monthly_statistics(flow: DataFrame, minimum_valid_days: int = 10) -> DataFrame:
     """Every calendar month of the valid record: days with a value, and median, q25, q75, q90 of values clipped at 0.
 

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import LAYER1, overlay
 from gaugewise.functions.numeric import median, quantile
-from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, valid_record
+from gaugewise.functions.shared import once
+from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, prepared, valid_record
 
 # Features of a block and the least scale of each.
 FLOORS = {"level_log": 0.1, "high_log": 0.15, "seasonal_amplitude_log": 0.15, "variability_log": 0.12}
 FEATURES = list(FLOORS)
 
 
+@once
 def block_rule(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """First and last day of each valid record, its years, and the years of a block."""
     c = overlay(LAYER1["step_shift"], settings)
@@ -33,6 +35,7 @@ def block_rule(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataF
     )
 
 
+@once
 def block_features(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """Calendar blocks with enough months and their four features in log space.
 
@@ -102,6 +105,7 @@ _OUT = (
 )
 
 
+@once
 def boundaries(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """Dated boundaries between regimes, before tiering; series of fewer than three blocks have none."""
     c = overlay(LAYER1["step_shift"], settings)
@@ -144,12 +148,14 @@ def boundaries(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataF
     return block_features(flow, c).groupBy(*KEYS).cogroup(months.groupBy(*KEYS)).applyInPandas(find, _OUT)
 
 
+@once
 def tiered_boundaries(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """Boundaries with the medians of the regimes beside them and the tier of the change.
 
     A change without a median on either side is Tier 2, as neither bound holds.
     """
     c = overlay(LAYER1["step_shift"], settings)
+    flow = prepared(flow)
     found = boundaries(flow, c)
     w = Window.partitionBy(*KEYS).orderBy("boundary")
     rule = block_rule(flow, c).select(*KEYS, "first_day", "last_day")
@@ -171,6 +177,7 @@ def tiered_boundaries(flow: DataFrame, settings: dict[str, Any] | None = None) -
 def step_shift(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
     """Score and tier of each series; fewer than three blocks are not assessed."""
     c = overlay(LAYER1["step_shift"], settings)
+    flow = prepared(flow)
     tier = F.col("tier")
     points = F.when(tier == "Tier 1", c["tier_1_points"]).when(tier == "Tier 2", c["tier_2_points"]).otherwise(c["tier_3_points"])
     scored = tiered_boundaries(flow, c).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(tier != "Tier 3").alias("retained"), F.avg(points.cast("double")).alias("score"))

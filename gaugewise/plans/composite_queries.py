@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gaugewise.operators import composite, epoch_drift, layer1, layer2, step_shift
+from gaugewise.operators.primitives import prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.layer1_queries import MONTHLY, PLATEAUS, RUNS, SPIKES, dated, r, record, tidy
 from gaugewise.plans.layer2_queries import CROSS, events_sql
@@ -12,7 +13,7 @@ FOCUSED = {"step_shift": {"enabled": False}}
 
 
 def _parts(s, d, settings):
-    flow = fx.spiky(s, d)
+    flow = prepared(fx.spiky(s, d))
     spikes = layer1.spike_candidates(flow).where("status = 'candidate'").select("station_id", "series_slot", "ts", "type")
     return composite.components(flow, settings, layer2.crosscheck(spikes, layer2.high_flow_events(flow)))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.operators import composite, context, layer1, layer2, network
-from gaugewise.operators.primitives import KEYS
+from gaugewise.functions.shared import written
+from gaugewise.operators.primitives import KEYS, prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.composite_queries import FOCUSED, basic_tiers_sql
 from gaugewise.plans.layer1_queries import r, record, tidy
@@ -45,7 +46,7 @@ def _local(s, d) -> DataFrame:
 
 def _evidence(s, d) -> DataFrame:
     """The evidence of the checks that SQL can express."""
-    flow = fx.nation(s, d)
+    flow = prepared(fx.nation(s, d))
     annual, events = layer2.annual_signatures(flow), layer2.high_flow_events(flow)
     day = F.datediff("peak_date", F.lit("1970-01-01").cast("date"))
     number = F.datediff("ts", F.lit("1970-01-01").cast("date"))
@@ -61,11 +62,11 @@ def _evidence(s, d) -> DataFrame:
     return out.withColumns({"shift_days": F.lit(None).cast("array<int>"), "epoch_behaviour": F.lit(None).cast("string")})
 
 
-def _similar(s, d, analogue: bool = False) -> DataFrame:
+def _similar(s, d, analogue: bool = False, found: DataFrame | None = None) -> DataFrame:
     peers = _local(s, d)
     if analogue:
         peers = context.analogue_peers(_stations(s, d), peers, {"require_same_climate": False})
-    return context.pair_similarities(peers, _evidence(s, d)).where(F.col("check").isin(SQL_CHECKS))
+    return context.pair_similarities(peers, _evidence(s, d) if found is None else found).where(F.col("check").isin(SQL_CHECKS))
 
 
 def _pick(*names: str):
@@ -73,13 +74,14 @@ def _pick(*names: str):
 
 
 def _combined(s, d) -> DataFrame:
-    near, far = context.finished_checks(_similar(s, d)), context.finished_checks(_similar(s, d, True).where(F.col("check").isin(context.SHARED)))
+    found = written(_evidence(s, d), "evidence")
+    near, far = context.finished_checks(_similar(s, d, False, found)), context.finished_checks(_similar(s, d, True, found).where(F.col("check").isin(context.SHARED)))
     return context.combined_checks(near, far)
 
 
 def _focused(s, d):
     flow = fx.flat(s, d)
-    parts = composite.components(flow, FOCUSED | {"epoch_drift": {"enabled": False}})
+    parts = written(composite.components(flow, FOCUSED | {"epoch_drift": {"enabled": False}}), "components")
     return parts, composite.composite(parts, FOCUSED | {"epoch_drift": {"enabled": False}})
 
 

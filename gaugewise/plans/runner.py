@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULTS, known_keys, overlay
+from gaugewise.functions.shared import written
 from gaugewise.operators import comparison, composite, context, layer1, network, primitives
 from gaugewise.sinks import pages, reports, tables
 from gaugewise.sources import readers
@@ -102,9 +103,11 @@ def read_series(spark: SparkSession, s: Mapping[str, Any], slot: str, stations:
     return readers.select_timespan(flow, str(span["start_date"]), str(span["end_date"])) if span.get("mode") == "range" else flow
 
 
-def screen(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
+def screen(flow: DataFrame, settings: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
     """All tables of one flow: checks, signatures, composite, network."""
-    found = composite.screened(flow, settings)
+    flow = primitives.prepared(flow)
+    found = composite.screened(flow, settings, signature_settings)
+    found["composite"] = written(found["composite"], "composite")
     found |= {
         "missing_intervals": primitives.missing_intervals(flow), "plateaus": layer1.plateaus(flow), "zero_spells": layer1.zero_flow_spells(flow), "duplicates": layer1.duplicate_groups(flow), "irregular_intervals": layer1.irregular_intervals(flow),
         "availability": primitives.availability(flow), "counts": network.assessment_counts(found["composite"]), "triggers": network.trigger_summary(found["components"]), "ranking": network.attention_ranking(found["composite"]), "status": network.status_index(found["composite"]),
@@ -112,9 +115,16 @@ def screen(flow: DataFrame, settings: Mapping[str, Any] | None = None) -> dict[s
     return found
 
 
-def compare(reference: DataFrame, candidate: DataFrame, mode: str = "paired_overlap", settings: Mapping[str, Any] | None = None, daily: bool = False) -> dict[str, DataFrame]:
-    """All tables of a comparison. Stations that cannot be compared are in ``unfit`` with the reason, and in no other table."""
-    reasons = comparison.unfit(reference, candidate)
+def compare(
+    reference: DataFrame, candidate: DataFrame, mode: str = "paired_overlap", settings: Mapping[str, Any] | None = None, daily: bool = False,
+    screening: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of a comparison. Stations that cannot be compared are in ``unfit`` with the reason, and in no other table.
+
+    Independent timespans compare each side's own signatures, without its spike candidates by the
+    layer 1 settings ``screening``; ``signature_settings``: of layer 2.
+    """
+    reasons = written(comparison.unfit(reference, candidate), "unfit")
     reference, candidate = (f.join(reasons.select("station_id"), "station_id", "left_anti") for f in (reference, candidate))
     out = {"unfit": reasons}
     pairs = comparison.paired(reference, candidate)
@@ -122,8 +132,12 @@ def compare(reference: DataFrame, candidate: DataFrame, mode: str = "paired_over
         reference, candidate = comparison.paired_flows(pairs)
         if daily:
             out["daily_metrics"] = comparison.daily_metrics(pairs)
-    a, b = comparison.signatures(reference), comparison.signatures(candidate)
-    parts = comparison.components(a, b, settings)
+    spikes: list[DataFrame | None] = [None, None]
+    if mode == "independent_timespans":
+        reference, candidate = primitives.prepared(reference), primitives.prepared(candidate)
+        spikes = [composite.spikes_of(f, screening).where("status = 'candidate'") for f in (reference, candidate)]
+    a, b = (comparison.signatures(f, x, signature_settings) for f, x in zip((reference, candidate), spikes, strict=True))
+    parts = written(comparison.components(a, b, settings), "comparison")
     return out | {
         "comparison_components": parts, "comparison_composite": comparison.composite(parts, settings), "annual_differences": comparison.annual_differences(a["annual"], b["annual"]),
         "signature_summaries": comparison.signature_summaries(a["annual"], b["annual"]), "diagnostic_differences": comparison.diagnostic_differences(a["diagnostics"], b["diagnostics"]),
@@ -143,17 +157,18 @@ def run(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
     if second is not None:
         every = flow.unionByName(second.join(flow.select("station_id").distinct(), "station_id", "left_semi"))
     if settings.layers["layer1"]:
-        out |= screen(every, settings.layer1)
+        every = primitives.prepared(every)
+        out |= screen(every, settings.layer1, settings.layer2)
     if settings.layers["comparison"]:
         c = settings.comparison
-        out |= compare(flow, second, c.get("mode", "paired_overlap"), settings.layer2.get("comparison"), bool(c.get("calculate_daily_metrics")))
+        out |= compare(flow, second, c.get("mode", "paired_overlap"), settings.layer2.get("comparison"), bool(c.get("calculate_daily_metrics")), settings.layer1, settings.layer2)
         failures = out["unfit"]
     if settings.layers["layer3"]:
         stations = context.validate_context(readers.context_csv(spark, settings.context["path"])).where("rejection_reason = ''").withColumn("climate_code", F.lit(None).cast("string"))
         if settings.context.get("cells"):
             legend = readers.climate_legend(spark, settings.context["legend"])
             stations = context.attach_climate(stations.drop("climate_code"), spark.read.parquet(settings.context["cells"]), legend, int(settings.context["width"]), int(settings.context["height"]))
-        out |= {f"context_{k}": v for k, v in context.network_context(flow, stations, settings.layer3).items()}
+        out |= {f"context_{k}": v for k, v in context.network_context(flow, stations, settings.layer3, screening=settings.layer1, signature_settings=settings.layer2, composite=out["composite"].where("series_slot = 'series1'")).items()}
     out["manifest"] = network.manifest(out["pair_status"], flow, failures)
     where = settings.output.get("directory")
     if where:

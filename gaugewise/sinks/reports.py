@@ -22,13 +22,13 @@ def _part(title: str, lines: list[Column]) -> list[Column]:
 
 
 def _number(c: str, decimals: int) -> Column:
-    return F.format_number(F.col(c), f"0.{'0' * decimals}" if decimals else "0")
+    return F.format_string(f"%.{decimals}f", F.col(c))
 
 
 def station_reports(composite: DataFrame, components: DataFrame, record: DataFrame, availability: DataFrame) -> DataFrame:
     """(name, text): a screening summary for each series."""
     keys = ["station_id", "series_slot"]
-    line = F.format_string("  %-22s %-15s %8s  weight %s", "check", "tier", F.coalesce(F.format_number("raw_value", "0.000"), F.lit("-")), "weight")
+    line = F.format_string("  %-22s %-15s %8s  weight %s", "check", "tier", F.coalesce(_number("raw_value", 3), F.lit("-")), "weight")
     checks = components.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("checks"))
     rows = composite.join(checks, keys).join(record, keys, "left").join(availability.select(*keys, "first_valid", "last_valid", "calendar_count"), keys, "left")
     status = F.concat("layer1_class", F.when(F.col("assessment_scope") == "Focused", " (selected checks only)").otherwise(""))

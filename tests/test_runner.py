@@ -111,3 +111,19 @@ def test_stream(spark, flow_from, tmp_path):
         assert query.exception() is None and i in (0, 1)
     got = {r.station_id: r.layer1_class for r in latest(spark.read.parquet(str(tmp_path / "results"))).collect()}
     assert got == {"a": "Needs review", "b": "No review needed"}
+
+
+def test_station_reports_alone(spark):
+    """Numbers with fixed decimals and no separators of thousands; a null is not provided."""
+    from gaugewise.sinks import reports
+
+    composite = spark.createDataFrame(
+        [("a", "series1", 3, "Needs review", 12.345, "Focused", 2, 9, 2, 100.0), ("b", "series1", 0, "Not assessable", None, "Full", 9, 9, 0, 0.0)],
+        "station_id string, series_slot string, layer1_score long, layer1_class string, layer1_score_percent double, assessment_scope string, enabled_check_count int, total_composite_check_count int, assessable_checks long, evidence_coverage_percent double",
+    )
+    parts = spark.createDataFrame([("a", "series1", "long_gaps", "Tier 1", 1234.5, 2), ("b", "series1", "long_gaps", "Not assessable", None, 2)], "station_id string, series_slot string, check string, tier string, raw_value double, weight int")
+    record = spark.createDataFrame([("a", "series1", 10, 12345.678, 2.0, 0.0, 9.0, 1.0, 8.0)], "station_id string, series_slot string, valid_count long, mean_flow double, median_flow double, minimum_flow double, maximum_flow double, q05_low_flow double, q95_high_flow double")
+    available = spark.createDataFrame([("a", "series1", None, None, 10)], "station_id string, series_slot string, first_valid date, last_valid date, calendar_count long")
+    text = {r.name: r.text for r in reports.station_reports(composite, parts, record, available).collect()}
+    assert "12345.678" in text["a_series1"] and "1234.500" in text["a_series1"] and "12.3%" in text["a_series1"] and "Needs review (selected checks only)" in text["a_series1"]
+    assert "not provided" in text["b_series1"] and max(map(len, text["a_series1"].split("\n"))) <= 100
