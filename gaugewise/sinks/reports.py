@@ -34,7 +34,7 @@ def station_reports(composite: DataFrame, components: DataFrame, record: DataFra
     status = F.concat("layer1_class", F.when(F.col("assessment_scope") == "Focused", " (selected checks only)").otherwise(""))
     parts = [
         F.lit(_rule("=")), F.lit("SCREENING SUMMARY".center(WIDTH)), F.lit(_rule("=")), F.lit(""),
-        *_part("STATION", [_field("Station ID", F.col("station_id")), _field("Series", F.col("series_slot")), _field("First to last valid", F.concat_ws(" to ", F.col("first_valid").cast("string"), F.col("last_valid").cast("string"))), _field("Valid observations", F.col("valid_count"))]),
+        *_part("STATION", [_field("Station ID", F.col("station_id")), _field("Series", F.col("series_slot")), _field("First to last valid", F.concat_ws(" to ", F.col("first_valid").cast("date").cast("string"), F.col("last_valid").cast("date").cast("string"))), _field("Valid observations", F.col("valid_count"))]),
         *_part("FINAL ASSESSMENT", [
             _field("Assessment scope", F.col("assessment_scope")), _field("Enabled composite checks", F.concat_ws("/", "enabled_check_count", "total_composite_check_count")), _field("Assessable enabled checks", F.concat_ws("/", "assessable_checks", "enabled_check_count")),
             _field("Evidence coverage", F.concat(_number("evidence_coverage_percent", 1), F.lit("%"))), _field("Review status", status), _field("Score", F.col("layer1_score")), _field("Normalized score", F.concat(_number("layer1_score_percent", 1), F.lit("%"))),
