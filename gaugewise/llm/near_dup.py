@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gaugewise.llm._common import col, drop_written, fresh, word_bytes, written
@@ -281,9 +281,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILA
 
     ``pairs`` is read more than once.
     """
-    ids = written(_ends(pairs).distinct(), "ids")
-    if ids.count() <= FEW_IDS:  # only texts that are in pairs are shuffled
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    if 2 * pairs.count() <= FEW_IDS:  # only texts that are in pairs are shuffled
+        texts = texts.join(F.broadcast(_ends(pairs)), "id", "left_semi")
     # a row that is in many pairs is a, so its text is dealt over SALTS tasks
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     many = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
@@ -294,12 +293,14 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILA
 
 def components(links: DataFrame) -> DataFrame:
     """id, class_id (the least id) for every id of ``links`` (a, b); links stay distributed in every round."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def told(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """Edges written, and their number and sum of hashes, taken as they are written."""
+        seen = Observation()
+        out = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), "links")
+        return out, (seen.get["n"], seen.get["sum"])
 
-    now = state(edges)
+    edges, now = told(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while now[0]:
         # large star: every larger neighbour of a node joins the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -308,9 +309,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours join the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        old, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        old, before = edges, now
+        edges, now = told(small.select("e.u", "e.v").where("u <> v").distinct())
         drop_written(old)
-        before, now = now, state(edges)
         if before == now:
             break
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
