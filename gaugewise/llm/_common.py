@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewise.functions.shared import drop_written, shared_dir, written  # noqa: F401
+
 #: Bytes of a word after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 WORD_TABLE = bytes(
@@ -46,43 +46,3 @@ def col(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, the warehouse's folder, which they share too; a temporary one only where the
-    master is local and there is but one machine.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = spark.sparkContext.getCheckpointDir()
-    if where is None:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        where = tempfile.mkdtemp(prefix="checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors.
-
-    The table is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` gave, once nothing reads them any more; other frames stay."""
-    for df in tables:
-        path = getattr(df, "written_to", None)
-        if path is not None:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -22,14 +22,14 @@ def ids(text):
 def test_pre_tokens_and_ids(text):
     pieces = token_count.pre_tokens(text, PATH)
     assert "".join(pieces) == text and sum(len(ids(p)) for p in pieces) == len(ids(text))
-    assert packing.token_ids(text, PATH).tolist() == ids(text)
+    assert packing.token_ids([text], PATH)[0].tolist() == ids(text)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60) | st.text(alphabet="ab 'st\n\t.1é", max_size=40))
 def test_any_text(text):
     assert sum(len(ids(p)) for p in token_count.pre_tokens(text, PATH)) == len(ids(text))
-    assert packing.token_ids(text, PATH).tolist() == ids(text)
+    assert packing.token_ids([text], PATH)[0].tolist() == ids(text)
 
 
 @pytest.mark.parametrize("common", [0, 50, 2**17])
