@@ -275,3 +275,14 @@ def composite(parts: DataFrame, settings: Mapping[str, Any] | None = None) -> Da
     few = F.col("assessable_components") < F.least(F.lit(c["minimum_assessable_components"]), F.col("n"))
     grade = F.when(few, "Not assessable").when(pct <= c["similar_maximum_percent"], "Similar").when(pct <= c["review_maximum_percent"], "Review").otherwise("Strong review")
     return s.select("station_id", "layer2_score", pct.alias("layer2_score_percent"), "maximum_assessable_score", grade.alias("layer2_class"), "assessable_components", few.alias("assessment_incomplete"), "unavailable_components")
+
+
+def supplied_metrics(metrics: DataFrame) -> DataFrame:
+    """Metrics that came with the data (station_id, provider, metric, value), passed on as one map for each station and provider.
+
+    They are shown beside the comparison and play no part in it. Of a metric given twice the largest
+    value stays; a row without a station or a name is left out, a null value is kept.
+    """
+    once = metrics.where("station_id is not null and metric is not null").groupBy("station_id", "provider", "metric").agg(F.max("value").alias("value"))
+    entries = F.array_sort(F.collect_list(F.struct("metric", "value")))
+    return once.groupBy("station_id", "provider").agg(F.map_from_entries(entries).alias("metrics"))

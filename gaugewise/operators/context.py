@@ -301,15 +301,15 @@ def network_context(
     local = local_peers(usable, c["local_peers"], series_type)
     analogue = analogue_peers(usable, local, c["analogue_peers"], series_type)
     found = written(evidence(flow, screening, signature_settings), "evidence")
-    near = finished_checks(pair_similarities(local.where("ready"), found, c["comparison"]), c["comparison"])
-    far = finished_checks(pair_similarities(analogue.where("ready"), found, c["comparison"]).where(F.col("check").isin(SHARED)), c["comparison"])
-    near, far = written(near, "local_checks"), written(far, "analogue_checks")
+    close = written(pair_similarities(local.where("ready"), found, c["comparison"]), "local_similarities")
+    alike = written(pair_similarities(analogue.where("ready"), found, c["comparison"]).where(F.col("check").isin(SHARED)), "analogue_similarities")
+    near, far = written(finished_checks(close, c["comparison"]), "local_checks"), written(finished_checks(alike, c["comparison"]), "analogue_checks")
     rows = combined_checks(near, far, c["comparison"])
     combined = combined_context(rows, c["comparison"])
     if composite is not None:
         asks = composite.where("layer1_class = 'Needs review'").select("station_id").distinct().withColumn("asks", F.lit(True))
         combined = combined.join(asks, "station_id", "left").withColumn("report_recommended", F.col("report_similarity_met") & F.coalesce("asks", F.lit(False))).drop("asks")
     return {
-        "local_peers": local, "analogue_peers": analogue, "evidence": found, "local_checks": near, "analogue_checks": far, "combined_checks": rows, "combined": combined,
+        "local_peers": local, "analogue_peers": analogue, "evidence": found, "local_similarities": close, "analogue_similarities": alike, "local_checks": near, "analogue_checks": far, "combined_checks": rows, "combined": combined,
         "local_summary": context_summary(near, LOCAL_ONLY + SHARED, c["comparison"]), "analogue_summary": context_summary(far, SHARED, c["comparison"]),
     }

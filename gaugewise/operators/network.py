@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewise.functions.numeric import ratio
+from gaugewise.functions.shared import written
 from gaugewise.operators.primitives import KEYS
 
 # Classes by how much attention they ask for.
@@ -27,10 +28,20 @@ def assessment_counts(summary: DataFrame) -> DataFrame:
 
 
 def attention_ranking(summary: DataFrame) -> DataFrame:
-    """Series in the order in which they ask for attention; only those of concern have a rank, others 0."""
-    rows = summary.withColumn("priority", _priority())
-    w = Window.partitionBy(F.col("priority") >= 2).orderBy(F.desc("priority"), F.desc_nulls_last("layer1_score_percent"), "station_id", "series_slot")
-    return rows.withColumn("attention_rank", F.when(F.col("priority") >= 2, F.row_number().over(w)).otherwise(0)).select(*KEYS, "layer1_class", "layer1_score_percent", "attention_rank")
+    """Series in the order in which they ask for attention; only those of concern have a rank, others 0.
+
+    A range partitioning sorts the series of concern, and each task's first rank follows from the
+    numbers of rows before it, so that no task holds them all.
+    """
+    rows = summary.withColumn("priority", _priority()).select(*KEYS, "layer1_class", "layer1_score_percent", "priority")
+    order = [F.desc("priority"), F.desc_nulls_last("layer1_score_percent"), F.asc("station_id"), F.asc("series_slot")]
+    of_concern = rows.where("priority >= 2").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id of a row holds its task's number above 33 bits, and its place in the task below
+    placed = written(of_concern.withColumn("at", F.monotonically_increasing_id()).withColumns({"task": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)}), "ranking")
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offsets = placed.groupBy("task").agg(F.count(F.lit(1)).alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = placed.join(F.broadcast(offsets), "task").select(*KEYS, "layer1_class", "layer1_score_percent", (F.col("offset") + F.col("place") + 1).cast("int").alias("attention_rank"))
+    return ranked.unionByName(rows.where("priority < 2").select(*KEYS, "layer1_class", "layer1_score_percent", F.lit(0).alias("attention_rank")))
 
 
 def trigger_summary(components: DataFrame) -> DataFrame:

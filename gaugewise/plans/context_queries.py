@@ -109,7 +109,7 @@ QUERIES = {
     "net_triggers": lambda s, d: tidy(network.trigger_summary(_focused(s, d)[0])),
     "review_required": lambda s, d: tidy(network.requires_review(_focused(s, d)[1])),
     "status_index": lambda s, d: tidy(network.status_index(_focused(s, d)[1])),
-    "manifest": lambda s, d: tidy(network.manifest(fx.context(s, d), fx.nation(s, d).where(F.year("ts") < 1996))),
+    "manifest": lambda s, d: tidy(network.manifest(fx.context(s, d), fx.nation(s, d))),
 }
 
 _STATIONS = """,
@@ -208,7 +208,7 @@ ORACLE_SQL = {
     "l3_evidence": _BASE + f""", pc AS (SELECT station_id, count(*) AS peaks FROM events GROUP BY 1) SELECT re.station_id, CAST(rs - DATE '1970-01-01' AS INTEGER) AS record_start, CAST(re_ - DATE '1970-01-01' AS INTEGER) AS record_end, CAST(peaks AS INTEGER) AS peaks, {r('flashiness')} AS flashiness, {r('baseflow')} AS baseflow, {r('zero_flow')} AS zero_flow,
  {r('peak_flow')} AS peak_flow, {r('time_to_peak_days')} AS time_to_peak_days, {r('event_duration_days')} AS event_duration_days FROM re LEFT JOIN pc ON re.station_id = pc.station_id LEFT JOIN sg ON re.station_id = sg.station_id LEFT JOIN zr ON re.station_id = zr.station_id LEFT JOIN representative e ON re.station_id = e.station_id""",
     "manifest": fx.with_sql(["flow_nation", "context"], """ SELECT c.station_id, CASE WHEN count(f.value) = 0 THEN 'skipped' ELSE 'completed' END AS status, CASE WHEN count(f.value) = 0 THEN 'no valid observations' END AS reason, count(f.value) AS valid_count
- FROM context c LEFT JOIN (SELECT * FROM flow_nation WHERE year(ts) < 1996) f ON c.station_id = f.station_id GROUP BY 1"""),
+ FROM context c LEFT JOIN flow_nation f ON c.station_id = f.station_id GROUP BY 1"""),
 }
 _NET = basic_tiers_sql("flow_flat") + """, cl AS (SELECT station_id, 100.0 * sum(p * w) / sum(2 * w) AS pct FROM al GROUP BY 1),
 nc AS (SELECT station_id, pct, CASE WHEN pct >= 20 THEN 'Needs review' WHEN pct >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class FROM cl),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULTS, known_keys, overlay
 from gaugewise.functions.shared import written
-from gaugewise.operators import comparison, composite, context, layer1, network, primitives
+from gaugewise.operators import comparison, composite, context, contract, layer1, network, primitives
 from gaugewise.sinks import pages, reports, tables
 from gaugewise.sources import readers
 
@@ -97,12 +98,25 @@ def read_series(spark: SparkSession, s: Mapping[str, Any], slot: str, stations:
     elif s["format"] == "netcdf":
         flow = readers.netcdf(spark, s["path"], s["variable"], s["time_coordinate"], s["station_coordinate"], stations, slot)
     else:
-        paths = [f"{s['path']}/{name}_results.p" for name in stations] if stations else [f"{s['path']}/*_results.p"]
-        flow = readers.result_pickles(spark, paths, bool(s.get("trusted")), s.get("role", "observation"), slot)
+        flow = readers.result_pickles(spark, _pickles(s, stations), bool(s.get("trusted")), s.get("role", "observation"), slot)
     span = s.get("timespan", {})
     return readers.select_timespan(flow, str(span["start_date"]), str(span["end_date"])) if span.get("mode") == "range" else flow
 
 
+def supplied(spark: SparkSession, s: Mapping[str, Any], provider: str, stations: list[str] | None) -> DataFrame | None:
+    """Metrics that a configured series brings: those stored in its pickles, or a CSV ``metrics_path`` of station_id, metric, value."""
+    if s.get("metrics_path"):
+        rows = spark.read.option("header", True).csv(s["metrics_path"]).select(F.trim("station_id").alias("station_id"), F.lit(provider).alias("provider"), "metric", F.expr("try_cast(value AS double)").alias("value"))
+        return rows.where(F.col("station_id").isin(stations)) if stations else rows
+    if s["format"] != "result_pickle":
+        return None
+    return readers.stored_metrics(spark, _pickles(s, stations), bool(s.get("trusted"))).withColumn("provider", F.lit(provider))
+
+
+def _pickles(s: Mapping[str, Any], stations: list[str] | None) -> list[str]:
+    return [f"{s['path']}/{name}_results.p" for name in stations] if stations else [f"{s['path']}/*_results.p"]
+
+
 def screen(flow: DataFrame, settings: Mapping[str, Any] | None = None, signature_settings: Mapping[str, Any] | None = None) -> dict[str, DataFrame]:
     """All tables of one flow: checks, signatures, composite, network."""
     flow = primitives.prepared(flow)
@@ -110,6 +124,7 @@ def screen(flow: DataFrame, settings: Mapping[str, Any] | None = None, signature
     found["composite"] = written(found["composite"], "composite")
     found |= {
         "missing_intervals": primitives.missing_intervals(flow), "plateaus": layer1.plateaus(flow), "zero_spells": layer1.zero_flow_spells(flow), "duplicates": layer1.duplicate_groups(flow), "irregular_intervals": layer1.irregular_intervals(flow),
+        "layer1_summary": written(contract.layer1_summary(flow, found, settings), "layer1_summary"), "layer2_summary": written(contract.layer2_summary(flow, found, signature_settings), "layer2_summary"),
         "availability": primitives.availability(flow), "counts": network.assessment_counts(found["composite"]), "triggers": network.trigger_summary(found["components"]), "ranking": network.attention_ranking(found["composite"]), "status": network.status_index(found["composite"]),
     }
     return found
@@ -152,7 +167,7 @@ def run(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
     flow = read_series(spark, settings.series1, "series1", names)
     second = read_series(spark, settings.series2, "series2", None) if settings.series2.get("enabled") else None
     out: dict[str, DataFrame] = {"pair_status": readers.pair_status(flow, second)}
-    failures = None
+    failures = places = None
     every = flow
     if second is not None:
         every = flow.unionByName(second.join(flow.select("station_id").distinct(), "station_id", "left_semi"))
@@ -163,12 +178,21 @@ def run(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
         c = settings.comparison
         out |= compare(flow, second, c.get("mode", "paired_overlap"), settings.layer2.get("comparison"), bool(c.get("calculate_daily_metrics")), settings.layer1, settings.layer2)
         failures = out["unfit"]
+        given = [m for m in (supplied(spark, settings.series1, "reference", names), supplied(spark, settings.series2, "candidate", names)) if m is not None]
+        if given and c.get("provided_metrics", {}).get("include", DEFAULTS["comparison"]["provided_metrics"]["include"]):
+            out["supplied_metrics"] = comparison.supplied_metrics(reduce(DataFrame.unionByName, given))
     if settings.layers["layer3"]:
         stations = context.validate_context(readers.context_csv(spark, settings.context["path"])).where("rejection_reason = ''").withColumn("climate_code", F.lit(None).cast("string"))
         if settings.context.get("cells"):
             legend = readers.climate_legend(spark, settings.context["legend"])
             stations = context.attach_climate(stations.drop("climate_code"), spark.read.parquet(settings.context["cells"]), legend, int(settings.context["width"]), int(settings.context["height"]))
+        places = stations
         out |= {f"context_{k}": v for k, v in context.network_context(flow, stations, settings.layer3, screening=settings.layer1, signature_settings=settings.layer2, composite=out["composite"].where("series_slot = 'series1'")).items()}
+        found = {k.removeprefix("context_"): v for k, v in out.items() if k.startswith("context_")}
+        out |= {"layer3_summary": contract.context_summary(found, settings.layer3), "layer3_evidence": contract.context_evidence(found, settings.layer3)}
+    if settings.layers["layer1"]:
+        known = {slot: {"name": s.get("name", ""), "role": s.get("role", ""), "units": s.get("units", "")} for slot, s in (("series1", settings.series1), ("series2", settings.series2))}
+        out["station_summary"] = contract.station_summary(every, out["layer1_summary"], out["layer2_summary"] if settings.layers["layer2"] else None, out.get("layer3_summary"), out.get("comparison_composite"), known, places)
     out["manifest"] = network.manifest(out["pair_status"], flow, failures)
     where = settings.output.get("directory")
     if where:

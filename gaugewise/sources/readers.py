@@ -88,6 +88,25 @@ def result_pickles(spark: SparkSession, paths: list[str], trusted: bool = False,
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def stored_metrics(spark: SparkSession, paths: list[str], trusted: bool = False) -> DataFrame:
+    """station_id, metric, value of the numbers that trusted pickles hold beside their series; what is no number is left out."""
+    if not trusted:
+        raise ValueError("unpickling can run code: set trusted only for files you trust")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pickle
+        from numbers import Real
+
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content, strict=True):
+                name = re.sub(r"_results\.p$", "", path.rpartition("/")[2])
+                daily = pickle.loads(content)[name]["1D"]  # noqa: S301
+                rows = [(name, str(k), float(v)) for k, v in daily.items() if k != "xr" and isinstance(v, Real)]
+                yield pd.DataFrame(rows, columns=["station_id", "metric", "value"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(read, "station_id string, metric string, value double")
+
+
 def netcdf_names(variables: dict[str, tuple[str, ...]], times: list[str], variable: str | None = None, time: str | None = None, station: str | None = None) -> tuple[str, str, str]:
     """(variable, time, station) of a station x time dataset; what is not given is inferred, doubt is an error.
 

@@ -36,6 +36,7 @@ def test_configured_run(spark, tmp_path, capsys):
     wide(tmp_path / "a.csv")
     wide(tmp_path / "b.csv", 1.05)
     (tmp_path / "context.csv").write_text("station_id,longitude,latitude,river_name,catchment_name,catchment_area_km2,series_type\nA,0,50,r,c,100,obs\nB,0.1,50,r,c,120,obs\n")
+    (tmp_path / "metrics.csv").write_text("station_id,metric,value\nA,KGE,0.9\nB,KGE,bad\n")
     config = tmp_path / "run.toml"
     config.write_text(f"""
 [run]
@@ -52,6 +53,7 @@ enabled = true
 format = "csv"
 path = "{tmp_path}/b.csv"
 units = "m3/s"
+metrics_path = "{tmp_path}/metrics.csv"
 [comparison]
 calculate_daily_metrics = true
 [context]
@@ -68,6 +70,10 @@ write_csv = true
     assert metrics["A", "mean_ratio"] == pytest.approx(1.05) and metrics["B", "pearson_correlation"] == pytest.approx(1)
     assert {r.layer2_class for r in spark.read.parquet(f"{out}/tables/comparison_composite").collect()} <= {"Similar", "Review", "Strong review"}
     assert spark.read.parquet(f"{out}/tables/context_combined").count() == 2
+    assert {(r.station_id, r.provider): r.metrics for r in spark.read.parquet(f"{out}/tables/supplied_metrics").collect()} == {("A", "candidate"): {"KGE": 0.9}, ("B", "candidate"): {"KGE": None}}
+    summary = {(r.station_id, r.series_slot): r for r in spark.read.parquet(f"{out}/tables/station_summary").collect()}
+    assert len(summary) == 4 and summary["A", "series1"].river_name == "r" and summary["A", "series1"].unit == "m3/s" and summary["A", "series1"].layer3_status == "assessed"
+    assert summary["A", "series2"].comparison_layer2_class is not None and summary["A", "series1"].comparison_layer2_class is None and summary["B", "series2"].layer3_status == "not_assessed"
     pages = [open(p).read() for p in glob.glob(f"{out}/pages/name=*/*.txt")]
     assert len(pages) == 4 and all("<svg" in p and "missing_values" in p for p in pages)
     reports = [open(p).read() for p in glob.glob(f"{out}/reports/name=*/*.txt")]
