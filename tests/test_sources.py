@@ -83,6 +83,9 @@ def test_result_pickles(spark, tmp_path, monkeypatch):
         readers.result_pickles(spark, [path])
     assert [(r.station_id, r.value) for r in readers.result_pickles(spark, [path], True).orderBy("ts").collect()] == [("S1", 1.0), ("S1", None)]
     assert [r.value for r in readers.result_pickles(spark, [path], True, "simulation").orderBy("ts").collect()] == [3.0, 4.0]
+    with pytest.raises(ValueError, match="trusted"):
+        readers.stored_metrics(spark, [path])
+    assert [tuple(r) for r in readers.stored_metrics(spark, [path], True).collect()] == [("S1", "NSE", 0.5)]
     for bad in (_pickle(tmp_path, "S2", key="other"), _pickle(tmp_path, "S3", dates=("2000-01-02", "2000-01-01")), _pickle(tmp_path, "S4", steps=(-1,))):
         with pytest.raises(Exception, match="must hold|unsorted|time step"):
             readers.result_pickles(spark, [bad], True).collect()
