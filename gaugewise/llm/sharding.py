@@ -103,11 +103,13 @@ def numbered(df: DataFrame, key: str, name: str, buckets: int = BUCKETS) -> tupl
     """``df`` with gapless global row numbers from 0, and their count.
 
     Two scans: the first counts the rows of each bucket (at most ``buckets`` rows reach the driver),
-    the second ranks the rows inside their bucket. No task ever holds all rows.
+    the second ranks the rows inside their bucket. The bucket follows from the whole row, so that a
+    key of many rows, null too, spreads over buckets. No task ever holds all rows.
     """
     spark = df.sparkSession
     bucket, offset, rank = fresh(df, "bucket", "offset", "rank")
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(col(key).cast("string")), F.lit(buckets)).cast("int"))
+    whole = F.xxhash64(col(key).cast("string"), *[col(c) for c in df.columns])
+    dealt = df.withColumn(bucket, F.pmod(whole, F.lit(buckets)).cast("int"))
     counts = {r[0]: r[1] for r in dealt.groupBy(bucket).count().collect()}
     rows, total = [], 0
     for b in sorted(counts):
