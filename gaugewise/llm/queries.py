@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import decontaminate, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_count, topk_search, toxicity
+from gaugewise.llm import decontaminate, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_count, topk_search, toxicity, url_filter
 from gaugewise.llm._common import table
 
 SHARDS = 16
@@ -158,8 +158,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, url_filter.rules_from(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = f"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+u AS (
+  SELECT page_id, row_number() OVER () AS n,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), fits AS (
+  SELECT u.n, arg_max(struct_pack(rule := rule_host || rule_path, verdict := verdict), length(rule_host || rule_path)) AS best
+  FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY u.n
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN fits ON u.n = fits.n
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination)
+    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination, op13_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL, "op13_url_filter": OP13_SQL}

@@ -65,5 +65,5 @@ def test_sql_oracles(spark, sf, name):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert np.isfinite(len(queries.ORACLE_SQL))
