@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import decontaminate, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_count, topk_search, toxicity, url_filter
+from gaugewise.llm import decontaminate, filter_audit, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_count, topk_search, toxicity, url_filter
 from gaugewise.llm._common import table
 
 SHARDS = 16
@@ -158,6 +158,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return filter_audit.audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH flags AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), split AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), failing AS (
+  SELECT part, doc_id,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM split
+), counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM failing LEFT JOIN flags ON failing.doc_id = flags.doc_id GROUP BY part, fails
+), letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT part, fails, n, n_good, n_toxic, filter_order, step, filter_order[step] AS name,
+    contains(fails, filter_order[step]) AS bad, length(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone
+  FROM counted, orders, range(1, 6) AS r(step)
+), counts AS (
+  SELECT part, filter_order, step, name,
+    sum(n) FILTER (WHERE NOT bad AND NOT gone) AS kept, sum(n) FILTER (WHERE bad AND NOT gone) AS removed, sum(n) FILTER (WHERE bad AND gone) AS redundant,
+    sum(n) FILTER (WHERE fails = name) AS unique_fails, sum(n_good) FILTER (WHERE bad AND NOT gone) AS good_lost, sum(n_toxic) FILTER (WHERE bad AND NOT gone) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, name
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, name), 0) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -183,6 +227,6 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination, op13_url_filter)
+    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination, op11_filter_audit, op13_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL, "op13_url_filter": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_url_filter": OP13_SQL}
