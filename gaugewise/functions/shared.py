@@ -21,14 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, reread: cuts lineage and survives lost executors.
 
-    The table is deleted when the driver's JVM ends.
+    A folder for each value of the columns ``by``. The table is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
