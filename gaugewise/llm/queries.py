@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import decontaminate, filter_audit, language_id, license_scan, line_dedup, near_dup, packing, sharding, token_count, topk_search, toxicity, url_filter
+from gaugewise.llm import decontaminate, filter_audit, language_id, license_scan, line_dedup, merkle, near_dup, packing, sharding, token_count, topk_search, toxicity, url_filter
 from gaugewise.llm._common import table
 
 SHARDS = 16
@@ -202,6 +202,64 @@ FROM counts
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lowered))
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], carry=tampered)
+    folded = merkle.fold(F.coalesce("item", "leaf"), F.col("proof"))
+    rows = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op12_sql(levels: int = 8) -> str:
+    """Levels written out: 16**8 documents of a source, and as many sources."""
+
+    def tree(name: str) -> str:
+        out = []
+        for i in range(levels):
+            at = f"{name}{i}"
+            out.append(f"""{at}s AS (
+  SELECT g, i, d, n, CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS b,
+    CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS a
+  FROM {at}
+), {name}{i + 1} AS (SELECT g, i // 16 AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d, (n + 15) // 16 AS n FROM {at} GROUP BY g, i // 16, n)""")
+        return ", ".join(out)
+
+    def path(name: str, place: str, root: str) -> tuple[str, str, str]:
+        joins = " ".join(f"JOIN {name}{i}s AS {name}_{i} ON {root} = {name}_{i}.g AND {place} // {16**i} = {name}_{i}.i" for i in range(levels))
+        proof = " || ".join(f"coalesce({name}_{i}.b || {name}_{i}.a, '')" for i in range(levels))
+        steps = ", ".join(f"{{'b': {name}_{i}.b, 'a': {name}_{i}.a}}" for i in range(levels))
+        return joins, proof, steps
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    (low, low_proof, low_steps), (up, up_proof, up_steps) = path("l", "p.i", "p.g"), path("u", "w.i", "0")
+    return f"""
+WITH RECURSIVE poly(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM poly WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8
+), d AS (
+  SELECT doc_id, source, {digest("text")} AS leaf, {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 5 = 0 AS changed
+  FROM documents, crc
+), p AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), l0 AS (SELECT g, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM p
+), {tree("l")}, u0 AS (SELECT 0 AS g, g AS i, d, count(*) OVER () AS n FROM l{levels}
+), {tree("u")}, w AS (SELECT i, d FROM u0
+), paths AS (
+  SELECT p.doc_id, p.leaf, w.d AS subroot, u{levels}.d AS root, sha256({low_proof} || {up_proof}) AS proof_sha256,
+    CASE WHEN changed THEN other ELSE leaf END AS node, [{low_steps}, {up_steps}] AS steps
+  FROM p {low} JOIN w ON p.g = w.i {up} CROSS JOIN u{levels}
+), folded AS (
+  SELECT *, list_reduce(list_prepend({{'b': '', 'a': node}}, list_filter(steps, lambda s: s.b IS NOT NULL)), lambda x, s: {{'b': '', 'a': sha256(s.b || x.a || s.a)}}).a AS folded_root FROM paths
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -227,6 +285,6 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination, op11_filter_audit, op13_url_filter)
+    for f in (op1_sharding, op2_line_dedup, op3_language_id, op4_near_dup, op5_license_scan, op6_toxicity, op7_token_count, op8_topk_search, op9_packing, op10_decontamination, op11_filter_audit, op12_merkle_manifest, op13_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_url_filter": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _op5_sql(), "op8_topk_search": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_merkle_manifest": _op12_sql(), "op13_url_filter": OP13_SQL}
