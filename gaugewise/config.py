@@ -74,7 +74,6 @@ LAYER3: dict[str, Any] = {
     },
 }
 DEFAULTS: dict[str, Any] = {
-    "layers": {"run_layer1": True, "run_layer2": True, "run_comparison": True},
     "layer1": LAYER1,
     "layer2": LAYER2,
     "layer3": LAYER3,

@@ -52,6 +52,14 @@ def paired(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.where(inside).drop("ra", "rb", "ca", "cb")
 
 
+def coverage(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Of each station with both sides the window they share, its rows, and the pairs with both values."""
+    both = F.col("reference").isNotNull() & F.col("candidate").isNotNull()
+    return paired(reference, candidate).groupBy("station_id").agg(
+        F.min("ts").alias("common_start_date"), F.max("ts").alias("common_end_date"), F.count(F.lit(1)).alias("common_timestamp_count"), F.count_if(both).alias("pairwise_valid_count")
+    )
+
+
 def paired_flows(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of the overlap as flows."""
 

@@ -200,13 +200,14 @@ def context_evidence(found: Mapping[str, DataFrame], settings: Mapping[str, Any]
 
 def station_summary(
     flow: DataFrame, layer1: DataFrame | None = None, layer2: DataFrame | None = None, layer3: DataFrame | None = None, comparison: DataFrame | None = None,
-    names: Mapping[str, Mapping[str, str]] | None = None, places: DataFrame | None = None,
+    names: Mapping[str, Mapping[str, str]] | None = None, places: DataFrame | None = None, provenance: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each assessed series: identity, calendar, what was done, and the metrics and thresholds of every layer.
 
     Metrics have the prefix of their layer, thresholds ``threshold_`` and that prefix. ``layer3`` counts
     for the first series, ``comparison`` for the second. ``names``: name, role and units of each slot;
-    ``places``: station metadata by station_id, of which the first row of a station counts.
+    ``places``: station metadata by station_id, of which the first row of a station counts; ``provenance``: what
+    ``Sourced.table`` gives, of which the requested and source spans and the input's path are told.
     """
     first = F.col("series_slot") == "series1"
     known = names or {}
@@ -229,6 +230,9 @@ def station_summary(
     if places is not None:
         wanted = [n for n in ("latitude", "longitude", "river_name", "catchment_name", "catchment_area_km2", "climate_code") if n in places.columns]
         out = out.join(places.groupBy("station_id").agg(*[F.min(F.struct(*wanted)).alias("place")]).select("station_id", *[F.col(f"place.{n}").alias(n) for n in wanted]), "station_id", "left")
+    if provenance is not None:
+        told_of = {"requested_mode": "requested_timespan_mode", "requested_start": "requested_start", "requested_end": "requested_end", "source_start": "source_calendar_start", "source_end": "source_calendar_end", "path": "input_dataset"}
+        out = out.join(provenance.select(*KEYS, *[F.col(f"provenance.{k}").alias(v) for k, v in told_of.items()]), KEYS, "left")
     out = out.withColumns({"layer1_completed": F.lit(layer1 is not None), "layer2_completed": F.lit(layer2 is not None), "comparison_completed": F.lit(comparison is not None)})
     for df, prefix in ((layer1, "layer1_"), (layer2, "layer2_")):
         if df is not None:

@@ -54,14 +54,36 @@ def trigger_summary(components: DataFrame) -> DataFrame:
     return s.withColumn("trigger_rate_percent", rate).withColumn("place", F.row_number().over(w))
 
 
-def manifest(stations: DataFrame, flow: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """One row per selected station: completed, skipped (no valid value) or failed with the reason."""
-    have = flow.groupBy("station_id").agg(F.count("value").alias("valid_count"))
-    out = stations.select("station_id").distinct().join(have, "station_id", "left")
-    out = out.join(failures.select("station_id", "reason"), "station_id", "left") if failures is not None else out.withColumn("reason", F.lit(None).cast("string"))
+def manifest(stations: DataFrame, flow: DataFrame, failures: DataFrame | None = None, review: DataFrame | None = None, context: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
+    """One row per selected station: completed, skipped (no valid value) or failed, with the error's type and message.
+
+    ``stations``: station_id and, if known, series2_status; ``failures``: as ``failures.station_failures`` gives them, the
+    first of a station by stage ("load" before others) and slot counts. ``review``: station_id and review_required of the stations that were
+    assessed; ``context``: station_id and layer3_status. ``seconds``: what the run took, of which each
+    station has the share of its rows, as all are screened at once. A second series was not attempted
+    where the first could not be assessed.
+    """
+    rows = flow.where("series_slot = 'series1'").groupBy("station_id").agg(F.count("value").alias("valid_count"), F.count(F.lit(1)).alias("n"))
+    status2 = F.col("series2_status") if "series2_status" in stations.columns else F.lit("disabled")
+    out = stations.groupBy("station_id").agg(F.max(status2).alias("series2")).join(rows, "station_id", "left")
+    if failures is None:
+        out = out.withColumn("f", F.lit(None).cast("struct<stage: string, error_type: string, error_message: string>"))
+    else:
+        first = F.min_by(F.struct("stage", "error_type", "error_message"), F.struct(F.col("stage") != "load", "series_slot"))
+        out = out.join(failures.groupBy("station_id").agg(first.alias("f")), "station_id", "left")
+    out = out.join(review.groupBy("station_id").agg(F.bool_or("review_required").alias("asks")), "station_id", "left") if review is not None else out.withColumn("asks", F.lit(False))
+    out = out.join(context.groupBy("station_id").agg(F.min("layer3_status").alias("placed")), "station_id", "left") if context is not None else out.withColumn("placed", F.lit(None).cast("string"))
     valid = F.coalesce("valid_count", F.lit(0).cast("long"))
-    status = F.when(valid == 0, "skipped").when(F.col("reason").isNotNull(), "failed").otherwise("completed")
-    return out.select("station_id", status.alias("status"), F.when(valid == 0, "no valid observations").otherwise(F.col("reason")).alias("reason"), valid.alias("valid_count"))
+    unread = F.coalesce(F.col("f.stage") == "load", F.lit(False))
+    status = F.when(unread, "failed").when(valid == 0, "skipped").when(F.col("f").isNotNull(), "failed").otherwise("completed")
+    done, skipped = status == "completed", status == "skipped"
+    every = 0 if seconds is None else rows.agg(F.sum("n")).first()[0]
+    share = F.lit(seconds) * F.col("n") / F.lit(every or 1)
+    return out.select(
+        "station_id", status.alias("status"), F.when(unread | skipped, "not_attempted").otherwise(F.col("series2")).alias("series2_status"), (done & F.coalesce("asks", F.lit(False))).alias("review_required"),
+        F.when(skipped, "NoValidSeries1Values").otherwise(F.col("f.error_type")).alias("error_type"), F.when(skipped, "no valid observations").otherwise(F.col("f.error_message")).alias("error_message"),
+        F.when(done, F.coalesce("placed", F.lit("not_assessed"))).otherwise("not_assessed").alias("layer3_status"), valid.alias("valid_count"), *([] if seconds is None else [F.coalesce(share, F.lit(0.0)).alias("elapsed_seconds")]),
+    )
 
 
 def requires_review(summary: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.operators import composite, context, layer1, layer2, network
 from gaugewise.functions.shared import written
+from gaugewise.operators import composite, context, failures, layer1, layer2, network
 from gaugewise.operators.primitives import KEYS, prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.composite_queries import FOCUSED, basic_tiers_sql
 from gaugewise.plans.layer1_queries import r, record, tidy
 from gaugewise.plans.layer2_queries import BASEFLOW, REPRESENTATIVE, annual_sql, events_sql, yearly_sql
+from gaugewise.sources import readers
 
 #: Checks whose evidence SQL can express.
 SQL_CHECKS = ["peak_timing", "flashiness", "baseflow", "zero_flow", "seasonality_shape", "event_shape", "event_time_to_peak", "event_duration"]
@@ -29,6 +30,16 @@ def _dirty(s, d) -> DataFrame:
     return rows
 
 
+def _texts(s, d) -> DataFrame:
+    return readers.long_table(fx.broken(s, d), errors=True)
+
+
+def _manifest(s, d) -> DataFrame:
+    """The stations of the context with what became of their series, some of them broken."""
+    (flow,), failed = failures.isolated(_texts(s, d))
+    return network.manifest(fx.context(s, d), flow, failed)
+
+
 def _climate(s) -> tuple[DataFrame, DataFrame]:
     cells = s.range(WIDTH * HEIGHT).select((F.col("id") / WIDTH).cast("int").alias("row"), (F.col("id") % WIDTH).cast("int").alias("col"))
     cells = cells.withColumn("climate_id", ((F.col("row") * 7 + F.floor(F.col("col") / 2)) % 31).cast("int"))
@@ -109,7 +120,8 @@ QUERIES = {
     "net_triggers": lambda s, d: tidy(network.trigger_summary(_focused(s, d)[0])),
     "review_required": lambda s, d: tidy(network.requires_review(_focused(s, d)[1])),
     "status_index": lambda s, d: tidy(network.status_index(_focused(s, d)[1])),
-    "manifest": lambda s, d: tidy(network.manifest(fx.context(s, d), fx.nation(s, d))),
+    "net_failures": lambda s, d: failures.station_failures(_texts(s, d)).drop("series_slot"),
+    "manifest": _manifest,
 }
 
 _STATIONS = """,
@@ -186,6 +198,12 @@ def _sims(*names: str) -> str:
 
 _CHECKS = f" SELECT station_id, chk AS \"check\", status, {r('similarity')} AS similarity, assessed_peer_count, supporting_peer_count FROM checks"
 _PEER = f"station_id, peer_station_id, {r('distance_km')} AS distance_km, {r('catchment_area_ratio')} AS catchment_area_ratio, relationship_rank, CAST(peer_rank AS INTEGER) AS peer_rank, ready"
+_ERRORS = """, errors AS (
+  SELECT station_id, arg_min(error_type, day) AS error_type, arg_min(error_message, day) AS error_message, count(*) AS failed_rows FROM (
+    SELECT station_id, coalesce(try_cast(ts AS TIMESTAMP), TIMESTAMP '0001-01-01') AS day, CASE WHEN try_cast(ts AS TIMESTAMP) IS NULL THEN 'TypeError' ELSE 'ValueError' END AS error_type,
+      CASE WHEN try_cast(ts AS TIMESTAMP) IS NULL THEN 'not a date: ' || ts ELSE 'not a number: ' || value END AS error_message
+    FROM flow_broken WHERE try_cast(ts AS TIMESTAMP) IS NULL OR (value IS NOT NULL AND try_cast(value AS DOUBLE) IS NULL)
+  ) GROUP BY station_id)"""
 ORACLE_SQL = {
     "ctx_validate": fx.with_sql(["context"], """, k AS (SELECT *, CAST(split_part(station_id, '_', 2) AS INTEGER) AS key FROM context),
  w AS (SELECT CASE WHEN key = 2 THEN 'NATION_1' ELSE station_id END AS station_id, longitude, CASE WHEN key = 3 THEN NULL ELSE latitude END AS latitude, river_name, catchment_name, CASE WHEN key = 9 THEN -1.0 ELSE catchment_area_km2 END AS catchment_area_km2, CASE WHEN key = 7 THEN NULL ELSE 'observation' END AS series_type FROM k)
@@ -207,8 +225,12 @@ ORACLE_SQL = {
     "l3_combined": _TWO + f" SELECT station_id, {r('avg(total)')} AS combined_score_percent, {_grade('avg(total)')} AS combined_classification, {r('avg(CASE WHEN total IS NOT NULL THEN coalesce(lc, 0.0) END)')} AS local_contribution_percent, {r('avg(CASE WHEN total IS NOT NULL THEN coalesce(ac, 0.0) END)')} AS comparable_contribution_percent, count(total) AS assessed_checks, coalesce(avg(total) >= 50, FALSE) AS report_similarity_met FROM cbt GROUP BY 1",
     "l3_evidence": _BASE + f""", pc AS (SELECT station_id, count(*) AS peaks FROM events GROUP BY 1) SELECT re.station_id, CAST(rs - DATE '1970-01-01' AS INTEGER) AS record_start, CAST(re_ - DATE '1970-01-01' AS INTEGER) AS record_end, CAST(peaks AS INTEGER) AS peaks, {r('flashiness')} AS flashiness, {r('baseflow')} AS baseflow, {r('zero_flow')} AS zero_flow,
  {r('peak_flow')} AS peak_flow, {r('time_to_peak_days')} AS time_to_peak_days, {r('event_duration_days')} AS event_duration_days FROM re LEFT JOIN pc ON re.station_id = pc.station_id LEFT JOIN sg ON re.station_id = sg.station_id LEFT JOIN zr ON re.station_id = zr.station_id LEFT JOIN representative e ON re.station_id = e.station_id""",
-    "manifest": fx.with_sql(["flow_nation", "context"], """ SELECT c.station_id, CASE WHEN count(f.value) = 0 THEN 'skipped' ELSE 'completed' END AS status, CASE WHEN count(f.value) = 0 THEN 'no valid observations' END AS reason, count(f.value) AS valid_count
- FROM context c LEFT JOIN flow_nation f ON c.station_id = f.station_id GROUP BY 1"""),
+    "net_failures": fx.with_sql(["flow_broken"], _ERRORS + " SELECT station_id, 'load' AS stage, error_type, error_message, failed_rows FROM errors"),
+    "manifest": fx.with_sql(["flow_broken", "context"], _ERRORS + """, n AS (SELECT station_id, count(value) AS n FROM flow_broken GROUP BY 1)
+ SELECT c.station_id, CASE WHEN e.station_id IS NOT NULL THEN 'failed' WHEN coalesce(n, 0) = 0 THEN 'skipped' ELSE 'completed' END AS status, CASE WHEN e.station_id IS NOT NULL OR coalesce(n, 0) = 0 THEN 'not_attempted' ELSE 'disabled' END AS series2_status, false AS review_required,
+  CASE WHEN e.station_id IS NULL AND coalesce(n, 0) = 0 THEN 'NoValidSeries1Values' ELSE error_type END AS error_type, CASE WHEN e.station_id IS NULL AND coalesce(n, 0) = 0 THEN 'no valid observations' ELSE error_message END AS error_message,
+  'not_assessed' AS layer3_status, CASE WHEN e.station_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS valid_count
+ FROM context c LEFT JOIN errors e ON c.station_id = e.station_id LEFT JOIN n ON c.station_id = n.station_id"""),
 }
 _NET = basic_tiers_sql("flow_flat") + """, cl AS (SELECT station_id, 100.0 * sum(p * w) / sum(2 * w) AS pct FROM al GROUP BY 1),
 nc AS (SELECT station_id, pct, CASE WHEN pct >= 20 THEN 'Needs review' WHEN pct >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class FROM cl),

@@ -83,6 +83,14 @@ def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_of(daily.withColumn("value", F.when(_day() % 17 != 0, F.col("value"))), slot="series2")
 
 
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse series as text, with cells that are no number (stations 6k + 1), a day that is none (6k + 2) and no values at all (6k + 3)."""
+    flow = nation(spark, sf_dir)
+    key, day = F.substring_index("station_id", "_", -1).cast("int") % 6, F.dayofyear("ts")
+    value = F.when((key == 1) & (day == 100), "err").when(key != 3, F.col("value").cast("string"))
+    return flow.select("station_id", F.when((key == 2) & (day == 50), "unknown").otherwise(F.col("ts").cast("string")).alias("ts"), value.alias("value"))
+
+
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station places, rivers and catchments."""
     n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -109,6 +117,8 @@ SQL = {
     "flow_flat": "SELECT station_id, ts, CASE WHEN CAST(floor((year(ts) * 366 + dayofyear(ts)) / 20.0) AS BIGINT) % 9 = 4 THEN 77.0 ELSE value END AS value FROM flow_region",
     "flow_lowered": "SELECT station_id, ts, value - 40 AS value FROM flow_nation",
     "flow_zeroed": "SELECT station_id, ts, coalesce(value, 0.0) AS value FROM flow_nation_null",
+    "flow_broken": """SELECT station_id, CASE WHEN k = 2 AND dayofyear(ts) = 50 THEN 'unknown' ELSE CAST(ts AS VARCHAR) END AS ts, CASE WHEN k = 1 AND dayofyear(ts) = 100 THEN 'err' WHEN k <> 3 THEN CAST(value AS VARCHAR) END AS value
+  FROM (SELECT *, CAST(split_part(station_id, '_', 2) AS INTEGER) % 6 AS k FROM flow_nation)""",
     "flow_candidate": """SELECT r_name AS station_id, CAST(l_shipdate AS DATE) AS ts,
   CASE WHEN (year(CAST(l_shipdate AS DATE)) * 366 + dayofyear(CAST(l_shipdate AS DATE))) % 17 <> 0 THEN CAST(count(*) * 25.5 AS DOUBLE) END AS value
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, CAST(l_shipdate AS DATE)""",
@@ -116,7 +126,7 @@ SQL = {
   'river_' || CAST(n_regionkey AS VARCHAR) AS river_name, r_name AS catchment_name, CAST(500.0 + 40.0 * n_nationkey AS DOUBLE) AS catchment_area_km2, 'observation' AS series_type
   FROM nation JOIN region ON n_regionkey = r_regionkey""",
 }
-_NEEDS = {"flow_nation_null": ["flow_nation"], "flow_spiky": ["flow_region"], "flow_flat": ["flow_region"], "flow_lowered": ["flow_nation"], "flow_zeroed": ["flow_nation", "flow_nation_null"]}
+_NEEDS = {"flow_broken": ["flow_nation"], "flow_nation_null": ["flow_nation"], "flow_spiky": ["flow_region"], "flow_flat": ["flow_region"], "flow_lowered": ["flow_nation"], "flow_zeroed": ["flow_nation", "flow_nation_null"]}
 
 
 def with_sql(names: list[str], rest: str) -> str:

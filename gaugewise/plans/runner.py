@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULTS, known_keys, overlay
 from gaugewise.functions.shared import written
-from gaugewise.operators import comparison, composite, context, contract, layer1, network, primitives
-from gaugewise.sinks import pages, reports, tables
+from gaugewise.operators import comparison, composite, context, contract, failures, layer1, network, primitives
+from gaugewise.sinks import pages, reports, store, tables
+from gaugewise.sinks.store import Log
 from gaugewise.sources import readers
+from gaugewise.sources.provenance import Sourced
 
+Progress = Callable[[str, Mapping[str, Any]], None]
 FORMATS = ("csv", "parquet", "netcdf", "result_pickle")
 
 
@@ -88,19 +92,26 @@ class Settings:
         return cls(**raw)
 
 
-def read_series(spark: SparkSession, s: Mapping[str, Any], slot: str, stations: list[str] | None) -> DataFrame:
-    """A configured series as a flow, its stations and timespan selected."""
+    def effective(self) -> dict[str, Any]:
+        """Everything the run uses, defaults included."""
+        asked = {name: getattr(self, name) for name in self.__dataclass_fields__}
+        return asked | {name: overlay(DEFAULTS[name], asked[name]) for name in ("layer1", "layer2", "layer3", "comparison")}
+
+
+def read_series(spark: SparkSession, s: Mapping[str, Any], slot: str, stations: list[str] | None) -> Sourced:
+    """A configured series with its errors and provenance, its stations and timespan selected."""
+    origin = {"path": s["path"], "format": s["format"], "unit": s.get("units"), "variable": s.get("variable"), "time_coordinate": s.get("time_coordinate"), "station_coordinate": s.get("station_coordinate")}
     if s["format"] == "csv":
-        flow = readers.wide_csv(spark, s["path"], s.get("date_column", "date"), slot, stations)
+        day = s.get("date_column", "date")
+        out = Sourced(readers.wide_csv(spark, s["path"], day, slot, stations, errors=True), origin | {"time_coordinate": day, "station_coordinate": "column name"}, steps=("parsed configured date column",))
     elif s["format"] == "parquet":
-        flow = readers.long_table(spark.read.parquet(s["path"]), order=s.get("order_column"), slot=slot)
-        flow = readers.select_stations(flow, stations)
+        out = Sourced(readers.long_table(spark.read.parquet(s["path"]), order=s.get("order_column"), slot=slot, errors=True), origin | {"variable": "value", "time_coordinate": "ts", "station_coordinate": "station_id"}).stations(stations)
     elif s["format"] == "netcdf":
-        flow = readers.netcdf(spark, s["path"], s["variable"], s["time_coordinate"], s["station_coordinate"], stations, slot)
+        out = Sourced(readers.netcdf(spark, s["path"], s["variable"], s["time_coordinate"], s["station_coordinate"], stations, slot), origin, steps=("missing values decoded",))
     else:
-        flow = readers.result_pickles(spark, _pickles(s, stations), bool(s.get("trusted")), s.get("role", "observation"), slot)
+        out = Sourced(readers.result_pickles(spark, _pickles(s, stations), bool(s.get("trusted")), s.get("role", "observation"), slot, errors=True), origin, steps=("contemporaneous step",))
     span = s.get("timespan", {})
-    return readers.select_timespan(flow, str(span["start_date"]), str(span["end_date"])) if span.get("mode") == "range" else flow
+    return out.timespan(str(span["start_date"]), str(span["end_date"])) if span.get("mode") == "range" else out
 
 
 def supplied(spark: SparkSession, s: Mapping[str, Any], provider: str, stations: list[str] | None) -> DataFrame | None:
@@ -159,54 +170,111 @@ def compare(
     }
 
 
-def run(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
-    """Runs and writes everything the settings ask for; gives the tables, the manifest among them."""
-    names = [s.strip() for s in settings.run.get("station_ids", []) if s.strip()] or None
-    if settings.run.get("station_file"):
-        names = readers.station_file(Path(settings.run["station_file"]).read_text().splitlines())
-    flow = read_series(spark, settings.series1, "series1", names)
-    second = read_series(spark, settings.series2, "series2", None) if settings.series2.get("enabled") else None
-    out: dict[str, DataFrame] = {"pair_status": readers.pair_status(flow, second)}
-    failures = places = None
+def assess(series1: Sourced | DataFrame, series2: Sourced | DataFrame | None = None, settings: Settings | None = None, progress: Progress | None = None) -> dict[str, DataFrame]:
+    """All tables that the settings ask for, of series at hand; nothing is written but what steps share.
+
+    A station with a row that could not be read, without a date or not finite is in ``failures`` with the error's type and message and in
+    no other table; the others go on. With ``run.continue_on_station_error = false`` the first failure is raised.
+    The ``manifest`` has a row for every station. ``progress`` is told of each step.
+    """
+    log = Log(progress)
+    settings = settings or Settings(run={"all_stations": True}, series1={"format": "parquet", "path": "memory", "units": "source units"})
+    out, stations, _ = _assess(series1, series2, settings, log)
+    return out | {"manifest": network.manifest(*stations, seconds=log.seconds())}
+
+
+def _assess(series1: Sourced | DataFrame, series2: Sourced | DataFrame | None, c: Settings, log: Log, given: DataFrame | None = None) -> tuple[dict[str, DataFrame], tuple, DataFrame]:
+    """The tables, what the manifest follows from, and the series that were assessed. ``given``: supplied metrics."""
+    spark = (series1 if isinstance(series1, DataFrame) else series1.flow).sparkSession
+    keep_on = bool(c.run.get("continue_on_station_error", True))
+    sides = [x if isinstance(x, Sourced) else Sourced(x, {"format": "memory"}) for x in (series1, series2) if x is not None]
+    used = {k: json.dumps(v, sort_keys=True, default=str) for k, v in c.effective().items()}
+    everyone = written(sides[0].flow.select("station_id").distinct(), "stations")
+    flows, failed = log.timed("isolate failures", lambda: failures.isolated(*[s.flow for s in sides], keep_on=keep_on))
+    flow, second = flows[0], flows[1] if len(flows) > 1 else None
+    status2 = readers.pair_status(everyone.withColumn("value", F.lit(None)), second)
+    provenance = [s.without(failed.select("station_id").distinct()).table() for s in sides]
+    out: dict[str, DataFrame] = {"pair_status": status2, "provenance": reduce(DataFrame.unionByName, provenance)}
+    places = context_status = review = None
     every = flow
     if second is not None:
         every = flow.unionByName(second.join(flow.select("station_id").distinct(), "station_id", "left_semi"))
-    if settings.layers["layer1"]:
+    if c.layers["layer1"]:
         every = primitives.prepared(every)
-        out |= screen(every, settings.layer1, settings.layer2)
-    if settings.layers["comparison"]:
-        c = settings.comparison
-        out |= compare(flow, second, c.get("mode", "paired_overlap"), settings.layer2.get("comparison"), bool(c.get("calculate_daily_metrics")), settings.layer1, settings.layer2)
-        failures = out["unfit"]
-        given = [m for m in (supplied(spark, settings.series1, "reference", names), supplied(spark, settings.series2, "candidate", names)) if m is not None]
-        if given and c.get("provided_metrics", {}).get("include", DEFAULTS["comparison"]["provided_metrics"]["include"]):
-            out["supplied_metrics"] = comparison.supplied_metrics(reduce(DataFrame.unionByName, given))
-    if settings.layers["layer3"]:
-        stations = context.validate_context(readers.context_csv(spark, settings.context["path"])).where("rejection_reason = ''").withColumn("climate_code", F.lit(None).cast("string"))
-        if settings.context.get("cells"):
-            legend = readers.climate_legend(spark, settings.context["legend"])
-            stations = context.attach_climate(stations.drop("climate_code"), spark.read.parquet(settings.context["cells"]), legend, int(settings.context["width"]), int(settings.context["height"]))
+        out |= log.timed("screen", lambda: screen(every, c.layer1, c.layer2), used["layer1"])
+    if c.layers["comparison"]:
+        found = log.timed("compare", lambda: compare(flow, second, c.comparison.get("mode", "paired_overlap"), c.layer2.get("comparison"), bool(c.comparison.get("calculate_daily_metrics")), c.layer1, c.layer2), used["comparison"])
+        out |= found
+        unfit = found["unfit"].select("station_id", F.lit("series1").alias("series_slot"), F.lit("compare").alias("stage"), F.lit("ValueError").alias("error_type"), F.col("reason").alias("error_message"), F.lit(None).cast("long").alias("failed_rows"))
+        failed = written(failed.unionByName(unfit.join(failed, "station_id", "left_anti")), "failures")
+        if not keep_on:
+            failures.stop(failed)
+        if given is not None and c.comparison.get("provided_metrics", {}).get("include", DEFAULTS["comparison"]["provided_metrics"]["include"]):
+            out["supplied_metrics"] = comparison.supplied_metrics(given)
+    if c.layers["layer3"]:
+        stations = context.validate_context(readers.context_csv(spark, c.context["path"])).where("rejection_reason = ''").withColumn("climate_code", F.lit(None).cast("string"))
+        if c.context.get("cells"):
+            legend = readers.climate_legend(spark, c.context["legend"])
+            stations = context.attach_climate(stations.drop("climate_code"), spark.read.parquet(c.context["cells"]), legend, int(c.context["width"]), int(c.context["height"]))
         places = stations
-        out |= {f"context_{k}": v for k, v in context.network_context(flow, stations, settings.layer3, screening=settings.layer1, signature_settings=settings.layer2, composite=out["composite"].where("series_slot = 'series1'")).items()}
+        out |= {f"context_{k}": v for k, v in log.timed("context", lambda: context.network_context(flow, stations, c.layer3, screening=c.layer1, signature_settings=c.layer2, composite=out["composite"].where("series_slot = 'series1'")), used["layer3"]).items()}
         found = {k.removeprefix("context_"): v for k, v in out.items() if k.startswith("context_")}
-        out |= {"layer3_summary": contract.context_summary(found, settings.layer3), "layer3_evidence": contract.context_evidence(found, settings.layer3)}
-    if settings.layers["layer1"]:
-        known = {slot: {"name": s.get("name", ""), "role": s.get("role", ""), "units": s.get("units", "")} for slot, s in (("series1", settings.series1), ("series2", settings.series2))}
-        out["station_summary"] = contract.station_summary(every, out["layer1_summary"], out["layer2_summary"] if settings.layers["layer2"] else None, out.get("layer3_summary"), out.get("comparison_composite"), known, places)
-    out["manifest"] = network.manifest(out["pair_status"], flow, failures)
+        out |= {"layer3_summary": contract.context_summary(found, c.layer3), "layer3_evidence": contract.context_evidence(found, c.layer3)}
+    if c.layers["layer1"]:
+        known = {slot: {"name": s.get("name", ""), "role": s.get("role", ""), "units": s.get("units", "")} for slot, s in (("series1", c.series1), ("series2", c.series2))}
+        compared = None
+        if c.layers["comparison"]:
+            compared = out["comparison_composite"].join(comparison.coverage(flow, second), "station_id", "left")
+        out["station_summary"] = log.timed("summary", lambda: written(contract.station_summary(every, out["layer1_summary"], out["layer2_summary"] if c.layers["layer2"] else None, out.get("layer3_summary"), compared, known, places, out["provenance"]), "station_summary"))
+        review = network.requires_review(out["station_summary"])
+        context_status = out["station_summary"].where("series_slot = 'series1'").select("station_id", "layer3_status")
+    out["failures"] = failed
+    return out, (status2, flow, failed, review, context_status), every
+
+
+#: Sections whose settings shaped a table, by how its name begins; all others go by layer 1.
+SECTIONS = {"context_": "layer3", "layer3_": "layer3", "comparison_": "comparison", "daily_": "comparison", "annual_": "layer2", "monthly": "layer2", "events": "layer2", "representative": "layer2", "layer2_": "layer2", "supplied_": "comparison", "unfit": "comparison", "provenance": "series1", "pair_": "run", "manifest": "run", "failures": "run"}
+
+
+def run(spark: SparkSession, settings: Settings, progress: Progress | None = None) -> dict[str, DataFrame]:
+    """Runs and writes everything the settings ask for; gives the tables, the manifest among them.
+
+    Tables go to a store (``sinks.store``) below ``output.directory``: earlier runs' rows of other stations stay, and the run
+    counts from the moment its stations are committed, last. ``progress`` is told of each step and table.
+    """
+    log = Log(progress)
+    names = [s.strip() for s in settings.run.get("station_ids", []) if s.strip()] or None
+    if settings.run.get("station_file"):
+        names = readers.station_file(Path(settings.run["station_file"]).read_text().splitlines())
+    first = log.timed("open series1", lambda: read_series(spark, settings.series1, "series1", names))
+    second = log.timed("open series2", lambda: read_series(spark, settings.series2, "series2", None)) if settings.series2.get("enabled") else None
+    given = [m for m in (supplied(spark, settings.series1, "reference", names), supplied(spark, settings.series2, "candidate", names)) if m is not None] if settings.layers["comparison"] else []
+    out, stations, every = _assess(first, second, settings, log, reduce(DataFrame.unionByName, given) if given else None)
     where = settings.output.get("directory")
-    if where:
-        tables.write_groups(out, f"{where}/tables")
-        tables.write_settings(overlay(DEFAULTS, {"layer1": settings.layer1, "layer2": settings.layer2, "layer3": settings.layer3}), spark, f"{where}/settings")
-        if settings.layers["layer1"]:
-            if settings.output.get("write_csv"):
-                tables.write_csv({k: out[k] for k in ("components", "events", "candidates", "missing_intervals", "plateaus")}, f"{where}/csv")
-            reports.status_lines(out["manifest"], out["status"]).coalesce(1).write.mode("overwrite").text(f"{where}/status")
-            if settings.output.get("write_text", True):
-                tables.write_text(reports.station_reports(out["composite"], out["components"], out["record"], out["availability"]), f"{where}/reports")
-                text = reports.network_report(out["counts"], out["triggers"], out["ranking"])
-                spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/network")
-            mode = settings.output.get("html_mode", "needs_review")
-            if mode != "none":
-                tables.write_text(pages.series_pages(every, out["composite"], out["components"], out["candidates"], out["missing_intervals"], out["plateaus"], mode), f"{where}/pages")
+    if not where:
+        return out | {"manifest": network.manifest(*stations, seconds=log.seconds())}
+    effective, run_id = settings.effective(), store.new_run()
+    used = {k: json.dumps(v, sort_keys=True, default=str) for k, v in effective.items()}
+    for name, df in out.items():
+        store.write(df, f"{where}/tables", name, run_id, log, used[next((v for k, v in SECTIONS.items() if name.startswith(k)), "layer1")])
+    tables.write_settings(effective, spark, f"{where}/settings")
+    if settings.layers["layer1"]:
+        if settings.output.get("write_csv"):
+            log.timed("csv", lambda: tables.write_csv({k: out[k] for k in ("components", "events", "candidates", "missing_intervals", "plateaus")}, f"{where}/csv"), used["output"])
+        if settings.output.get("write_text", True):
+            log.timed("reports", lambda: tables.write_text(reports.station_reports(out["composite"], out["components"], out["record"], out["availability"]), f"{where}/reports"), used["output"])
+            text = reports.network_report(out["counts"], out["triggers"], out["ranking"])
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/network")
+        mode = settings.output.get("html_mode", "needs_review")
+        if mode != "none":
+            log.timed("pages", lambda: tables.write_text(pages.series_pages(every, out["composite"], out["components"], out["candidates"], out["missing_intervals"], out["plateaus"], mode), f"{where}/pages"), used["output"])
+    out["manifest"] = written(network.manifest(*stations, seconds=log.seconds()), "manifest")
+    store.write(out["manifest"], f"{where}/tables", "manifest", run_id, log, used["run"])
+    if settings.layers["layer1"]:
+        reports.status_lines(out["manifest"], out["status"]).coalesce(1).write.mode("overwrite").text(f"{where}/status")
+    out["log"] = log.table(spark, run_id)
+    if settings.output.get("write_log", True):
+        out["log"].write.mode("append").parquet(f"{where}/log")
+        store.log_lines(out["log"]).coalesce(1).write.mode("overwrite").text(f"{where}/log_text")
+    store.commit(out["manifest"], f"{where}/tables", run_id)
     return out

@@ -1,4 +1,4 @@
-"""Result tables as Parquet, partitioned by station where they are per station, or as CSV."""
+"""Result tables as CSV, texts and settings; ``store`` keeps the tables themselves."""
 
 from __future__ import annotations
 
@@ -9,15 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_groups(tables: Mapping[str, DataFrame], path: str, by_station: bool = False) -> None:
-    """Each table to ``path/<name>``; with ``by_station`` in folders of stations, one file each."""
-    for name, df in tables.items():
-        if by_station and "station_id" in df.columns:
-            df.repartition("station_id").write.mode("overwrite").partitionBy("station_id").parquet(f"{path}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_csv(tables: Mapping[str, DataFrame], path: str) -> None:
     """Evidence as CSV with a header; nested columns as JSON."""
     for name, df in tables.items():

@@ -6,19 +6,21 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewise.operators import failures
 from gaugewise.operators.primitives import KEYS
 
 FLOW = "station_id string, series_slot string, ts timestamp_ntz, value double, src_pos long"
 
 
-def wide_csv(spark: SparkSession, path: str, date_column: str = "date", slot: str = "series1", stations: list[str] | None = None) -> DataFrame:
+def wide_csv(spark: SparkSession, path: str, date_column: str = "date", slot: str = "series1", stations: list[str] | None = None, errors: bool = False) -> DataFrame:
     """A CSV with a date column and one column per station.
 
-    Columns of stations that are not asked for are never parsed. Order, repeats and empty cells stay;
-    a cell that is no number, or a date that is none, stops the read.
+    Columns of stations that are not asked for are never parsed. Order, repeats and empty cells stay.
+    A cell that is no number, or a date that is none, stops the read; with ``errors`` it is null and
+    a column ``error`` says so, a bad date's for all stations.
     """
     raw = spark.read.option("header", True).csv(path)
     if date_column not in raw.columns:
@@ -30,13 +32,26 @@ def wide_csv(spark: SparkSession, path: str, date_column: str = "date", slot: st
         raise KeyError(", ".join(missing))
     names = list(dict.fromkeys(stations)) if stations else have
     quoted = ["`" + c.replace("`", "``") + "`" for c in names]
-    rows = raw.select(F.col(f"`{date_column}`").cast("timestamp_ntz").alias("ts"), F.monotonically_increasing_id().alias("src_pos"), *[F.col(q).cast("double").alias(c) for q, c in zip(quoted, names, strict=True)])
-    long = rows.unpivot(["ts", "src_pos"], quoted, "station_id", "value")
-    return long.select("station_id", F.lit(slot).alias("series_slot"), "ts", F.when(~F.isnan("value"), F.col("value")).alias("value"), "src_pos")
+    rows = raw.select(F.col(f"`{date_column}`").cast("string").alias("at"), F.monotonically_increasing_id().alias("src_pos"), *[F.col(q).cast("string").alias(c) for q, c in zip(quoted, names, strict=True)])
+    long = rows.unpivot(["at", "src_pos"], quoted, "station_id", "cell")
+    return _read(long, F.lit(slot), F.col("at"), F.col("cell"), F.col("src_pos"), errors)
 
 
-def long_table(df: DataFrame, station: str = "station_id", time: str = "ts", value: str = "value", order: str | None = None, slot: str = "series1") -> DataFrame:
-    """Any table of station, time and value; ``order`` names the source position."""
+def _read(df: DataFrame, slot: Column, time: Column, cell: Column, place: Column, errors: bool) -> DataFrame:
+    """Texts of time and value as a flow, with what is wrong with them if ``errors``."""
+    day = time.try_cast("timestamp_ntz") if errors else time.cast("timestamp_ntz")
+    found = [F.coalesce(failures.not_a_date(time), failures.not_a_number(cell)).alias("error")] if errors else []
+    return df.select(F.col("station_id").cast("string").alias("station_id"), slot.alias("series_slot"), day.alias("ts"), failures.number(cell, not errors).alias("value"), place.alias("src_pos"), *found)
+
+
+def long_table(df: DataFrame, station: str = "station_id", time: str = "ts", value: str = "value", order: str | None = None, slot: str = "series1", errors: bool = False) -> DataFrame:
+    """Any table of station, time and value; ``order`` names the source position.
+
+    A text that is no number or date stops the read; with ``errors`` it is null and a column ``error`` says so.
+    """
+    if errors:
+        place = F.col(order).cast("long") if order else F.lit(None).cast("long")
+        return _read(df.withColumnRenamed(station, "station_id"), F.lit(slot), F.col(time).cast("string"), F.col(value).cast("string"), place, True)
     v = F.col(value).cast("double")
     return df.select(F.col(station).cast("string").alias("station_id"), F.lit(slot).alias("series_slot"), F.col(time).cast("timestamp_ntz").alias("ts"), F.when(~F.isnan(v), v).alias("value"), (F.col(order).cast("long") if order else F.lit(None).cast("long")).alias("src_pos"))
 
@@ -56,36 +71,47 @@ def climate_legend(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def result_pickles(spark: SparkSession, paths: list[str], trusted: bool = False, role: str = "observation", slot: str = "series1") -> DataFrame:
+def result_pickles(spark: SparkSession, paths: list[str], trusted: bool = False, role: str = "observation", slot: str = "series1", errors: bool = False) -> DataFrame:
     """Trusted pickles, one station a file: {station: {"1D": {"xr": dataset, ...}}}, the contemporaneous step only.
 
-    Unpickling runs code, so ``trusted`` must be set. The file's name is ``<station>_results.p``.
+    Unpickling runs code, so ``trusted`` must be set. The file's name is ``<station>_results.p``. A file that
+    cannot be read stops the job; with ``errors`` it is one row of its station whose ``error`` says why.
     """
     if not trusted:
         raise ValueError("unpickling can run code: set trusted only for files you trust")
     variable = "streamflow_obs" if role in ("observation", "historical_observation") else "streamflow_sim"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(name: str, path: str, content: bytes) -> pd.DataFrame:
         import pickle
 
+        payload = pickle.loads(content)  # noqa: S301
+        if not isinstance(payload, dict) or list(payload) != [name]:
+            raise ValueError(f"{path} must hold exactly the station {name!r}")
+        data = payload[name]["1D"]["xr"]
+        if 0 not in list(data["time_step"].values):
+            raise ValueError(f"{path} has no time step 0")
+        times = pd.DatetimeIndex(data["date"].values)
+        if times.has_duplicates or not times.is_monotonic_increasing:
+            raise ValueError(f"{path} has repeated or unsorted dates")
+        values = pd.Series(data[variable].sel(time_step=0).values, dtype=float)
+        return pd.DataFrame({"station_id": name, "series_slot": slot, "ts": times, "value": values, "src_pos": range(len(times)), "error_type": None, "error_message": None})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
-                payload = pickle.loads(content)  # noqa: S301
                 name = re.sub(r"_results\.p$", "", path.rpartition("/")[2])
-                if not isinstance(payload, dict) or list(payload) != [name]:
-                    raise ValueError(f"{path} must hold exactly the station {name!r}")
-                data = payload[name]["1D"]["xr"]
-                if 0 not in list(data["time_step"].values):
-                    raise ValueError(f"{path} has no time step 0")
-                times = pd.DatetimeIndex(data["date"].values)
-                if times.has_duplicates or not times.is_monotonic_increasing:
-                    raise ValueError(f"{path} has repeated or unsorted dates")
-                values = pd.Series(data[variable].sel(time_step=0).values, dtype=float)
-                yield pd.DataFrame({"station_id": name, "series_slot": slot, "ts": times, "value": values, "src_pos": range(len(times))})
+                try:
+                    yield one(name, path, content)
+                except Exception as e:  # whatever a broken file raises belongs to its station
+                    if not errors:
+                        raise
+                    yield pd.DataFrame({"station_id": [name], "series_slot": slot, "ts": pd.NaT, "value": None, "src_pos": 0, "error_type": type(e).__name__, "error_message": str(e)})
 
     files = spark.read.format("binaryFile").load(paths)
-    out = files.select("path", "content").mapInPandas(read, FLOW)
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    out = files.select("path", "content").mapInPandas(read, FLOW + ", error_type string, error_message string")
+    out = out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    wrong = F.when(F.col("error_type").isNotNull(), F.struct("error_type", "error_message"))
+    return (out.withColumn("error", wrong) if errors else out).drop("error_type", "error_message")
 
 
 def stored_metrics(spark: SparkSession, paths: list[str], trusted: bool = False) -> DataFrame:
@@ -169,13 +195,15 @@ def station_file(lines: list[str]) -> list[str]:
     return [s for s in (line.strip() for line in lines) if s and not s.startswith("#")]
 
 
+def inside(start: str | None = None, end: str | None = None) -> Column:
+    """Whether a row lies from the first to the last day, both inclusive."""
+    later = F.col("ts") >= F.lit(start).cast("timestamp_ntz") if start else F.lit(True)
+    return later & (F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")) if end else later
+
+
 def select_timespan(flow: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows from the first to the last day, both inclusive."""
-    if start:
-        flow = flow.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
-    if end:
-        flow = flow.where(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
-    return flow
+    return flow.where(inside(start, end))
 
 
 def timespan_metadata(source: DataFrame, selected: DataFrame) -> DataFrame:
