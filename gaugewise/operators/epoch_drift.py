@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewise.config import LAYER1, overlay
+from gaugewise.functions.arrays import array_median, let, neighbours
 from gaugewise.functions.numeric import median, ratio
 from gaugewise.functions.shared import once
 from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, prepared, valid_record
@@ -90,51 +88,82 @@ def epoch_drift(flow: DataFrame, settings: dict[str, Any] | None = None) -> Data
     return out.select(*KEYS, F.coalesce("assessed_years", none).alias("assessed_years"), F.coalesce("epochs", none).alias("epoch_count"), share, F.when(done, tier).alias("tier"), F.when(done, dominant).alias("dominant_state"), done.alias("assessed"))
 
 
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    i, j = np.triu_indices(len(x), 1)
-    slope = float(np.median((y[j] - y[i]) / (x[j] - x[i])))
-    return slope, float(np.median(y) - slope * np.median(x))
+def _slope(points: Column) -> Column:
+    """Median of all pairwise slopes of an array of (e, x, y) by x; null for fewer than two."""
+    return array_median(F.flatten(F.transform(points, lambda p, i: F.transform(F.slice(points, i + 2, F.size(points)), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"])))))
+
+
+def _squares(points: Column) -> Column:
+    """Squared distances from the Theil-Sen line of the points, summed."""
+
+    def around(slope: Column) -> Column:
+        base = array_median(F.transform(points, lambda p: p["y"])) - slope * array_median(F.transform(points, lambda p: p["x"]))
+        return let(base, lambda b: F.aggregate(points, F.lit(0.0), lambda total, p: total + (p["y"] - b - slope * p["x"]) * (p["y"] - b - slope * p["x"])))
+
+    return let(_slope(points), around)
+
+
+def _part(points: Column, a: Column, b: Column) -> Column:
+    """The points of the epochs from a up to but not b."""
+    return F.filter(points, lambda p: (p["e"] >= a) & (p["e"] < b))
+
+
+def _cuts(costs: Column, n: Column, parts: Column) -> Column:
+    """Where to cut n epochs into so many parts at the least cost, the first such places on ties.
+
+    ``costs``: (a, b, cost) of every part. Step k of the fold knows the best k parts of the first j
+    epochs for every j, from the best k - 1 parts of fewer.
+    """
+    best = "struct<total: double, cuts: array<int>>"
+    one = F.transform(F.filter(costs, lambda c: c["a"] == 0), lambda c: F.struct(c["cost"].alias("total"), F.array().cast("array<int>").alias("cuts")).cast(best))
+
+    def more(before: Column, k: Column) -> Column:
+        def least(j: Column) -> Column:
+            last = F.filter(costs, lambda c: (c["b"] == j) & (c["a"] >= k - 1))
+            ways = F.transform(last, lambda c: let(F.get(before, c["a"] - 1), lambda w: F.struct((w["total"] + c["cost"]).alias("total"), F.concat(w["cuts"], F.array(c["a"])).alias("cuts")).cast(best)))
+            return F.array_min(ways)
+
+        return F.transform(F.sequence(F.lit(1), n), least)
+
+    steps = F.when(parts >= 2, F.sequence(F.lit(2), parts)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.aggregate(steps, one, more), n - 1)["cuts"]
 
 
 def overview(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
-    """A few longer lines for each run: the contiguous grouping of its epochs of least squared error, like neighbours joined."""
+    """A few longer lines for each run: the contiguous grouping of its epochs of least squared error, like neighbours joined.
+
+    A run is one array of its years; parts, their costs, the best grouping and the joining are expressions over it.
+    """
     c = overlay(LAYER1["epoch_drift"], settings)
     runs = _runs(annual_levels(flow, c), c)
     found = epochs(flow, c).select(*KEYS, "run", "epoch", "first_year", "last_year")
-    rows = runs.join(found, [*KEYS, "run"]).where("year between first_year and last_year").join(noise_scale(runs, c["annual_noise_floor_log"]), KEYS).select(*KEYS, "run", "epoch", "year", "level_anomaly", "noise")
-    names = [*KEYS, "run", "overview", "first_year", "last_year", "slope", "state"]
-
-    def state(x: np.ndarray, slope: float, noise: float) -> str:
-        if abs(slope) * max(x.max() - x.min(), 1) / noise < c["meaningful_epoch_change_score"]:
-            return "stable"
-        return "rising" if slope > 0 else "falling"
-
-    def group(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("year")
-        ids, noise = pdf.epoch.unique(), float(pdf.noise.iloc[0])
-        x, y, e = pdf.year.to_numpy(float), pdf.level_anomaly.to_numpy(float), np.searchsorted(ids, pdf.epoch.to_numpy())
-        parts = min(int(c["maximum_overview_slopes"]), -(-len(ids) // int(c["overview_epochs_per_segment"])))
-
-        def error(a: int, b: int) -> float:
-            on = (e >= a) & (e < b)
-            slope, base = _line(x[on], y[on])
-            return float(((y[on] - base - slope * x[on]) ** 2).sum())
-
-        cost = {(a, b): error(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids) + 1)}
-        cuts = min(combinations(range(1, len(ids)), parts - 1), key=lambda k: sum(cost[p] for p in zip((0, *k), (*k, len(ids)), strict=True)))
-        joined: list[list] = []
-        for a, b in zip((0, *cuts), (*cuts, len(ids)), strict=True):
-            on = (e >= a) & (e < b)
-            now = state(x[on], _line(x[on], y[on])[0], noise)
-            if joined and joined[-1][2] == now:
-                joined[-1][1] = b
-            else:
-                joined.append([a, b, now])
-        out = []
-        for i, (a, b, _) in enumerate(joined, 1):
-            on = (e >= a) & (e < b)
-            slope = _line(x[on], y[on])[0]
-            out.append((*keys, i, int(x[on].min()), int(x[on].max()), slope, state(x[on], slope, noise)))
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(*KEYS, "run").applyInPandas(group, "station_id string, series_slot string, run int, overview int, first_year int, last_year int, slope double, state string")
+    rows = runs.join(found, [*KEYS, "run"]).where("year between first_year and last_year")
+    rows = rows.withColumn("e", F.dense_rank().over(Window.partitionBy(*KEYS, "run").orderBy("epoch")) - 1)
+    point = F.struct("e", F.col("year").cast("double").alias("x"), F.col("level_anomaly").alias("y"))
+    rows = rows.groupBy(*KEYS, "run").agg(F.array_sort(F.collect_list(point)).alias("points"), (F.max("e") + 1).alias("n"))
+    rows = rows.join(noise_scale(runs, c["annual_noise_floor_log"]), KEYS).withColumn("parts", F.least(F.lit(int(c["maximum_overview_slopes"])), F.ceil(F.col("n") / int(c["overview_epochs_per_segment"])).cast("int")))
+    points, n = F.col("points"), F.col("n")
+    costs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(F.sequence(a + 1, n), lambda b: F.struct(a.alias("a"), b.alias("b"), _squares(_part(points, a, b)).alias("cost")))))
+    # one part needs no costs
+    rows = rows.withColumn("costs", F.when(F.col("parts") > 1, costs))
+    rows = rows.withColumn("cuts", F.when(F.col("parts") > 1, _cuts(F.col("costs"), n, F.col("parts"))).otherwise(F.array().cast("array<int>")))
+    edges = F.concat(F.array(F.lit(0)), "cuts", F.array(n))
+
+    def state(part: Column, slope: Column) -> Column:
+        span = F.greatest(F.element_at(part, -1)["x"] - part[0]["x"], F.lit(1.0))
+        return F.when(F.abs(slope) * span / F.col("noise") < c["meaningful_epoch_change_score"], "stable").when(slope > 0, "rising").otherwise("falling")
+
+    def lined(a: Column, b: Column) -> Column:
+        part = _part(points, a, b)
+        return let(part, lambda p: let(_slope(p), lambda slope: F.struct(a.alias("a"), b.alias("b"), state(p, slope).alias("state"), slope.alias("slope"), p[0]["x"].cast("int").alias("first_year"), F.element_at(p, -1)["x"].cast("int").alias("last_year"))))
+
+    def join(done: Column, now: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        like = (F.size(done) > 0) & F.coalesce(last["state"] == now["state"], F.lit(False))
+        return F.when(like, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), now["b"].alias("b"), now["state"].alias("state"))))).otherwise(F.concat(done, F.array(now)))
+
+    rows = rows.select(*KEYS, "run", "points", "noise", neighbours(edges, lined).alias("parts"))
+    short = F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["state"].alias("state")))
+    joined = F.aggregate(short, F.slice(short, 1, 0), join)
+    out = rows.select(*KEYS, "run", F.posexplode(F.transform(joined, lambda p: lined(p["a"], p["b"]))).alias("i", "p"))
+    return out.select(*KEYS, "run", (F.col("i") + 1).alias("overview"), "p.first_year", "p.last_year", "p.slope", "p.state")

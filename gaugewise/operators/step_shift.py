@@ -1,19 +1,18 @@
 """Check 9: shifts of level, high flow, seasonality or variability between calendar blocks.
 
 Monthly statistics and block features are DataFrame aggregations. What is left of a series then, some
-thirty blocks and its months, is merged and dated in one small grouped step.
+thirty blocks, is merged by a fold over their array; boundaries are dated by a join with the months around them.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewise.config import LAYER1, overlay
+from gaugewise.functions.arrays import array_median, first_place, let, neighbours
 from gaugewise.functions.numeric import median, quantile
 from gaugewise.functions.shared import once
 from gaugewise.operators.primitives import KEYS, log_offset, monthly_statistics, prepared, valid_record
@@ -62,90 +61,112 @@ def block_features(flow: DataFrame, settings: dict[str, Any] | None = None) -> D
     return kept.join(climate, [*KEYS, "block"]).select(*one, "coverage", "valid_months", *FEATURES)
 
 
-def _scales(features: np.ndarray) -> np.ndarray:
-    """Ordinary differences of neighbouring blocks, by feature, floors kept."""
-    out = []
-    for column, floor in zip(features.T, FLOORS.values(), strict=True):
-        d = np.abs(np.diff(column))
-        d = d[d <= np.median(d)]
-        out.append(max(floor, np.median(d) + 1.4826 * np.median(np.abs(d - np.median(d)))))
-    return np.asarray(out)
-
-
-def _merged(features: np.ndarray, weight: np.ndarray, scales: np.ndarray, threshold: float) -> tuple[list[int], np.ndarray]:
-    """First block and weighted features of the segments left when no neighbours are closer than ``threshold``."""
-    firsts, x, w = list(range(len(features))), features.astype(float), weight.astype(float)
-    while len(firsts) > 1:
-        far = np.abs(np.diff(x, axis=0) / scales).max(1)
-        i = int(far.argmin())
-        if far[i] >= threshold:
-            break
-        x[i] = (x[i] * w[i] + x[i + 1] * w[i + 1]) / (w[i] + w[i + 1])
-        w[i] += w[i + 1]
-        x, w = np.delete(x, i + 1, 0), np.delete(w, i + 1)
-        del firsts[i + 1]
-    return firsts, x
-
-
-def _refined(months: pd.Series, approximate: pd.Timestamp, reach: int) -> pd.Timestamp:
-    """The month start within ``reach`` months whose median anomaly before and after differs most, the first on ties."""
-    best, most, at_least = approximate, -np.inf, max(3, -(-reach // 2))
-    first = approximate - pd.DateOffset(months=reach)
-    for date in pd.date_range(first, approximate + pd.DateOffset(months=reach), freq="MS"):
-        before = months[(months.index >= date - pd.DateOffset(months=reach)) & (months.index < date)]
-        after = months[(months.index >= date) & (months.index <= date + pd.DateOffset(months=reach - 1))]
-        if len(before) >= at_least and len(after) >= at_least and (gain := abs(after.median() - before.median())) > most:
-            best, most = date, gain
-    return best
-
-
-_OUT = (
-    "station_id string, series_slot string, boundary int, boundary_date date, approximate_date date, structural_score double, collapsed_edge_count int, "
-    + ", ".join(f"score_{f} double" for f in FEATURES)
-)
+def _spread(differences: Column, floor: float) -> Column:
+    """Size of ordinary differences: the lesser half's median and its deviation, at least ``floor``."""
+    return let(
+        let(differences, lambda d: let(array_median(d), lambda half: F.filter(d, lambda x: x <= half))),
+        lambda d: let(array_median(d), lambda centre: F.greatest(F.lit(floor), centre + 1.4826 * array_median(F.transform(d, lambda x: F.abs(x - centre))))),
+    )
+
+
+def _far(a: Column, b: Column, scales: Column) -> Column:
+    """The largest of the features' differences between two segments, in scales."""
+    return F.array_max(F.zip_with(F.zip_with(a["x"], b["x"], lambda x, y: F.abs(x - y)), scales, lambda d, s: d / s))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    w = a["w"] + b["w"]
+    return F.struct(a["start"].alias("start"), w.alias("w"), F.zip_with(a["x"], b["x"], lambda x, y: (x * a["w"] + y * b["w"]) / w).alias("x"))
+
+
+def _merged(blocks: Column, scales: Column, threshold: float) -> Column:
+    """The segments left when the closest neighbours, the first on ties, have been joined until none are closer than ``threshold``.
+
+    A fold with as many steps as there are neighbours: a step that finds none close enough changes nothing.
+    """
+
+    def step(segments: Column, _: Column) -> Column:
+        gaps = neighbours(segments, lambda a, b: _far(a, b, scales))
+        return let(
+            gaps,
+            lambda g: let(F.array_min(g), lambda least: F.when(
+                least < threshold,
+                let(first_place(g, least), lambda i: F.concat(F.slice(segments, 1, i), F.array(_joined(F.get(segments, i), F.get(segments, i + 1))), F.slice(segments, i + 3, F.size(segments)))),
+            ).otherwise(segments)),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(blocks)), blocks, step)
+
+
+def segments(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
+    """Segments of like blocks of each series, and the features' scales; series of fewer than three blocks have none."""
+    c = overlay(LAYER1["step_shift"], settings)
+    block = F.struct("block", "start", F.col("valid_months").cast("double").alias("w"), F.array(*FEATURES).alias("x"))
+    rows = block_features(flow, c).groupBy(*KEYS).agg(F.max("block_years").alias("block_years"), F.array_sort(F.collect_list(block)).alias("blocks")).where("size(blocks) >= 3")
+    blocks = F.transform("blocks", lambda b: F.struct(b["start"].alias("start"), b["w"].alias("w"), b["x"].alias("x")))
+
+    def moves(i: int) -> Column:
+        return neighbours(F.col("blocks"), lambda a, b: F.abs(b["x"][i] - a["x"][i]))
+
+    scales = F.array(*[_spread(moves(i), floor) for i, floor in enumerate(FLOORS.values())])
+    rows = rows.select(*KEYS, "block_years", blocks.alias("blocks"), scales.alias("scales"))
+    return rows.select(*KEYS, "block_years", "scales", _merged(F.col("blocks"), F.col("scales"), c["structural_threshold"]).alias("segments"))
+
+
+def _candidates(flow: DataFrame, c: dict[str, Any]) -> DataFrame:
+    """Changes between segments; those of one direction that follow each other closely are one, dated by the first."""
+    signed = F.zip_with(F.zip_with(F.col("b.x"), F.col("a.x"), lambda y, x: y - x), F.col("scales"), lambda d, s: d / s)
+    edges = segments(flow, c).select(*KEYS, "block_years", "scales", F.inline(neighbours(F.col("segments"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    edges = edges.select(*KEYS, "block_years", F.col("b.start").alias("at"), signed.alias("signed")).withColumn("score", F.transform("signed", F.abs))
+    turn = F.signum(F.get("signed", first_place(F.col("score"), F.array_max("score"))))
+    w = Window.partitionBy(*KEYS).orderBy("at")
+    edges = edges.withColumn("turn", turn)
+    near = F.datediff("at", F.lag("at").over(w)) <= 366 * F.col("block_years") * c["consolidation_max_block_widths"]
+    new = F.when((F.col("turn") == F.lag("turn").over(w)) & near, 0).otherwise(1)
+    edges = edges.withColumn("new", new).withColumn("candidate", F.sum("new").over(w))
+    return edges.groupBy(*KEYS, "candidate").agg(
+        F.max("block_years").alias("block_years"), F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"), F.array(*[F.max(F.col("score")[i]) for i in range(len(FEATURES))]).alias("score")
+    )
+
+
+def _refined(found: DataFrame, flow: DataFrame, c: dict[str, Any]) -> DataFrame:
+    """``found`` with a ``date``: for shifts of level the month start nearby whose median anomaly before and after differs most, the first on ties."""
+    months = monthly_statistics(flow, int(c["minimum_valid_days_per_month"])).join(log_offset(valid_record(flow)), KEYS)
+    months = months.select(*KEYS, "month", F.ln(F.col("median") + F.col("log_offset")).alias("level")).where("level is not null")
+    usual = median(F.col("level")).over(Window.partitionBy(*KEYS, F.month("month")))
+    anomaly = months.select(*KEYS, F.col("month").alias("beside"), (F.col("level") - usual).alias("anomaly"))
+    reach = F.greatest(F.lit(1), F.bround(F.col("block_years") * 12 * F.lit(float(c["refinement_block_fraction"])), 0).cast("int"))
+    around = found.where(F.col("score")[FEATURES.index("level_log")] >= c["structural_threshold"]).select(*KEYS, "candidate", "at", reach.alias("reach"))
+    dates = around.select(*KEYS, "candidate", "reach", F.explode(F.transform(F.sequence(-F.col("reach"), F.col("reach")), lambda k: F.add_months("at", k))).alias("date"))
+    beside = dates.select("*", F.explode(F.transform(F.sequence(-F.col("reach"), F.col("reach") - 1), lambda k: F.struct(k.alias("k"), F.add_months("date", k).alias("beside")))).alias("m")).select(*KEYS, "candidate", "reach", "date", "m.*")
+    before, after = F.when(F.col("k") < 0, F.col("anomaly")), F.when(F.col("k") >= 0, F.col("anomaly"))
+    gains = beside.join(anomaly, [*KEYS, "beside"]).groupBy(*KEYS, "candidate", "reach", "date").agg(F.count(before).alias("n_before"), F.count(after).alias("n_after"), F.abs(median(after) - median(before)).alias("gain"))
+    enough = F.greatest(F.lit(3), F.ceil(F.col("reach") / 2))
+    best = gains.where((F.col("n_before") >= enough) & (F.col("n_after") >= enough)).groupBy(*KEYS, "candidate").agg(F.min_by("date", F.struct(-F.col("gain"), "date")).alias("best"))
+    return found.join(best, [*KEYS, "candidate"], "left").withColumn("date", F.coalesce("best", "at")).drop("best")
 
 
 @once
 def boundaries(flow: DataFrame, settings: dict[str, Any] | None = None) -> DataFrame:
-    """Dated boundaries between regimes, before tiering; series of fewer than three blocks have none."""
+    """Dated boundaries between regimes, before tiering; series of fewer than three blocks have none.
+
+    A refined date that does not come after the one before it gives way to the block's first day.
+    """
     c = overlay(LAYER1["step_shift"], settings)
-    names = [x.split()[0] for x in _OUT.split(", ")]
-
-    def find(keys: tuple, blocks: pd.DataFrame, months: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        if len(blocks) < 3:
-            return pd.DataFrame(columns=names)
-        years = int(blocks.block_years.iloc[0])
-        scales = _scales(blocks[FEATURES].to_numpy(float))
-        firsts, x = _merged(blocks[FEATURES].to_numpy(float), blocks.valid_months.to_numpy(float), scales, c["structural_threshold"])
-        found: list[dict] = []
-        last, way = None, 0
-        for i, first in enumerate(firsts[1:], 1):
-            date, score = pd.Timestamp(blocks.start.iloc[first]), np.abs(x[i] - x[i - 1]) / scales
-            turn = int(np.sign((x[i] - x[i - 1])[score.argmax()]))
-            if found and turn == way and (date - last).days <= 366 * years * c["consolidation_max_block_widths"]:
-                found[-1]["score"] = np.maximum(found[-1]["score"], score)
-                found[-1]["n"] += 1
-            else:
-                found.append({"date": date, "at": date, "score": score, "n": 1})
-            last, way = date, turn
-        level = months.dropna(subset=["level"]).set_index(pd.to_datetime(months.dropna(subset=["level"]).month)).level.sort_index()
-        anomaly = level - level.groupby(level.index.month).transform("median")
-        reach = max(1, round(years * 12 * c["refinement_block_fraction"]))
-        for f in found:
-            if f["score"][0] >= c["structural_threshold"]:
-                f["date"] = _refined(anomaly, f["at"], reach)
-        found.sort(key=lambda f: f["date"])
-        for a, b in zip(found, found[1:], strict=False):
-            if b["date"] <= a["date"]:
-                b["date"] = b["at"]
-        rows = [(*keys, i, f["date"].date(), f["at"].date(), float(f["score"].max()), f["n"], *map(float, f["score"])) for i, f in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=names)
+    found = _refined(_candidates(flow, c), flow, c)
+    rows = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("date", "candidate", "at", "n", "score"))).alias("found"))
 
-    months = monthly_statistics(flow, int(c["minimum_valid_days_per_month"])).join(log_offset(valid_record(flow)), KEYS)
-    # fresh aliases keep the two sides of the cogroup apart
-    months = months.select(*[F.concat(k).alias(k) for k in KEYS], "month", F.ln(F.col("median") + F.col("log_offset")).alias("level"))
-    return block_features(flow, c).groupBy(*KEYS).cogroup(months.groupBy(*KEYS)).applyInPandas(find, _OUT)
+    def place(done: Column, x: Column) -> Column:
+        late = F.size(done) > 0
+        date = F.when(late & (x["date"] <= F.get(done, F.size(done) - 1)["date"]), x["at"]).otherwise(x["date"])
+        return F.concat(done, F.array(F.struct(date.alias("date"), x["candidate"].alias("candidate"), x["at"].alias("at"), x["n"].alias("n"), x["score"].alias("score"))))
+
+    dated = F.aggregate("found", F.slice("found", 1, 0), place)
+    out = rows.select(*KEYS, F.posexplode(dated).alias("i", "f"))
+    return out.select(
+        *KEYS, (F.col("i") + 1).alias("boundary"), F.col("f.date").alias("boundary_date"), F.col("f.at").alias("approximate_date"), F.array_max("f.score").alias("structural_score"), F.col("f.n").alias("collapsed_edge_count"),
+        *[F.col("f.score")[i].alias(f"score_{name}") for i, name in enumerate(FEATURES)],
+    )
 
 
 @once

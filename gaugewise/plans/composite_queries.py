@@ -7,9 +7,11 @@ from gaugewise.operators.primitives import prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.layer1_queries import MONTHLY, PLATEAUS, RUNS, SPIKES, dated, r, record, tidy
 from gaugewise.plans.layer2_queries import CROSS, events_sql
+from gaugewise.plans.step_sql import recursive, steps
 
-#: Without the check whose merging SQL cannot express.
-FOCUSED = {"step_shift": {"enabled": False}}
+#: Short epochs, so that the records of the tables have several to group.
+FINE = {"epoch_years": 2, "minimum_valid_annual_levels": 2, "overview_epochs_per_segment": 2, "annual_noise_floor_log": 0.001}
+ALL = ", ".join(f"'{n}'" for n in composite.CHECKS)
 
 
 def _parts(s, d, settings):
@@ -26,8 +28,9 @@ QUERIES = {
     "l1_epochs": lambda s, d: tidy(epoch_drift.epochs(fx.region(s, d))),
     "l1_epoch_drift": lambda s, d: tidy(epoch_drift.epoch_drift(fx.region(s, d))),
     "l1_epoch_overview": lambda s, d: tidy(epoch_drift.overview(fx.region(s, d))),
-    "l1_components": lambda s, d: tidy(_parts(s, d, FOCUSED)),
-    "l1_composite": lambda s, d: tidy(composite.composite(_parts(s, d, FOCUSED), FOCUSED)),
+    "l1_epoch_overview_fine": lambda s, d: tidy(epoch_drift.overview(fx.nation(s, d), FINE)),
+    "l1_components": lambda s, d: tidy(_parts(s, d, None)),
+    "l1_composite": lambda s, d: tidy(composite.composite(_parts(s, d, None))),
     "l1_composite_full": lambda s, d: tidy(composite.composite(_parts(s, d, None))),
 }
 _OFFSET = """,
@@ -77,9 +80,10 @@ al AS (SELECT station_id, 'missing_values' AS chk, pct AS v, mp AS p, 2 AS w FRO
  UNION ALL SELECT station_id, 'duplicate_timestamps', v, CASE WHEN v > 0 THEN 2 ELSE 0 END, 3 FROM dp UNION ALL SELECT station_id, 'timestep_consistency', v, CASE WHEN v > 0 THEN 2 ELSE 0 END, 3 FROM ts_
  UNION ALL SELECT station_id, 'negative_discharge', v, CASE WHEN c = 0 THEN 0 WHEN v >= low THEN 2 ELSE 1 END, 3 FROM ng UNION ALL SELECT station_id, 'spike_dip', v, CASE WHEN v >= 6 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END, 1 FROM sk
  UNION ALL SELECT station_id, 'low_variability', v, CASE WHEN v >= 31 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END, 1 FROM pl
+ UNION ALL SELECT station_id, 'step_shift', score, p, 3 FROM ss
  UNION ALL SELECT station_id, 'epoch_drift', share, CASE WHEN share IS NULL THEN NULL WHEN share >= 0.75 THEN 0 WHEN share >= 0.5 THEN 1 ELSE 2 END, 2 FROM drift)"""
 _EPOCH_SQL = record("flow_region") + MONTHLY + _OFFSET + _ANNUAL
-_FULL = fx.with_sql(["flow_spiky"], record("flow_spiky") + RUNS + SPIKES + events_sql("flow_spiky") + CROSS + PLATEAUS + MONTHLY + _OFFSET + _ANNUAL + _EPOCHS + _TIERS)
+_FULL = recursive(fx.with_sql(["flow_spiky"], record("flow_spiky") + RUNS + SPIKES + events_sql("flow_spiky") + CROSS + PLATEAUS + MONTHLY + _OFFSET + _BLOCKS + _ANNUAL + steps() + _EPOCHS + _TIERS))
 _T = "CASE p WHEN 0 THEN 'Tier 3' WHEN 1 THEN 'Tier 2' WHEN 2 THEN 'Tier 1' ELSE 'Not assessable' END"
 ORACLE_SQL = {
     "l1_step_blocks": dated(fx.with_sql(["flow_region"], record("flow_region") + MONTHLY + _OFFSET + _BLOCKS + f""" SELECT bf.station_id, CAST(bf.block AS INTEGER) AS block, start, end_ AS "end", {r('valid_months / (datediff(\'month\', start, end_) + 1.0)')} AS coverage, valid_months, {r('level_log')} AS level_log, {r('high_log')} AS high_log,
@@ -89,14 +93,46 @@ ORACLE_SQL = {
     "l1_epoch_drift": fx.with_sql(["flow_region"], _EPOCH_SQL + _EPOCHS + f""" SELECT station_id, assessed_years, epoch_count, {r('share')} AS stable_year_fraction, CASE WHEN epoch_count = 0 THEN NULL WHEN share >= 0.75 THEN 'Tier 3' WHEN share >= 0.5 THEN 'Tier 2' ELSE 'Tier 1' END AS tier,
  CASE WHEN epoch_count = 0 THEN NULL WHEN kinds = 0 THEN 'stable' WHEN kinds = 1 THEN one_ ELSE 'mixed' END AS dominant_state, epoch_count > 0 AS assessed FROM drift"""),
     "l1_components": _FULL + f" SELECT station_id, chk AS \"check\", p IS NOT NULL AS assessable, {r('CAST(v AS DOUBLE)')} AS raw_value, {_T} AS tier, p AS tier_points, w AS weight, coalesce(p * w, 0) AS contribution FROM al",
-    "l1_composite": _FULL + f""", sc AS (SELECT station_id, CAST(sum(coalesce(p * w, 0)) AS BIGINT) AS layer1_score, CAST(coalesce(sum(CASE WHEN p IS NOT NULL THEN 2 * w END), 0) AS BIGINT) AS mx, count(p) AS n, string_agg(CASE WHEN p IS NULL THEN chk END, '; ') AS un FROM al GROUP BY 1)
+    "l1_composite": _FULL + f""", sc AS (SELECT station_id, CAST(sum(coalesce(p * w, 0)) AS BIGINT) AS layer1_score, CAST(coalesce(sum(CASE WHEN p IS NOT NULL THEN 2 * w END), 0) AS BIGINT) AS mx, count(p) AS n, string_agg(CASE WHEN p IS NULL THEN chk END, '; ' ORDER BY list_position([{ALL}], chk)) AS un FROM al GROUP BY 1)
  SELECT station_id, layer1_score, CASE WHEN n = 0 THEN 'Not assessable' WHEN 100.0 * layer1_score / mx >= 20 THEN 'Needs review' WHEN 100.0 * layer1_score / mx >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class, {r('100.0 * layer1_score / nullif(mx, 0)')} AS layer1_score_percent, mx AS maximum_assessable_score,
- 'Focused' AS assessment_scope, 8 AS enabled_check_count, 9 AS total_composite_check_count, 'step_shift' AS disabled_checks, n AS assessable_checks, {r('100.0 * n / 8')} AS evidence_coverage_percent, un IS NOT NULL AS assessment_incomplete, coalesce(un, '') AS unavailable_checks FROM sc""",
+ 'Full' AS assessment_scope, 9 AS enabled_check_count, 9 AS total_composite_check_count, '' AS disabled_checks, n AS assessable_checks, {r('100.0 * n / 9')} AS evidence_coverage_percent, un IS NOT NULL AS assessment_incomplete, coalesce(un, '') AS unavailable_checks FROM sc""",
 }
 
 
-def basic_tiers_sql(source: str) -> str:
-    """Tiers of the seven checks other than step shift and epoch drift, spikes not held against events."""
-    body = _TIERS[: _TIERS.index("\n UNION ALL SELECT station_id, 'epoch_drift'")] + ")"
-    body = body.replace("flow_spiky", source).replace("(SELECT * FROM crossed WHERE crosscheck_status <> 'plausible_event_context')", "(SELECT * FROM found WHERE status = 'candidate')")
-    return fx.with_sql([source], record(source) + RUNS + SPIKES + PLATEAUS + body)
+ORACLE_SQL["l1_composite_full"] = ORACLE_SQL["l1_composite"]
+_STEP = recursive(fx.with_sql(["flow_region"], record("flow_region") + MONTHLY + _OFFSET + _BLOCKS + _ANNUAL + "{steps}"))
+ORACLE_SQL["l1_step_boundaries"] = dated(
+    _STEP.replace("{steps}", steps(1.0)) + f""" SELECT station_id, CAST(i AS INTEGER) AS boundary, day_ AS boundary_date, at_ AS approximate_date, {r('greatest(s1, s2, s3, s4)')} AS structural_score, CAST(n AS INTEGER) AS collapsed_edge_count, {r('s1')} AS score_level_log, {r('s2')} AS score_high_log, {r('s3')} AS score_seasonal_amplitude_log,
+ {r('s4')} AS score_variability_log, {r('before_median')} AS before_median, {r('after_median')} AS after_median, {r('change')} AS absolute_median_change, {r('low_bound')} AS low_bound, {r('high_bound')} AS high_bound, tier FROM zb""", "boundary_date", "approximate_date"
+)
+ORACLE_SQL["l1_step_shift"] = _STEP.replace("{steps}", steps()) + f""" SELECT station_id, retained AS value, n AS boundary_count, blocks AS block_count, {r('record_years')} AS record_years, CAST(by_ AS INTEGER) AS block_years, {r('score')} AS step_shift_score,
+ CASE p WHEN 0 THEN 'Tier 3' WHEN 1 THEN 'Tier 2' WHEN 2 THEN 'Tier 1' END AS tier, done AS assessed FROM ss"""
+
+
+def _overview_sql(source: str, epoch_years: int, levels: int, per: int, floor: float) -> str:
+    """All groupings of a run's epochs by recursion, the one of least error, like neighbours joined."""
+    epochs = _EPOCHS.replace("WHERE n >= 5", f"WHERE n >= {levels}").replace("floor(n / 5.0)", f"floor(n / {epoch_years}.0)").replace("0.03) AS noise", f"{floor}) AS noise")
+    return recursive(fx.with_sql([source], record(source) + MONTHLY + _OFFSET + _ANNUAL + epochs)) + f""",
+oy AS (SELECT ru.station_id, ru.run, year, y, dense_rank() OVER (PARTITION BY ru.station_id, ru.run ORDER BY epoch) - 1 AS e FROM ru JOIN epochs ON ru.station_id = epochs.station_id AND ru.run = epochs.run AND year BETWEEN first_year AND last_year),
+ow AS (SELECT station_id, run, max(e) + 1 AS n, least(4, CAST(ceil((max(e) + 1) / {per}.0) AS INTEGER)) AS parts FROM oy GROUP BY 1, 2),
+ob AS (SELECT station_id, run, a, unnest(range(a + 1, n + 1)) AS b FROM (SELECT station_id, run, n, unnest(range(0, n)) AS a FROM ow)),
+os AS (SELECT ob.station_id, ob.run, a, b, quantile_cont((q.y - p.y) / (q.year - p.year), 0.5) AS slope FROM ob JOIN oy p ON ob.station_id = p.station_id AND ob.run = p.run AND p.e >= a AND p.e < b JOIN oy q ON ob.station_id = q.station_id AND ob.run = q.run AND q.e >= a AND q.e < b AND q.year > p.year GROUP BY 1, 2, 3, 4),
+oc AS (SELECT os.station_id, os.run, a, b, any_value(slope) AS slope, quantile_cont(y, 0.5) - any_value(slope) * quantile_cont(year, 0.5) AS base, min(year) AS y0, max(year) AS y1 FROM os JOIN oy ON os.station_id = oy.station_id AND os.run = oy.run AND e >= a AND e < b GROUP BY 1, 2, 3, 4),
+oe AS (SELECT oc.*, cost, CASE WHEN abs(slope) * greatest(y1 - y0, 1) / noise < 1 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS state FROM oc JOIN noise ON oc.station_id = noise.station_id
+  JOIN (SELECT oc.station_id, oc.run, a, b, sum((y - base - slope * year) * (y - base - slope * year)) AS cost FROM oc JOIN oy ON oc.station_id = oy.station_id AND oc.run = oy.run AND e >= a AND e < b GROUP BY 1, 2, 3, 4) k ON oc.station_id = k.station_id AND oc.run = k.run AND oc.a = k.a AND oc.b = k.b),
+og AS (SELECT station_id, run, 0 AS k, CAST(0 AS BIGINT) AS e, CAST(0.0 AS DOUBLE) AS total, CAST([] AS BIGINT[]) AS cuts FROM ow UNION ALL SELECT og.station_id, og.run, k + 1, CAST(b AS BIGINT), total + cost, list_append(cuts, CAST(b AS BIGINT)) FROM og JOIN oe ON og.station_id = oe.station_id AND og.run = oe.run AND og.e = oe.a JOIN ow ON og.station_id = ow.station_id AND og.run = ow.run WHERE k < parts),
+oh AS (SELECT og.station_id, og.run, cuts FROM og JOIN ow ON og.station_id = ow.station_id AND og.run = ow.run WHERE k = parts AND e = n QUALIFY row_number() OVER (PARTITION BY og.station_id, og.run ORDER BY total, cuts) = 1),
+oi AS (SELECT station_id, run, unnest(cuts) AS b, unnest(list_prepend(0, cuts[:-2])) AS a FROM oh),
+oj AS (SELECT oi.*, state, CASE WHEN state = lag(state) OVER (PARTITION BY oi.station_id, oi.run ORDER BY oi.a) THEN 0 ELSE 1 END AS fresh FROM oi JOIN oe ON oi.station_id = oe.station_id AND oi.run = oe.run AND oi.a = oe.a AND oi.b = oe.b),
+ok AS (SELECT station_id, run, i, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY station_id, run ORDER BY a) AS i FROM oj) GROUP BY 1, 2, 3)
+SELECT ok.station_id, CAST(ok.run AS INTEGER) AS run, CAST(i AS INTEGER) AS overview, y0 AS first_year, y1 AS last_year, {r('slope')} AS slope, state FROM ok JOIN oe ON ok.station_id = oe.station_id AND ok.run = oe.run AND ok.a = oe.a AND ok.b = oe.b"""
+
+
+ORACLE_SQL["l1_epoch_overview"] = _overview_sql("flow_region", 5, 5, 4, 0.03)
+ORACLE_SQL["l1_epoch_overview_fine"] = _overview_sql("flow_nation", 2, 2, 2, 0.001)
+
+
+def tiers_sql(source: str) -> str:
+    """Tiers of all nine checks of a flow, spikes not held against events."""
+    body = _TIERS.replace("flow_spiky", source).replace("(SELECT * FROM crossed WHERE crosscheck_status <> 'plausible_event_context')", "(SELECT * FROM found WHERE status = 'candidate')")
+    return recursive(fx.with_sql([source], record(source) + RUNS + SPIKES + PLATEAUS + MONTHLY + _OFFSET + _BLOCKS + _ANNUAL + steps() + _EPOCHS + body))

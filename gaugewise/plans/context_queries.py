@@ -11,7 +11,7 @@ from gaugewise.functions.shared import written
 from gaugewise.operators import composite, context, failures, layer1, layer2, network
 from gaugewise.operators.primitives import KEYS, prepared
 from gaugewise.plans import fixtures as fx
-from gaugewise.plans.composite_queries import FOCUSED, basic_tiers_sql
+from gaugewise.plans.composite_queries import tiers_sql
 from gaugewise.plans.layer1_queries import r, record, tidy
 from gaugewise.plans.layer2_queries import BASEFLOW, REPRESENTATIVE, annual_sql, events_sql, yearly_sql
 from gaugewise.sources import readers
@@ -90,10 +90,10 @@ def _combined(s, d) -> DataFrame:
     return context.combined_checks(near, far)
 
 
-def _focused(s, d):
+def _assessed(s, d):
     flow = fx.flat(s, d)
-    parts = written(composite.components(flow, FOCUSED | {"epoch_drift": {"enabled": False}}), "components")
-    return parts, composite.composite(parts, FOCUSED | {"epoch_drift": {"enabled": False}})
+    parts = written(composite.components(flow), "components")
+    return parts, composite.composite(parts)
 
 
 QUERIES = {
@@ -115,11 +115,11 @@ QUERIES = {
     "l3_combined": lambda s, d: tidy(context.combined_context(_combined(s, d))),
     "l3_evidence": lambda s, d: tidy(_evidence(s, d).select("station_id", "record_start", "record_end", F.size("peak_days").alias("peaks"), "flashiness", "baseflow", "zero_flow", "peak_flow", "time_to_peak_days", "event_duration_days")),
     "l3_run": lambda s, d: tidy(context.network_context(fx.nation(s, d), _stations(s, d), {"local_peers": LOCAL})["combined"]),
-    "net_counts": lambda s, d: tidy(network.assessment_counts(_focused(s, d)[1])),
-    "net_ranking": lambda s, d: tidy(network.attention_ranking(_focused(s, d)[1])),
-    "net_triggers": lambda s, d: tidy(network.trigger_summary(_focused(s, d)[0])),
-    "review_required": lambda s, d: tidy(network.requires_review(_focused(s, d)[1])),
-    "status_index": lambda s, d: tidy(network.status_index(_focused(s, d)[1])),
+    "net_counts": lambda s, d: tidy(network.assessment_counts(_assessed(s, d)[1])),
+    "net_ranking": lambda s, d: tidy(network.attention_ranking(_assessed(s, d)[1])),
+    "net_triggers": lambda s, d: tidy(network.trigger_summary(_assessed(s, d)[0])),
+    "review_required": lambda s, d: tidy(network.requires_review(_assessed(s, d)[1])),
+    "status_index": lambda s, d: tidy(network.status_index(_assessed(s, d)[1])),
     "net_failures": lambda s, d: failures.station_failures(_texts(s, d)).drop("series_slot"),
     "manifest": _manifest,
 }
@@ -232,8 +232,8 @@ ORACLE_SQL = {
   'not_assessed' AS layer3_status, CASE WHEN e.station_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS valid_count
  FROM context c LEFT JOIN errors e ON c.station_id = e.station_id LEFT JOIN n ON c.station_id = n.station_id"""),
 }
-_NET = basic_tiers_sql("flow_flat") + """, cl AS (SELECT station_id, 100.0 * sum(p * w) / sum(2 * w) AS pct FROM al GROUP BY 1),
-nc AS (SELECT station_id, pct, CASE WHEN pct >= 20 THEN 'Needs review' WHEN pct >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class FROM cl),
+_NET = tiers_sql("flow_flat") + """, ncl AS (SELECT station_id, 100.0 * sum(p * w) / sum(CASE WHEN p IS NOT NULL THEN 2 * w END) AS pct FROM al GROUP BY 1),
+nc AS (SELECT station_id, pct, CASE WHEN pct >= 20 THEN 'Needs review' WHEN pct >= 7.5 THEN 'Minor concerns' ELSE 'No review needed' END AS layer1_class FROM ncl),
 np AS (SELECT *, CASE layer1_class WHEN 'Needs review' THEN 3 WHEN 'Minor concerns' THEN 2 ELSE 1 END AS pr_ FROM nc)"""
 ORACLE_SQL |= {
     "net_counts": _NET + " SELECT layer1_class, count(*) AS series_count, count(DISTINCT station_id) AS station_count FROM nc GROUP BY 1",
