@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from gaugewise.llm._common import WORD_TABLE, col, word_bytes, written
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 17
 SAMPLE = 16
 #: Bytes of benchmark text that one pass takes; a larger benchmark takes more passes.
 BLOCK_BYTES = 8 << 20
