@@ -6,7 +6,9 @@ linear in the stations of a neighbourhood; no station is compared with all other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,18 +79,29 @@ def _cells(df: DataFrame, edge_km: float, around: bool) -> DataFrame:
     return out
 
 
-def candidates(stations: DataFrame, radius_km: float, series_type: str = "observation", same: list[str] | None = None) -> DataFrame:
+def _area_band(width: float) -> Column:
+    """Stations whose areas differ by a factor of at most 2**width are in the same band or in neighbours."""
+    return F.floor(F.log2("catchment_area_km2") / F.lit(width * (1 + 1e-9))).cast("long")
+
+
+def candidates(stations: DataFrame, radius_km: float, series_type: str = "observation", same: list[str] | None = None, targets: DataFrame | None = None, area_width: float | None = None) -> DataFrame:
     """Pairs of stations within the radius: distance, area ratio, shared river, catchment and climate.
 
-    A station whose id is not unique is no target. ``same``: columns that both must share.
+    A station whose id is not unique is no target. ``same``: columns that both must share. ``targets``: ids to which the
+    targets are confined; ``area_width``: areas differ by a factor of at most 2 to its power, by bands in the join key.
     """
     if "climate_code" not in stations.columns:
         stations = stations.withColumn("climate_code", F.lit(None).cast("string"))
     own = ["station_id", "longitude", "latitude", "river_name", "catchment_name", "catchment_area_km2", "climate_code"]
     unique = stations.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("station_id"))).where("copies = 1")
-    keys = ["cx", "cy", "cz", *(same or [])]
+    keys = ["cx", "cy", "cz", *(same or []), *(["band"] if area_width else [])]
+    if targets is not None:
+        unique = unique.join(targets.select("station_id"), "station_id", "left_semi")
     t = _cells(unique.select(*own), radius_km, True)
     p = _cells(stations.where(F.col("series_type") == series_type).select(*own), radius_km, False)
+    if area_width:
+        band = _area_band(area_width)
+        t, p = t.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), p.withColumn("band", band)
     p = p.select(*keys, *[F.col(c).alias(f"peer_{c}") for c in own if c not in keys], *([F.col("climate_code").alias("peer_climate_code")] if "climate_code" in keys else []))
     distance = haversine_km(F.col("longitude"), F.col("latitude"), F.col("peer_longitude"), F.col("peer_latitude"))
     pairs = t.join(p, keys).where("station_id <> peer_station_id").withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
@@ -118,12 +131,45 @@ def local_peers(stations: DataFrame, settings: Mapping[str, Any] | None = None,
     return _best(candidates(stations, c["maximum_search_radius_km"], series_type), ["relationship_rank", "distance_km", "catchment_area_ratio", "peer_station_id"], c)
 
 
+#: Stations for each peer kept that the first band of areas may meet: more stations begin with a narrower band.
+CROWD = 32
+
+
+def area_widths(stations: int, peers: int, limit: float) -> list[float]:
+    """Widths of the bands to search one after the other, each four times the one before, the last one the limit."""
+    widths = [limit]
+    while stations * widths[0] > CROWD * peers * limit:
+        widths.insert(0, widths[0] / 4)
+    return widths
+
+
 def analogue_peers(stations: DataFrame, local: DataFrame, settings: Mapping[str, Any] | None = None, series_type: str = "observation") -> DataFrame:
-    """Comparable stations of similar area and climate, without the chosen local ones."""
+    """Comparable stations of similar area and climate, without the chosen local ones.
+
+    As the likest area comes first, a station that finds all its peers within a narrow band of areas needs no
+    wider one. The bands widen from round to round, for the stations that still lack peers, up to the greatest ratio: pairs
+    grow with the stations and not with their square, unless very many areas are equal. The stations are counted, and all but the last
+    round written, before this returns.
+    """
     c = overlay(LAYER3["analogue_peers"], settings)
-    pairs = candidates(stations, c["maximum_search_radius_km"], series_type, ["climate_code"] if c["require_same_climate"] else None)
-    pairs = pairs.where(F.col("catchment_area_ratio") <= c["maximum_catchment_area_ratio"]).join(local.select("station_id", "peer_station_id"), ["station_id", "peer_station_id"], "left_anti")
-    return _best(pairs, ["catchment_area_ratio", "relationship_rank", "distance_km", "peer_station_id"], c)
+    most, order = c["maximum_catchment_area_ratio"], ["catchment_area_ratio", "relationship_rank", "distance_km", "peer_station_id"]
+    limit = math.log2(most) if most > 1 else 1e-6
+    todo, out = None, []
+    for width in area_widths(stations.count(), max(int(c["maximum_peers"]), 1), limit):
+        last = width == limit
+        pairs = candidates(stations, c["maximum_search_radius_km"], series_type, ["climate_code"] if c["require_same_climate"] else None, todo, width)
+        pairs = pairs.where(F.col("catchment_area_ratio") <= (most if last else 2.0**width)).join(local.select("station_id", "peer_station_id"), ["station_id", "peer_station_id"], "left_anti")
+        best = _best(pairs, order, c)
+        if last:
+            out.append(best)
+            break
+        best = written(best.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("station_id"))), "analogue_peers")
+        settled = best.where(F.col("found") >= int(c["maximum_peers"])).drop("found")
+        out.append(settled)
+        todo = written((stations if todo is None else todo).select("station_id").join(settled.select("station_id"), "station_id", "left_anti"), "analogue_targets")
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
 
 
 def matched_dates(a: Column, b: Column, tolerance_days: float) -> Column:
@@ -172,7 +218,34 @@ def evidence(flow: DataFrame, settings: Mapping[str, Any] | None = None, signatu
     for part in (peaks, shifts, steps, epochs, yearly, zero, months, shown):
         out = out.join(part, KEYS, "left")
     none = F.array().cast("array<int>")
-    return out.withColumns({"peak_days": F.coalesce("peak_days", none), "shift_days": F.when(F.col("steps_assessed"), F.coalesce("shift_days", none))}).drop("steps_assessed")
+    return with_availability(out.withColumns({"peak_days": F.coalesce("peak_days", none), "shift_days": F.when(F.col("steps_assessed"), F.coalesce("shift_days", none))}).drop("steps_assessed"))
+
+
+# Kinds of evidence, and the reason of those that are not there.
+EVIDENCE = ["peak_dates", "step_shift_dates", "epoch_behaviour", "zero_flow_ratio", "annual_signatures", "seasonality_profile", "representative_event"]
+UNAVAILABLE = "Required Layer 1/2 evidence was unavailable or not calculable."
+#: The kind of evidence that each check needs.
+NEEDS = {
+    "peak_timing": "peak_dates", "step_shift_timing": "step_shift_dates", "epoch_behaviour": "epoch_behaviour", "flashiness": "annual_signatures", "baseflow": "annual_signatures", "zero_flow": "zero_flow_ratio",
+    "seasonality_shape": "seasonality_profile", "event_shape": "representative_event", "event_time_to_peak": "representative_event", "event_duration": "representative_event",
+}
+
+
+def with_availability(found: DataFrame) -> DataFrame:
+    """Evidence with two maps: ``availability`` of each kind, and ``unavailable_reasons`` of those that are not there.
+
+    A check that ran and found no date is evidence; an array of dates that is null is none.
+    """
+    there = {
+        "peak_dates": F.col("peak_days").isNotNull(), "step_shift_dates": F.col("shift_days").isNotNull(), "epoch_behaviour": F.col("epoch_behaviour").isNotNull(), "zero_flow_ratio": F.col("zero_flow").isNotNull(),
+        "annual_signatures": F.col("flashiness").isNotNull() | F.col("baseflow").isNotNull(), "seasonality_profile": F.coalesce(F.exists("profile", lambda x: x.isNotNull()), F.lit(False)), "representative_event": F.col("curve").isNotNull(),
+    }
+    available = F.create_map(*[x for k in EVIDENCE for x in (F.lit(k), there[k])])
+    out = found.withColumn("availability", available)
+    return out.withColumn("unavailable_reasons", F.transform_values(F.map_filter("availability", lambda _, v: ~v), lambda _, v: F.lit(UNAVAILABLE)))
+
+
+NO_DATES = "neither station has dates in the common period"
 
 
 def _like(a: Column, b: Column) -> Column:
@@ -183,7 +256,17 @@ def _like(a: Column, b: Column) -> Column:
 
 def pair_similarities(peers: DataFrame, found: DataFrame, settings: Mapping[str, Any] | None = None) -> DataFrame:
     """Similarity of each target and peer in each check: station_id, peer_station_id, check, similarity (null: not assessed)."""
+    return pair_checks(peers, found, settings).select("station_id", "peer_station_id", "check", "similarity")
+
+
+def pair_checks(peers: DataFrame, found: DataFrame, settings: Mapping[str, Any] | None = None) -> DataFrame:
+    """Each target and peer in each check: ``similarity``, ``pair_status`` and, where there is no similarity, the ``reason``.
+
+    supported or not_supported by the check's minimum; not_applicable where both have the evidence and neither has a date
+    in the common period; else not_assessed.
+    """
     c = overlay(LAYER3["comparison"], settings)
+    found = found if "availability" in found.columns else with_availability(found)
     names = [n for n in found.columns if n not in KEYS]
     a = found.select("station_id", *[F.col(n).alias(f"a_{n}") for n in names])
     b = found.select(F.col("station_id").alias("peer_station_id"), *[F.col(n).alias(f"b_{n}") for n in names])
@@ -196,7 +279,8 @@ def pair_similarities(peers: DataFrame, found: DataFrame, settings: Mapping[str,
         return F.when((start <= end) & F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull() & (total > 0), 2.0 * matched_dates(x, y, tolerance) / total)
 
     def bounded(n: str) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col(f"a_{n}") - F.col(f"b_{n}"))))
+        d = F.abs(F.col(f"a_{n}") - F.col(f"b_{n}"))
+        return F.when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)))
 
     def days(n: str, tolerance: float) -> Column:
         d = F.abs(F.col(f"b_{n}") - F.col(f"a_{n}"))
@@ -213,8 +297,27 @@ def pair_similarities(peers: DataFrame, found: DataFrame, settings: Mapping[str,
         "flashiness": _like(F.col("a_flashiness"), F.col("b_flashiness")), "baseflow": bounded("baseflow"), "zero_flow": bounded("zero_flow"), "seasonality_shape": season, "event_shape": shape,
         "event_time_to_peak": days("time_to_peak_days", c["event_time_to_peak_tolerance_days"]), "event_duration": days("event_duration_days", c["event_duration_tolerance_days"]),
     }
-    wide = pairs.select("station_id", "peer_station_id", *[v.cast("double").alias(n) for n, v in values.items()])
-    return wide.unpivot(["station_id", "peer_station_id"], list(values), "check", "similarity")
+    apart = ~F.coalesce(start <= end, F.lit(False))
+
+    def no_dates(n: str) -> Column:
+        x, y = (F.filter(F.col(f"{s}_{n}"), lambda d: (d >= start) & (d <= end)) for s in "ab")
+        return F.coalesce(F.size(x) + F.size(y) == 0, F.lit(False))
+
+    own = {
+        "peak_timing": F.when(apart, "no common period").when(no_dates("peak_days"), NO_DATES), "step_shift_timing": F.when(apart, "no common period").when(no_dates("shift_days"), NO_DATES),
+        "epoch_behaviour": F.when(apart, "no common period").when(~long_enough, "common period is too short"),
+    }
+
+    def reason(check: str) -> Column:
+        kind = NEEDS[check]
+        lacks = F.when(~F.col("a_availability")[kind], "target evidence is unavailable").when(~F.col("b_availability")[kind], "peer evidence is unavailable")
+        return F.coalesce(lacks, own[check] if check in own else F.lit(None).cast("string"), F.lit("evidence is not comparable"))
+
+    told = F.array(*[F.struct(F.lit(n).alias("check"), v.cast("double").alias("similarity"), F.when(v.isNull(), reason(n)).alias("reason")) for n, v in values.items()])
+    rows = pairs.select("station_id", "peer_station_id", F.inline(told))
+    x = F.col("similarity")
+    status = F.when(x >= minimum_of(F.col("check"), settings), "supported").when(x.isNotNull(), "not_supported").when(F.col("reason") == NO_DATES, "not_applicable").otherwise("not_assessed")
+    return rows.select("station_id", "peer_station_id", "check", "similarity", status.alias("pair_status"), "reason")
 
 
 def minimum_of(check: Column, settings: Mapping[str, Any] | None = None) -> Column:
@@ -227,11 +330,17 @@ def minimum_of(check: Column, settings: Mapping[str, Any] | None = None) -> Colu
 
 
 def finished_checks(similarities: DataFrame, settings: Mapping[str, Any] | None = None) -> DataFrame:
-    """Median over the assessed peers, how many support, and the status of each check of each target."""
+    """Median over the assessed peers, how many support, and the status of each check of each target.
+
+    Of the rows of ``pair_checks`` it also gives the ``reason`` of a check that no peer could assess, and how many peers it did not apply to.
+    """
     x, least = F.col("similarity"), minimum_of(F.col("check"), settings)
-    s = similarities.withColumn("least", least).groupBy("station_id", "check").agg(median(x).alias("similarity"), F.count(x).alias("assessed_peer_count"), F.count_if(x >= F.col("least")).alias("supporting_peer_count"), F.first("least").alias("least"))
+    told = "reason" in similarities.columns
+    more = [F.bool_and(F.col("reason") == "target evidence is unavailable").alias("lacking"), F.count_if(F.col("pair_status") == "not_applicable").alias("not_applicable_peer_count")] if told else []
+    s = similarities.withColumn("least", least).groupBy("station_id", "check").agg(median(x).alias("similarity"), F.count(x).alias("assessed_peer_count"), F.count_if(x >= F.col("least")).alias("supporting_peer_count"), F.first("least").alias("least"), *more)
+    why = F.when(F.col("assessed_peer_count") == 0, F.when(F.col("lacking"), "target evidence is unavailable").otherwise("no peer has comparable evidence in a common period")) if told else None
     status = F.when(F.col("assessed_peer_count") == 0, "not_assessed").when(F.col("similarity") >= F.col("least"), "supported").otherwise("not_supported")
-    return s.select("station_id", "check", status.alias("status"), "similarity", "assessed_peer_count", "supporting_peer_count")
+    return s.select("station_id", "check", status.alias("status"), "similarity", "assessed_peer_count", "supporting_peer_count", *(["not_applicable_peer_count", why.alias("reason")] if told else []))
 
 
 def agreement(score: Column, settings: Mapping[str, Any] | None = None) -> Column:
@@ -301,8 +410,8 @@ def network_context(
     local = local_peers(usable, c["local_peers"], series_type)
     analogue = analogue_peers(usable, local, c["analogue_peers"], series_type)
     found = written(evidence(flow, screening, signature_settings), "evidence")
-    close = written(pair_similarities(local.where("ready"), found, c["comparison"]), "local_similarities")
-    alike = written(pair_similarities(analogue.where("ready"), found, c["comparison"]).where(F.col("check").isin(SHARED)), "analogue_similarities")
+    close = written(pair_checks(local.where("ready"), found, c["comparison"]), "local_similarities")
+    alike = written(pair_checks(analogue.where("ready"), found, c["comparison"]).where(F.col("check").isin(SHARED)), "analogue_similarities")
     near, far = written(finished_checks(close, c["comparison"]), "local_checks"), written(finished_checks(alike, c["comparison"]), "analogue_checks")
     rows = combined_checks(near, far, c["comparison"])
     combined = combined_context(rows, c["comparison"])

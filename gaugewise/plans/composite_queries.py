@@ -136,3 +136,12 @@ def tiers_sql(source: str) -> str:
     """Tiers of all nine checks of a flow, spikes not held against events."""
     body = _TIERS.replace("flow_spiky", source).replace("(SELECT * FROM crossed WHERE crosscheck_status <> 'plausible_event_context')", "(SELECT * FROM found WHERE status = 'candidate')")
     return recursive(fx.with_sql([source], record(source) + RUNS + SPIKES + PLATEAUS + MONTHLY + _OFFSET + _BLOCKS + _ANNUAL + steps() + _EPOCHS + body))
+
+
+def changes_sql(source: str, threshold: float) -> str:
+    """CTEs ``sdays`` (days of shifts above Tier 3), ``sa`` (whether shifts were assessed) and ``eb`` (dominant epoch state ``one``), with names of their own inside."""
+    body = "WITH RECURSIVE start_ AS (SELECT 1)" + record(source) + MONTHLY + _OFFSET + _BLOCKS + _ANNUAL
+    return f"""
+sdays AS ({body}{steps(threshold)} SELECT station_id, day_ AS day FROM zb WHERE tier <> 'Tier 3'),
+sa AS ({body}{steps(threshold)} SELECT station_id, done FROM ss),
+eb AS ({body}{_EPOCHS} SELECT station_id, CASE WHEN epoch_count = 0 THEN NULL WHEN kinds = 0 THEN 'stable' WHEN kinds = 1 THEN one_ ELSE 'mixed' END AS one FROM drift)"""

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.shared import written
-from gaugewise.operators import composite, context, failures, layer1, layer2, network
+from gaugewise.operators import composite, context, epoch_drift, failures, layer1, layer2, network, step_shift
 from gaugewise.operators.primitives import KEYS, prepared
 from gaugewise.plans import fixtures as fx
-from gaugewise.plans.composite_queries import tiers_sql
+from gaugewise.plans.composite_queries import changes_sql, tiers_sql
 from gaugewise.plans.layer1_queries import r, record, tidy
 from gaugewise.plans.layer2_queries import BASEFLOW, REPRESENTATIVE, annual_sql, events_sql, yearly_sql
 from gaugewise.sources import readers
 
-#: Checks whose evidence SQL can express.
-SQL_CHECKS = ["peak_timing", "flashiness", "baseflow", "zero_flow", "seasonality_shape", "event_shape", "event_time_to_peak", "event_duration"]
+#: A lower threshold, so that sparse records have shifts.
+STEPS = {"structural_threshold": 1.0}
 LOCAL = {"maximum_search_radius_km": 60.0}
 WIDTH, HEIGHT = 72, 36
 
@@ -56,7 +56,7 @@ def _local(s, d) -> DataFrame:
 
 
 def _evidence(s, d) -> DataFrame:
-    """The evidence of the checks that SQL can express."""
+    """The evidence of all ten checks; spikes are not held against events."""
     flow = prepared(fx.nation(s, d))
     annual, events = layer2.annual_signatures(flow), layer2.high_flow_events(flow)
     day = F.datediff("peak_date", F.lit("1970-01-01").cast("date"))
@@ -69,19 +69,24 @@ def _evidence(s, d) -> DataFrame:
         layer2.seasonality_profile(layer2.monthly_profile(flow)).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "median"))), lambda x: x["median"]).alias("profile")),
         layer2.representative_event(events).select(*KEYS, "curve", "peak_flow", "time_to_peak_days", "event_duration_days"),
     ]
+    shift = F.datediff("boundary_date", F.lit("1970-01-01").cast("date"))
+    parts += [
+        step_shift.tiered_boundaries(flow, STEPS).where("tier <> 'Tier 3'").groupBy(*KEYS).agg(F.array_sort(F.collect_list(shift)).alias("shift_days")),
+        step_shift.step_shift(flow, STEPS).select(*KEYS, F.col("assessed").alias("steps_assessed")), epoch_drift.epoch_drift(flow).select(*KEYS, F.col("dominant_state").alias("epoch_behaviour")),
+    ]
     out = reduce(lambda a, b: a.join(b, KEYS, "left"), parts)
-    return out.withColumns({"shift_days": F.lit(None).cast("array<int>"), "epoch_behaviour": F.lit(None).cast("string")})
+    return context.with_availability(out.withColumn("shift_days", F.when(F.col("steps_assessed"), F.coalesce("shift_days", F.array().cast("array<int>")))).drop("steps_assessed"))
 
 
 def _similar(s, d, analogue: bool = False, found: DataFrame | None = None) -> DataFrame:
     peers = _local(s, d)
     if analogue:
         peers = context.analogue_peers(_stations(s, d), peers, {"require_same_climate": False})
-    return context.pair_similarities(peers, _evidence(s, d) if found is None else found).where(F.col("check").isin(SQL_CHECKS))
+    return context.pair_checks(peers, _evidence(s, d) if found is None else found)
 
 
 def _pick(*names: str):
-    return lambda s, d: tidy(_similar(s, d).where(F.col("check").isin(*names)))
+    return lambda s, d: tidy(_similar(s, d).where(F.col("check").isin(*names)).drop("pair_status", "reason"))
 
 
 def _combined(s, d) -> DataFrame:
@@ -105,6 +110,10 @@ QUERIES = {
     "peers_analogue": lambda s, d: tidy(context.analogue_peers(_stations(s, d), _local(s, d), {"require_same_climate": False}).select("station_id", "peer_station_id", "distance_km", "catchment_area_ratio", "relationship_rank", "peer_rank", "ready")),
     "date_match": _pick("peak_timing"),
     "l3_peak_timing": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'peak_timing'"))),
+    "l3_shift": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'step_shift_timing'"))),
+    "l3_epoch": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'epoch_behaviour'"))),
+    "l3_pair_checks": lambda s, d: tidy(_similar(s, d)),
+    "l3_availability": lambda s, d: tidy(_evidence(s, d).select("station_id", F.explode("availability").alias("kind", "available"), "unavailable_reasons").select("station_id", "kind", "available", F.try_element_at("unavailable_reasons", F.col("kind")).alias("reason"))),
     "l3_scalar": _pick("flashiness", "baseflow", "zero_flow"),
     "l3_seasonality": _pick("seasonality_shape"),
     "l3_event_metric": _pick("event_time_to_peak", "event_duration"),
@@ -137,9 +146,13 @@ _EVIDENCE = record("flow_nation") + yearly_sql("flow_nation") + BASEFLOW + ", sp
 re AS (SELECT station_id, min(ts) AS rs, max(ts) AS re_ FROM flow_nation WHERE value IS NOT NULL GROUP BY 1),
 sg AS (SELECT station_id, quantile_cont(flashiness_index, 0.5) AS flashiness, quantile_cont(baseflow_index, 0.5) AS baseflow FROM annual GROUP BY 1),
 zr AS (SELECT station_id, count(*) FILTER (WHERE round_even(value, 3) = 0) / CAST(count(value) AS DOUBLE) AS zero_flow FROM record GROUP BY 1),
-pr AS (SELECT station_id, month, quantile_cont(monthly_median, 0.5) AS median FROM monthly GROUP BY 1, 2)"""
+pr AS (SELECT station_id, month, quantile_cont(monthly_median, 0.5) AS median FROM monthly GROUP BY 1, 2),
+pdays AS (SELECT station_id, peak_date AS day FROM events),""" + changes_sql("flow_nation", STEPS["structural_threshold"]) + """,
+have AS (SELECT re.station_id, coalesce(sa.done, FALSE) AS shift, eb.one AS epoch, zr.zero_flow IS NOT NULL AS zero, coalesce(sg.flashiness IS NOT NULL OR sg.baseflow IS NOT NULL, FALSE) AS yearly, pz.station_id IS NOT NULL AS months, rz.station_id IS NOT NULL AS event
+  FROM re LEFT JOIN sa ON re.station_id = sa.station_id LEFT JOIN eb ON re.station_id = eb.station_id LEFT JOIN zr ON re.station_id = zr.station_id LEFT JOIN sg ON re.station_id = sg.station_id
+  LEFT JOIN (SELECT DISTINCT station_id FROM pr WHERE median IS NOT NULL) pz ON re.station_id = pz.station_id LEFT JOIN (SELECT DISTINCT station_id FROM representative) rz ON re.station_id = rz.station_id)"""
 _SIMILAR = """,
-prs AS (SELECT station_id, peer_station_id, {kind} FROM {peers}),
+prs AS (SELECT station_id, peer_station_id FROM {peers} WHERE station_id IN (SELECT station_id FROM re) AND peer_station_id IN (SELECT station_id FROM re)),
 sc AS (SELECT p.station_id, p.peer_station_id, a.flashiness AS fa, b.flashiness AS fb, a.baseflow AS ba, b.baseflow AS bb, za.zero_flow AS z1, zb.zero_flow AS z2 FROM prs p LEFT JOIN sg a ON p.station_id = a.station_id LEFT JOIN sg b ON p.peer_station_id = b.station_id LEFT JOIN zr za ON p.station_id = za.station_id LEFT JOIN zr zb ON p.peer_station_id = zb.station_id),
 se AS (SELECT p.station_id, p.peer_station_id, CASE WHEN count(*) >= 6 THEN sum(a.median * b.median) / (sqrt(sum(a.median * a.median)) * sqrt(sum(b.median * b.median))) END AS v FROM prs p JOIN pr a ON p.station_id = a.station_id JOIN pr b ON p.peer_station_id = b.station_id AND a.month = b.month GROUP BY 1, 2),
 em AS (SELECT p.station_id, p.peer_station_id, abs(b.time_to_peak_days - a.time_to_peak_days) AS t, abs(b.event_duration_days - a.event_duration_days) AS u, a.peak_flow AS pa_, b.peak_flow AS pb_ FROM prs p LEFT JOIN representative a ON p.station_id = a.station_id LEFT JOIN representative b ON p.peer_station_id = b.station_id),
@@ -148,32 +161,50 @@ rp AS (SELECT t.station_id, t.k, a.value + (b.value - a.value) * (place - floor(
  JOIN cv a ON a.station_id = t.station_id AND a.i = CAST(floor(place) AS BIGINT) JOIN cv b ON b.station_id = t.station_id AND b.i = least(CAST(floor(place) AS BIGINT) + 1, t.n - 1)),
 sh AS (SELECT p.station_id, p.peer_station_id, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS v FROM prs p JOIN rp a ON p.station_id = a.station_id JOIN rp b ON p.peer_station_id = b.station_id AND a.k = b.k GROUP BY 1, 2),
 ov AS (SELECT p.station_id, p.peer_station_id, greatest(a.rs, b.rs) AS lo, least(a.re_, b.re_) AS hi FROM prs p JOIN re a ON p.station_id = a.station_id JOIN re b ON p.peer_station_id = b.station_id),
-ad AS (SELECT o.station_id, o.peer_station_id, list(CAST(e.peak_date - DATE '1970-01-01' AS INTEGER) ORDER BY e.peak_date) AS d FROM ov o JOIN events e ON e.station_id = o.station_id AND e.peak_date BETWEEN lo AND hi GROUP BY 1, 2),
-bd AS (SELECT o.station_id, o.peer_station_id, list(CAST(e.peak_date - DATE '1970-01-01' AS INTEGER) ORDER BY e.peak_date) AS d FROM ov o JOIN events e ON e.station_id = o.peer_station_id AND e.peak_date BETWEEN lo AND hi GROUP BY 1, 2),
-ab AS (SELECT o.station_id, o.peer_station_id, coalesce(a.d, []) AS x, coalesce(b.d, []) AS y FROM ov o LEFT JOIN ad a ON o.station_id = a.station_id AND o.peer_station_id = a.peer_station_id LEFT JOIN bd b ON o.station_id = b.station_id AND o.peer_station_id = b.peer_station_id),
-walk AS (SELECT station_id, peer_station_id, x, y, 1 AS i, 1 AS j, 0 AS m FROM ab UNION ALL SELECT station_id, peer_station_id, x, y, i + CASE WHEN abs(x[i] - y[j]) <= 5 OR x[i] < y[j] THEN 1 ELSE 0 END, j + CASE WHEN abs(x[i] - y[j]) <= 5 OR x[i] > y[j] THEN 1 ELSE 0 END, m + CASE WHEN abs(x[i] - y[j]) <= 5 THEN 1 ELSE 0 END
- FROM walk WHERE i <= len(x) AND j <= len(y)),
-pk AS (SELECT station_id, peer_station_id, CASE WHEN any_value(len(x) + len(y)) > 0 THEN 2.0 * max(m) / any_value(len(x) + len(y)) END AS v FROM walk GROUP BY 1, 2),
-sims AS (SELECT station_id, peer_station_id, 'peak_timing' AS chk, v AS similarity FROM pk UNION ALL SELECT station_id, peer_station_id, 'flashiness', CASE WHEN fa = 0 AND fb = 0 THEN 1.0 WHEN fa = 0 OR fb = 0 THEN 0.0 ELSE least(fa, fb) / greatest(fa, fb) END FROM sc
+{dates}
+sims AS (SELECT station_id, peer_station_id, 'peak_timing' AS chk, v AS similarity FROM pk UNION ALL SELECT ov.station_id, ov.peer_station_id, 'step_shift_timing', CASE WHEN ha.shift AND hb.shift THEN v END FROM ov JOIN spk ON ov.station_id = spk.station_id AND ov.peer_station_id = spk.peer_station_id JOIN have ha ON ov.station_id = ha.station_id JOIN have hb ON ov.peer_station_id = hb.station_id
+ UNION ALL SELECT ov.station_id, ov.peer_station_id, 'epoch_behaviour', CASE WHEN hi - lo + 1 >= 5 * 365.25 AND ha.epoch IS NOT NULL AND hb.epoch IS NOT NULL THEN CASE WHEN ha.epoch = hb.epoch THEN 1.0 ELSE 0.0 END END FROM ov JOIN have ha ON ov.station_id = ha.station_id JOIN have hb ON ov.peer_station_id = hb.station_id UNION ALL SELECT station_id, peer_station_id, 'flashiness', CASE WHEN fa = 0 AND fb = 0 THEN 1.0 WHEN fa = 0 OR fb = 0 THEN 0.0 ELSE least(fa, fb) / greatest(fa, fb) END FROM sc
  UNION ALL SELECT station_id, peer_station_id, 'baseflow', CASE WHEN ba IS NOT NULL AND bb IS NOT NULL THEN greatest(0.0, least(1.0, 1 - abs(ba - bb))) END FROM sc UNION ALL SELECT station_id, peer_station_id, 'zero_flow', CASE WHEN z1 IS NOT NULL AND z2 IS NOT NULL THEN greatest(0.0, least(1.0, 1 - abs(z1 - z2))) END FROM sc
  UNION ALL SELECT p.station_id, p.peer_station_id, 'seasonality_shape', v FROM prs p LEFT JOIN se ON p.station_id = se.station_id AND p.peer_station_id = se.peer_station_id
  UNION ALL SELECT em.station_id, em.peer_station_id, 'event_shape', sh.v * least(pa_, pb_) / greatest(pa_, pb_) FROM em LEFT JOIN sh ON em.station_id = sh.station_id AND em.peer_station_id = sh.peer_station_id
  UNION ALL SELECT station_id, peer_station_id, 'event_time_to_peak', CASE WHEN t IS NOT NULL THEN greatest(0.0, 1 - t / 10.0) END FROM em UNION ALL SELECT station_id, peer_station_id, 'event_duration', CASE WHEN u IS NOT NULL THEN greatest(0.0, 1 - u / 14.0) END FROM em),
-lst AS (SELECT *, CASE WHEN chk IN ('peak_timing', 'event_time_to_peak', 'event_duration') THEN 0.5 ELSE 0.8 END AS least_ FROM sims),
-chk AS (SELECT station_id, chk, quantile_cont(similarity, 0.5) AS similarity, count(similarity) AS assessed_peer_count, count(*) FILTER (WHERE similarity >= least_) AS supporting_peer_count, any_value(least_) AS least_ FROM lst GROUP BY 1, 2),
-checks AS (SELECT station_id, chk, CASE WHEN assessed_peer_count = 0 THEN 'not_assessed' WHEN similarity >= least_ THEN 'supported' ELSE 'not_supported' END AS status, similarity, assessed_peer_count, supporting_peer_count FROM chk)"""
-_NAMES = "prs sc se em cv rp sh ov ad bd ab walk pk sims lst chk checks".split()
+lst AS (SELECT *, CASE WHEN chk IN ('peak_timing', 'step_shift_timing', 'epoch_behaviour', 'event_time_to_peak', 'event_duration') THEN 0.5 ELSE 0.8 END AS least_ FROM sims),
+why AS (SELECT lst.*, hi < lo AS apart, CASE WHEN similarity IS NOT NULL THEN NULL WHEN NOT {avail_a} THEN 'target evidence is unavailable' WHEN NOT {avail_b} THEN 'peer evidence is unavailable'
+   WHEN chk IN ('peak_timing', 'step_shift_timing', 'epoch_behaviour') AND hi < lo THEN 'no common period' WHEN chk = 'peak_timing' AND np_ = 0 OR chk = 'step_shift_timing' AND ns_ = 0 THEN 'neither station has dates in the common period'
+   WHEN chk = 'epoch_behaviour' AND hi - lo + 1 < 5 * 365.25 THEN 'common period is too short' ELSE 'evidence is not comparable' END AS reason
+  FROM lst JOIN ov ON lst.station_id = ov.station_id AND lst.peer_station_id = ov.peer_station_id JOIN have ha ON lst.station_id = ha.station_id JOIN have hb ON lst.peer_station_id = hb.station_id
+  JOIN (SELECT station_id, peer_station_id, any_value(len(x) + len(y)) AS np_ FROM walk GROUP BY 1, 2) wp ON lst.station_id = wp.station_id AND lst.peer_station_id = wp.peer_station_id JOIN (SELECT station_id, peer_station_id, any_value(len(x) + len(y)) AS ns_ FROM swalk GROUP BY 1, 2) ws ON lst.station_id = ws.station_id AND lst.peer_station_id = ws.peer_station_id),
+told AS (SELECT *, CASE WHEN similarity >= least_ THEN 'supported' WHEN similarity IS NOT NULL THEN 'not_supported' WHEN reason LIKE 'neither%' THEN 'not_applicable' ELSE 'not_assessed' END AS pair_status FROM why),
+chk AS (SELECT station_id, chk, quantile_cont(similarity, 0.5) AS similarity, count(similarity) AS assessed_peer_count, count(*) FILTER (WHERE similarity >= least_) AS supporting_peer_count, any_value(least_) AS least_, count(*) FILTER (WHERE pair_status = 'not_applicable') AS nap, bool_and(coalesce(reason LIKE 'target%', FALSE)) AS lacking FROM told GROUP BY 1, 2),
+checks AS (SELECT station_id, chk, CASE WHEN assessed_peer_count = 0 THEN 'not_assessed' WHEN similarity >= least_ THEN 'supported' ELSE 'not_supported' END AS status, similarity, assessed_peer_count, supporting_peer_count, nap, CASE WHEN assessed_peer_count = 0 THEN CASE WHEN lacking THEN 'target evidence is unavailable' ELSE 'no peer has comparable evidence in a common period' END END AS reason FROM chk)"""
+_NAMES = "prs sc se em cv rp sh ov ad bd ab walk pk sad sbd sab swalk spk sims lst why told chk checks".split()
+
+
+def _dates(p: str, days: str, tolerance: int) -> str:
+    near = f"abs(x[i] - y[j]) <= {tolerance}"
+    side = "SELECT o.station_id, o.peer_station_id, list(CAST(e.day - DATE '1970-01-01' AS INTEGER) ORDER BY e.day) AS d FROM ov o JOIN {days} e ON e.station_id = o.{who} AND e.day BETWEEN lo AND hi GROUP BY 1, 2"
+    return f"""{p}ad AS ({side.format(days=days, who="station_id")}),
+{p}bd AS ({side.format(days=days, who="peer_station_id")}),
+{p}ab AS (SELECT o.station_id, o.peer_station_id, coalesce(a.d, []) AS x, coalesce(b.d, []) AS y FROM ov o LEFT JOIN {p}ad a ON o.station_id = a.station_id AND o.peer_station_id = a.peer_station_id LEFT JOIN {p}bd b ON o.station_id = b.station_id AND o.peer_station_id = b.peer_station_id),
+{p}walk AS (SELECT station_id, peer_station_id, x, y, 1 AS i, 1 AS j, 0 AS m FROM {p}ab UNION ALL SELECT station_id, peer_station_id, x, y, i + CASE WHEN {near} OR x[i] < y[j] THEN 1 ELSE 0 END, j + CASE WHEN {near} OR x[i] > y[j] THEN 1 ELSE 0 END, m + CASE WHEN {near} THEN 1 ELSE 0 END
+ FROM {p}walk WHERE i <= len(x) AND j <= len(y)),
+{p}pk AS (SELECT station_id, peer_station_id, CASE WHEN any_value(len(x) + len(y)) > 0 THEN 2.0 * max(m) / any_value(len(x) + len(y)) END AS v FROM {p}walk GROUP BY 1, 2),"""
+
+
+_AVAILABLE = "(CASE chk WHEN 'peak_timing' THEN TRUE WHEN 'step_shift_timing' THEN {h}.shift WHEN 'epoch_behaviour' THEN {h}.epoch IS NOT NULL WHEN 'zero_flow' THEN {h}.zero WHEN 'flashiness' THEN {h}.yearly WHEN 'baseflow' THEN {h}.yearly WHEN 'seasonality_shape' THEN {h}.months ELSE {h}.event END)"
 
 
 def _similar_sql(peers: str, p: str = "") -> str:
     import re
 
-    body = _SIMILAR.replace(", {kind}", "").replace("{peers}", peers)
+    body = _SIMILAR.replace("{peers}", peers).replace("{avail_a}", _AVAILABLE.format(h="ha")).replace("{avail_b}", _AVAILABLE.format(h="hb"))
+    body = body.replace("{dates}", _dates("", "pdays", 5) + "\n" + _dates("s", "sdays", 50))
     if not p:
         return body
     for n in _NAMES:
         body = re.sub(rf"(?<=[,\n ]){n} AS \(SELECT", f"{p}{n} AS (SELECT", body)
-        body = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {p}{n}" + (f" {n}" if n in ("se", "em", "sh") else ""), body)
+        body = re.sub(rf"\b(FROM|JOIN) {n}\b(?= (?:ON|JOIN|LEFT)\b)", rf"\1 {p}{n} {n}", body)  # named by itself further on
+        body = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {p}{n}", body)
     return body
 
 
@@ -196,7 +227,7 @@ def _sims(*names: str) -> str:
     return _ONE + f" SELECT station_id, peer_station_id, chk AS \"check\", {r('similarity')} AS similarity FROM sims WHERE chk IN ({', '.join(repr(n) for n in names)})"
 
 
-_CHECKS = f" SELECT station_id, chk AS \"check\", status, {r('similarity')} AS similarity, assessed_peer_count, supporting_peer_count FROM checks"
+_CHECKS = f" SELECT station_id, chk AS \"check\", status, {r('similarity')} AS similarity, assessed_peer_count, supporting_peer_count, nap AS not_applicable_peer_count, reason FROM checks"
 _PEER = f"station_id, peer_station_id, {r('distance_km')} AS distance_km, {r('catchment_area_ratio')} AS catchment_area_ratio, relationship_rank, CAST(peer_rank AS INTEGER) AS peer_rank, ready"
 _ERRORS = """, errors AS (
   SELECT station_id, arg_min(error_type, day) AS error_type, arg_min(error_message, day) AS error_message, count(*) AS failed_rows FROM (
@@ -215,6 +246,11 @@ ORACLE_SQL = {
     "peers_analogue": fx.with_sql(["context"], _STATIONS + f" SELECT {_PEER} FROM ap"),
     "date_match": _sims("peak_timing"),
     "l3_peak_timing": _ONE + _CHECKS + " WHERE chk = 'peak_timing'",
+    "l3_shift": _ONE + _CHECKS + " WHERE chk = 'step_shift_timing'",
+    "l3_epoch": _ONE + _CHECKS + " WHERE chk = 'epoch_behaviour'",
+    "l3_pair_checks": _ONE + f" SELECT station_id, peer_station_id, chk AS \"check\", {r('similarity')} AS similarity, pair_status, reason FROM told",
+    "l3_availability": _BASE + """ SELECT station_id, kind, available, CASE WHEN NOT available THEN 'Required Layer 1/2 evidence was unavailable or not calculable.' END AS reason FROM (
+ SELECT station_id, unnest(['peak_dates', 'step_shift_dates', 'epoch_behaviour', 'zero_flow_ratio', 'annual_signatures', 'seasonality_profile', 'representative_event']) AS kind, unnest([TRUE, shift, epoch IS NOT NULL, zero, yearly, months, event]) AS available FROM have)""",
     "l3_scalar": _sims("flashiness", "baseflow", "zero_flow"),
     "l3_seasonality": _sims("seasonality_shape"),
     "l3_event_metric": _sims("event_time_to_peak", "event_duration"),
