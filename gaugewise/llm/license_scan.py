@@ -227,10 +227,14 @@ LICENCE_NAMES = {bare(n): i for i, names in NAMES.items() for n in [i, *names]}
 }
 
 
+#: Points that end no sentence: of versions and companies, of an initial before a name, and those that a small letter follows.
+ABBREVIATION = r"\b([vV]|Inc|Ltd|Corp|Co)\.(\s)|\b([A-Z])\.([ \t][A-Z][a-z])|\.([ \t]+[a-z])"
+
+
 def cleaned(text: Column) -> Column:
     """Without comment marks, and with points and colons that end no sentence taken out."""
     lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), COMMENT, "$1")
-    return F.regexp_replace(F.regexp_replace(lines, r"\b([vV])\. ", "$1 "), r"SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier ")
+    return F.regexp_replace(F.regexp_replace(lines, ABBREVIATION, "$1$2$3$4$5"), r"SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier ")
 
 
 def joined(text: Column) -> Column:

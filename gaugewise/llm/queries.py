@@ -84,7 +84,7 @@ def _op5_sql() -> str:
 WITH known(sentence, id) AS (VALUES {values(ls.SENTENCES)}),
 names(name, licence) AS (VALUES {values(ls.LICENCE_NAMES)}),
 bare AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), {quoted(comment)}, '\\1', 'g') AS t FROM documents),
-clean AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\b([vV])\\. ', '\\1 ', 'g'), 'SPDX-License-Identifier:[ \\t]*', 'SPDX-License-Identifier ', 'g') AS t FROM bare),
+clean AS (SELECT doc_id, regexp_replace(regexp_replace(t, {quoted(ls.ABBREVIATION)}, '\\1\\2\\3\\4\\5', 'g'), 'SPDX-License-Identifier:[ \\t]*', 'SPDX-License-Identifier ', 'g') AS t FROM bare),
 lines AS (SELECT doc_id, t, string_split(regexp_replace(t, '([^.!?:;\\n])\\n[ \\t]*([a-z(])', '\\1 \\2', 'g'), chr(10)) AS parts FROM clean),
 views AS (
   SELECT doc_id, 1 AS view, array_to_string(list_transform(parts, lambda x: x || CASE WHEN length(trim(x)) >= {ls.WRAPPED} THEN ' ' ELSE chr(10) END), '') AS t FROM lines

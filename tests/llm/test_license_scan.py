@@ -192,3 +192,12 @@ def test_edges(docs_from):
 @pytest.mark.parametrize("form", ["GNU GPLv3", "the Apache License, Version 2.0", "CC BY-SA 4.0"])
 def test_names_are_bare(form):
     assert ls.bare(form) in ls.LICENCE_NAMES
+
+
+@pytest.mark.parametrize("holder", ["Google Inc.", "Some Company Ltd.", "J. Smith", "the Foo Corp."])
+def test_abbreviations_end_no_sentence(spark, holder):
+    """A name with points in the endorsement clause leaves a three-clause licence one, on one line or wrapped."""
+    clause = f"3. Neither the name of {holder} nor the names of its\n   contributors"
+    text = BSD_3[: BSD_3.index("3. Neither")] + clause + BSD_3[BSD_3.index("contributors", BSD_3.index("3. Neither")) + len("contributors") :]
+    rows = spark.createDataFrame([(1, text), (2, text.replace("nor the names of its\n   contributors", "nor\nthe names of its contributors")), (3, "\n\n".join(" ".join(p.split()) for p in text.split("\n\n")))], "doc_id long, text string")
+    assert [r.licenses for r in ls.scan_licenses(rows).orderBy("doc_id").collect()] == [["BSD-3-Clause"]] * 3
