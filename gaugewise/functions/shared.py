@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder of the warehouse, and a temporary one only where the master is local."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of the warehouse, and a temporary one only where the master is local.
+
+    On a cluster a warehouse on a machine's own disk is refused: executors would not see each other's files.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
         local = re.match(r"local(\[|$)", spark.sparkContext.master)
         where = tempfile.mkdtemp(prefix="checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        if not local and (where.startswith("file:") or "://" not in where):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(where)
     return where
 

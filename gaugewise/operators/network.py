@@ -48,7 +48,7 @@ def trigger_summary(components: DataFrame) -> DataFrame:
     """How often each check is above Tier 3 among the series it could assess, most frequent first; repeated rows count once."""
     once = components.dropDuplicates([*KEYS, "check"])
     hit = F.col("assessable") & F.col("tier").isin("Tier 1", "Tier 2")
-    s = once.groupBy("check").agg(F.count_if("assessable").alias("assessable_count"), F.count_if(hit).alias("triggered_count"))
+    s = once.groupBy("check").agg(F.count_if("assessable").alias("assessable_count"), F.count_if(hit & (F.col("tier") == "Tier 1")).alias("tier1_count"), F.count_if(hit & (F.col("tier") == "Tier 2")).alias("tier2_count"), F.count_if(hit).alias("triggered_count"))
     rate = ratio(100.0 * F.col("triggered_count"), F.col("assessable_count"))
     w = Window.orderBy(F.desc("triggered_count"), F.desc_nulls_last("trigger_rate_percent"), "check")  # one row per check
     return s.withColumn("trigger_rate_percent", rate).withColumn("place", F.row_number().over(w))

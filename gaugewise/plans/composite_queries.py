@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugewise.operators import composite, epoch_drift, layer1, layer2, step_shift
+from gaugewise.operators import composite, epoch_drift, evidence, layer1, layer2, step_shift
 from gaugewise.operators.primitives import prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.layer1_queries import MONTHLY, PLATEAUS, RUNS, SPIKES, dated, r, record, tidy
@@ -23,6 +23,7 @@ def _parts(s, d, settings):
 QUERIES = {
     "l1_step_blocks": lambda s, d: tidy(step_shift.block_features(fx.region(s, d)).drop("block_years")),
     "l1_step_boundaries": lambda s, d: tidy(step_shift.tiered_boundaries(fx.region(s, d), {"structural_threshold": 1.0})),
+    "l1_step_regimes": lambda s, d: tidy(evidence.regimes(fx.region(s, d), {"structural_threshold": 1.0})),
     "l1_step_shift": lambda s, d: tidy(step_shift.step_shift(fx.region(s, d))),
     "l1_epoch_annual": lambda s, d: tidy(epoch_drift.annual_levels(fx.region(s, d))),
     "l1_epochs": lambda s, d: tidy(epoch_drift.epochs(fx.region(s, d))),
@@ -105,6 +106,11 @@ ORACLE_SQL["l1_step_boundaries"] = dated(
     _STEP.replace("{steps}", steps(1.0)) + f""" SELECT station_id, CAST(i AS INTEGER) AS boundary, day_ AS boundary_date, at_ AS approximate_date, {r('greatest(s1, s2, s3, s4)')} AS structural_score, CAST(n AS INTEGER) AS collapsed_edge_count, {r('s1')} AS score_level_log, {r('s2')} AS score_high_log, {r('s3')} AS score_seasonal_amplitude_log,
  {r('s4')} AS score_variability_log, {r('before_median')} AS before_median, {r('after_median')} AS after_median, {r('change')} AS absolute_median_change, {r('low_bound')} AS low_bound, {r('high_bound')} AS high_bound, tier FROM zb""", "boundary_date", "approximate_date"
 )
+ORACLE_SQL["l1_step_regimes"] = dated(
+    _STEP.replace("{steps}", steps(1.0)) + f""", g0 AS (SELECT station_id, first_day AS a FROM rule0 UNION ALL SELECT station_id, day_ FROM zb WHERE tier <> 'Tier 3'),
+g1 AS (SELECT g0.station_id, a, coalesce(lead(a) OVER w - 1, last_day) AS b, row_number() OVER w AS i FROM g0 JOIN rule0 ON g0.station_id = rule0.station_id JOIN ss ON g0.station_id = ss.station_id WHERE done WINDOW w AS (PARTITION BY g0.station_id ORDER BY a))
+ SELECT station_id, CAST(i AS INTEGER) AS regime, CAST(a AS DATE) AS start, CAST(b AS DATE) AS "end", (SELECT count(value) FROM record WHERE record.station_id = g1.station_id AND ts BETWEEN a AND b) AS valid_day_count, {r('(SELECT quantile_cont(median, 0.5) FROM monthly WHERE monthly.station_id = g1.station_id AND month BETWEEN a AND b)')} AS median FROM g1 WHERE a <= b""", "start", '"end"'
+)
 ORACLE_SQL["l1_step_shift"] = _STEP.replace("{steps}", steps()) + f""" SELECT station_id, retained AS value, n AS boundary_count, blocks AS block_count, {r('record_years')} AS record_years, CAST(by_ AS INTEGER) AS block_years, {r('score')} AS step_shift_score,
  CASE p WHEN 0 THEN 'Tier 3' WHEN 1 THEN 'Tier 2' WHEN 2 THEN 'Tier 1' END AS tier, done AS assessed FROM ss"""
 

@@ -274,7 +274,7 @@ np AS (SELECT *, CASE layer1_class WHEN 'Needs review' THEN 3 WHEN 'Minor concer
 ORACLE_SQL |= {
     "net_counts": _NET + " SELECT layer1_class, count(*) AS series_count, count(DISTINCT station_id) AS station_count FROM nc GROUP BY 1",
     "net_ranking": _NET + f" SELECT station_id, layer1_class, {r('pct')} AS layer1_score_percent, CAST(CASE WHEN pr_ >= 2 THEN row_number() OVER (PARTITION BY pr_ >= 2 ORDER BY pr_ DESC, pct DESC, station_id) ELSE 0 END AS INTEGER) AS attention_rank FROM np",
-    "net_triggers": _NET + f", tr AS (SELECT chk, count(p) AS a, count(*) FILTER (WHERE p > 0) AS t FROM al GROUP BY 1) SELECT chk AS \"check\", a AS assessable_count, t AS triggered_count, {r('100.0 * t / nullif(a, 0)')} AS trigger_rate_percent, CAST(row_number() OVER (ORDER BY t DESC, 100.0 * t / nullif(a, 0) DESC, chk) AS INTEGER) AS place FROM tr",
+    "net_triggers": _NET + f", tr AS (SELECT chk, count(p) AS a, count(*) FILTER (WHERE p > 0) AS t, count(*) FILTER (WHERE p = 2) AS t1, count(*) FILTER (WHERE p = 1) AS t2 FROM al GROUP BY 1) SELECT chk AS \"check\", a AS assessable_count, t1 AS tier1_count, t2 AS tier2_count, t AS triggered_count, {r('100.0 * t / nullif(a, 0)')} AS trigger_rate_percent, CAST(row_number() OVER (ORDER BY t DESC, 100.0 * t / nullif(a, 0) DESC, chk) AS INTEGER) AS place FROM tr",
     "review_required": _NET + " SELECT station_id, layer1_class = 'Needs review' AS review_required, FALSE AS strong_review FROM nc",
     "status_index": _NET + " SELECT station_id, layer1_class AS series1_class, CAST(NULL AS VARCHAR) AS series2_class FROM nc",
 }

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULTS, known_keys, overlay
 from gaugewise.functions.shared import written
-from gaugewise.operators import comparison, composite, context, contract, failures, layer1, network, primitives
+from gaugewise.operators import comparison, composite, context, contract, evidence, failures, layer1, network, primitives
+from gaugewise.sinks import evidence as evidence_text
 from gaugewise.sinks import pages, reports, store, tables
 from gaugewise.sinks.store import Log
 from gaugewise.sources import readers
@@ -232,8 +233,21 @@ def _assess(series1: Sourced | DataFrame, series2: Sourced | DataFrame | None, c
     return out, (status2, flow, failed, review, context_status), every
 
 
+def _shown(out: dict[str, DataFrame], detailed: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, dict[str, DataFrame]]]:
+    """The series and tables of each layer's evidence report; tables without a series belong to the second one in comparisons, else to the first."""
+    series, first, second = out["composite"].select("station_id", "series_slot"), F.lit("series1").alias("series_slot"), F.lit("series2").alias("series_slot")
+    shown = {"layer1": (series, detailed), "layer2": (series, {n: out[n] for n in ("annual", "monthly", "events", "representative")})}
+    if "comparison_components" in out:
+        names = [n for n in ("comparison_components", "annual_differences", "signature_summaries", "diagnostic_differences", "daily_metrics", "supplied_metrics") if n in out]
+        shown["comparison"] = (out["comparison_composite"].select("station_id", second), {n: out[n].select("station_id", second, *[c for c in out[n].columns if c != "station_id"]) for n in names})
+    if "layer3_evidence" in out:
+        df = out["layer3_evidence"]
+        shown["layer3"] = (out["context_combined"].select("station_id", first), {"context_evidence": df.select("station_id", first, *[c for c in df.columns if c not in ("station_id", "series_slot")])})
+    return shown
+
+
 #: Sections whose settings shaped a table, by how its name begins; all others go by layer 1.
-SECTIONS = {"context_": "layer3", "layer3_": "layer3", "comparison_": "comparison", "daily_": "comparison", "annual_": "layer2", "monthly": "layer2", "events": "layer2", "representative": "layer2", "layer2_": "layer2", "supplied_": "comparison", "unfit": "comparison", "provenance": "series1", "pair_": "run", "manifest": "run", "failures": "run"}
+SECTIONS = {"context_": "layer3", "layer3_": "layer3", "comparison_": "comparison", "daily_": "comparison", "annual": "layer2", "monthly": "layer2", "events": "layer2", "representative": "layer2", "layer2_": "layer2", "supplied_": "comparison", "unfit": "comparison", "provenance": "series1", "pair_": "run", "manifest": "run", "failures": "run"}
 
 
 def run(spark: SparkSession, settings: Settings, progress: Progress | None = None) -> dict[str, DataFrame]:
@@ -253,18 +267,22 @@ def run(spark: SparkSession, settings: Settings, progress: Progress | None = Non
     where = settings.output.get("directory")
     if not where:
         return out | {"manifest": network.manifest(*stations, seconds=log.seconds())}
-    effective, run_id = settings.effective(), store.new_run()
+    effective, run_id, detailed = settings.effective(), store.new_run(), {}
+    if settings.layers["layer1"]:
+        detailed = evidence.layer1_evidence(every, settings.layer1, out["candidates"])
+        out |= {f"evidence_{n}": df for n, df in detailed.items()}
     used = {k: json.dumps(v, sort_keys=True, default=str) for k, v in effective.items()}
     for name, df in out.items():
         store.write(df, f"{where}/tables", name, run_id, log, used[next((v for k, v in SECTIONS.items() if name.startswith(k)), "layer1")])
     tables.write_settings(effective, spark, f"{where}/settings")
     if settings.layers["layer1"]:
         if settings.output.get("write_csv"):
-            log.timed("csv", lambda: tables.write_csv({k: out[k] for k in ("components", "events", "candidates", "missing_intervals", "plateaus")}, f"{where}/csv"), used["output"])
+            log.timed("csv", lambda: tables.write_csv({k: out[k] for k in ("components", "events", *[f"evidence_{n}" for n in detailed])}, f"{where}/csv"), used["output"])
         if settings.output.get("write_text", True):
-            log.timed("reports", lambda: tables.write_text(reports.station_reports(out["composite"], out["components"], out["record"], out["availability"]), f"{where}/reports"), used["output"])
-            text = reports.network_report(out["counts"], out["triggers"], out["ranking"])
-            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/network")
+            log.timed("reports", lambda: tables.write_text(reports.station_reports(out["composite"], out["components"], out["record"], out["availability"], out["provenance"]), f"{where}/reports"), used["output"])
+            log.timed("network summary", lambda: evidence_text.write_in_order(evidence_text.network_lines(out["station_summary"], out["ranking"], out["triggers"]), f"{where}/network"), used["output"])
+            for layer, (series, shown) in _shown(out, detailed).items():
+                log.timed(f"{layer} evidence", lambda: evidence_text.write_reports(evidence_text.evidence_lines(series, shown, layer), f"{where}/evidence/{layer}"), used["output"])  # noqa: B023
         mode = settings.output.get("html_mode", "needs_review")
         if mode != "none":
             log.timed("pages", lambda: tables.write_text(pages.series_pages(every, out["composite"], out["components"], out["candidates"], out["missing_intervals"], out["plateaus"], mode), f"{where}/pages"), used["output"])

@@ -77,10 +77,10 @@ write_csv = true
     pages = [open(p).read() for p in glob.glob(f"{out}/pages/name=*/*.txt")]
     assert len(pages) == 4 and all("<svg" in p and "missing_values" in p for p in pages)
     reports = [open(p).read() for p in glob.glob(f"{out}/reports/name=*/*.txt")]
-    assert len(reports) == 4 and all("SCREENING SUMMARY" in p and "Evidence coverage" in p for p in reports) and all(len(x) <= 84 for p in reports for x in p.splitlines())
+    assert len(reports) == 4 and all("SCREENING SUMMARY" in p and "Requested timespan" in p and "Selected calendar" in p and "Evidence coverage" in p for p in reports) and all(len(x) <= 84 for p in reports for x in p.splitlines())
     status = "".join(open(p).read() for p in glob.glob(f"{out}/status/part-*"))
     assert [x.split("\t")[:2] for x in status.splitlines()] == [["A", "completed"], ["B", "completed"]]
-    assert glob.glob(f"{out}/csv/components/*.csv") and glob.glob(f"{out}/settings/part-*") and "ATTENTION" in "".join(open(p).read() for p in glob.glob(f"{out}/network/part-*"))
+    assert glob.glob(f"{out}/csv/components/*.csv") and glob.glob(f"{out}/csv/evidence_step_shift_regimes/*.csv") and len(glob.glob(f"{out}/evidence/layer1/name=*/*.txt")) == 4 and len(glob.glob(f"{out}/evidence/comparison/name=*/*.txt")) == 2 and len(glob.glob(f"{out}/evidence/layer3/name=*/*.txt")) == 2 and glob.glob(f"{out}/settings/part-*") and "ATTENTION" in "".join(open(p).read() for p in glob.glob(f"{out}/network/part-*"))
 
 
 def test_exit_codes(spark, tmp_path):
