@@ -37,6 +37,8 @@ K, ELL, BANDS, ROWS, NEAR, SIMILARITY = 5, 2, 24, 2, 2, 0.8
 GROWTH = 16
 #: Tasks that the rows of one key, or the pairs of one representative, are dealt over.
 SALTS = 16
+#: Rows of one key for each of these tasks, at least.
+SALT_ROWS = 64
 #: A text of this many copies or more, and of a share of all rows above 1 / HOT_TEXTS, is handed to all tasks.
 HOT_COPIES, HOT_TEXTS = 1000, 100_000
 #: Ids of texts to verify that are handed to all tasks, 16 MB; for more, texts are joined as they are.
@@ -339,7 +341,8 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
             return links, classes
         dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
-        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
+        salts = F.least(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS))  # of a key: small ones need one task
+        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", F.pmod("salt", salts).alias("salt"), order.alias("place"), share.alias("share")), "rows")
         drop_written(told, keys)
         crowded, met_rows = rows.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), rows  # a key that is settled stays so
         old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
@@ -347,7 +350,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
         chosen = rows.where(turn | (F.col("id") == F.col("hub"))).select(
             "band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "class_id", "size", "bits", "place")], (F.col("id") == F.col("hub")).alias("hub_"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"),
+            F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
         )
         total = F.col("size") + F.col("size_")
         apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(PARITY)), F.lit(0))
