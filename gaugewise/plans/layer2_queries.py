@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from gaugewise.operators import layer1, layer2
+from gaugewise.operators.primitives import prepared
 from gaugewise.plans import fixtures as fx
 from gaugewise.plans.layer1_queries import SPIKES, dated, r, record, tidy
 
@@ -12,9 +13,15 @@ def _spikes(s, d):
     return layer1.spike_candidates(fx.spiky(s, d)).where("status = 'candidate'")
 
 
+def _annual(s, d):
+    flow = prepared(fx.spiky(s, d))
+    return layer2.annual_signatures(flow, layer1.spike_candidates(flow).where("status = 'candidate'"))
+
+
 def _checked(s, d):
-    events = layer2.high_flow_events(fx.spiky(s, d))
-    return events, layer2.crosscheck(_spikes(s, d).select("station_id", "series_slot", "ts", "type"), events)
+    flow = prepared(fx.spiky(s, d))
+    events = layer2.high_flow_events(flow)
+    return events, layer2.crosscheck(layer1.spike_candidates(flow).where("status = 'candidate'").select("station_id", "series_slot", "ts", "type"), events)
 
 
 YEARLY = """,
@@ -78,7 +85,7 @@ def events_sql(source: str) -> str:
 
 
 QUERIES = {
-    "l2_annual": lambda s, d: tidy(layer2.annual_signatures(fx.spiky(s, d), _spikes(s, d))),
+    "l2_annual": lambda s, d: tidy(_annual(s, d)),
     "l2_flashiness": lambda s, d: tidy(layer2.flashiness(fx.region(s, d))),
     "l2_baseflow": lambda s, d: tidy(layer2.baseflow(fx.region(s, d))),
     "l2_seasonality": lambda s, d: tidy(layer2.seasonality(layer2.monthly_profile(fx.region(s, d)))),
