@@ -141,7 +141,12 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, key: str = "doc_id", b
     ).drop(number, place)
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 16, seed: int = 0, key: str = "doc_id") -> None:
-    """Writes the rows as ``path/shard=k``, each shard in the order of its slots."""
+def write_shards(df: DataFrame, path: str, shards: int = 16, seed: int = 0, key: str = "doc_id", partitions: int | None = None) -> None:
+    """Writes the rows as ``path/shard=k``; a shard's files, in the order of their names, hold it in the order of its slots.
+
+    Rows are dealt by ranges of (shard, slot) over ``partitions`` tasks, the shuffle partitions unless given, so that
+    a shard of any size is many files and no task holds more than its range.
+    """
     placed = shard(df, shards, seed, key)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

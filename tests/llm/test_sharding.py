@@ -77,3 +77,15 @@ def test_edges(spark, docs_from, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 6 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1}
     assert math.isqrt(6) == 2
+
+
+def test_written_shards_are_files_in_slot_order(spark, docs_from, tmp_path):
+    """A shard is several files, whose names are in the order of its slots."""
+    import pyarrow.parquet as pq
+
+    sharding.write_shards(docs_from([(i, f"t{i}") for i in range(400)]), str(tmp_path / "out"), 2, partitions=7)
+    files = {k: sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet")) for k in (0, 1)}
+    assert all(len(f) >= 3 for f in files.values())
+    for paths in files.values():
+        slots = [s for p in paths for s in pq.ParquetFile(p).read(columns=["slot"])["slot"].to_pylist()]
+        assert slots == list(range(200))
