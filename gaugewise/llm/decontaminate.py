@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewise.llm._common import WORD_TABLE, col, word_bytes, written
+from gaugewise.llm._common import col, trimmed, word_bytes, WORD_TABLE, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 17
@@ -329,7 +329,7 @@ def find_contamination(
     schema = T.StructType([*out.schema.fields, *FOUND.fields])
     at = out.columns.index(text)
     for i, (shared, last) in enumerate(_blocks(spark, benchmark, item_id, item_text, window, block_bytes)):
-        out = out.mapInArrow(_scan(shared, at, False, i > 0, shard_words), schema)
+        out = out.mapInArrow(trimmed(_scan(shared, at, False, i > 0, shard_words)), schema)
         out = out if last else written(out, "contamination")
     return out
 
@@ -347,7 +347,7 @@ def decontaminate(
     spark, at = docs.sparkSession, docs.columns.index(text)
     shared, last = next(_blocks(spark, benchmark, item_id, item_text, window, block_bytes))
     if last:
-        return docs.mapInArrow(_scan(shared, at, True, False, shard_words), docs.schema)
+        return docs.mapInArrow(trimmed(_scan(shared, at, True, False, shard_words)), docs.schema)
     todo = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(text).alias("text"))
     done = []
     while True:
@@ -356,6 +356,6 @@ def decontaminate(
         hit = found.where("n_hit > 0").select("row", "text", "spans")
         if hit.isEmpty():
             break
-        todo = written(hit.mapInArrow(_cut, todo.schema), "decontaminated")
+        todo = written(hit.mapInArrow(trimmed(_cut), todo.schema), "decontaminated")
     out = reduce(DataFrame.unionByName, done)
     return out.select(*[(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gaugewise.llm._common import col, drop_written, fresh, word_bytes, written
+from gaugewise.llm._common import col, drop_written, fresh, trimmed, word_bytes, written
 
 K, ELL, BANDS, ROWS, NEAR, SIMILARITY = 5, 2, 24, 2, 2, 0.8
 #: Representatives of a larger key in its first round, and the factor from round to round.
@@ -235,12 +235,12 @@ def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, nea
     rows (band, key, id) of the keys of more than ``near`` + 1 rows, with few of other keys."""
     spark = signed.sparkSession
     banded = signed.where("sketch is not null").select("id", "size", "sketch").mapInArrow(
-        _banded(bands, rows), "band int, key long, first int, second int, id long, size int"
+        trimmed(_banded(bands, rows)), "band int, key long, first int, second int, id long, size int"
     )
     order = ["band", "key", "first", "second", "id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = banded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = written(ordered.mapInArrow(_neighbours(near, least), "kind int, a long, b long, task int, place int, band int, key long, size int"), "neighbours")
+    found = written(ordered.mapInArrow(trimmed(_neighbours(near, least)), "kind int, a long, b long, task int, place int, band int, key long, size int"), "neighbours")
     pairs = found.where("kind = 0").select("a", "b")
     # the last rows of a task and the first of the next that has rows: a few for each task
     edges = found.where("kind in (1, 2)")
@@ -290,7 +290,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILA
     many = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     left = pairs.join(many, ["a", "salt"])
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified(k, least), "a long, b long, similarity double").where(F.col("similarity") >= least)
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(_verified(k, least)), "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def near_duplicates(
     have each the class of its text. Other columns play no part.
     """
     given = docs.where(col(key).isNotNull()).select(col(key).cast("long").alias("id"), col(text).cast("string").alias("text"))
-    signed = written(given.mapInArrow(_signed(k, bands * rows, ell), "id long, digest binary, size int, sketch binary, bits array<long>"), "sketches")
+    signed = written(given.mapInArrow(trimmed(_signed(k, bands * rows, ell)), "id long, digest binary, size int, sketch binary, bits array<long>"), "sketches")
     # a null text has no digest, and stands for itself
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = written(copies, "copies")

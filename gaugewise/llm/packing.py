@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm._common import col, fresh
+from gaugewise.llm._common import col, fresh, trimmed
 from gaugewise.llm.token_count import SPECIAL, pre_tokens, tokenizer
 
 CAPACITY = 2048
@@ -153,7 +153,7 @@ def _packed(capacity: int, most: int, names: list[str], digest: bool):
                 if whole < len(ids):
                     waiting.append((key.as_py(), whole, ids[whole:].copy(), len(ids)))
                     held += len(ids) - whole
-                if len(rows) >= 2000:
+                if len(rows) >= 256:
                     yield batch_of()
         if kind is not None:
             flush()
@@ -181,10 +181,10 @@ def pack_documents(
     window, mark, tokens, ids = fresh(docs.select(col(key)), "window", "mark", "tokens", "token_ids")
     hashed = F.xxhash64(col(key).cast("string"), col(text))
     given = docs.select(col(key), F.pmod(hashed, F.lit(windows)).alias(window), hashed.alias(mark), col(text).cast("string").alias("text"))
-    encoded = given.mapInArrow(_encoded(path, end_id, [key, window, mark, tokens, ids]), f"`{key}` {kind}, `{window}` long, `{mark}` long, `{tokens}` long, `{ids}` binary")
+    encoded = given.mapInArrow(trimmed(_encoded(path, end_id, [key, window, mark, tokens, ids])), f"`{key}` {kind}, `{window}` long, `{mark}` long, `{tokens}` long, `{ids}` binary")
     left = col(tokens) % capacity
     dealt = encoded.repartition(col(window)).sortWithinPartitions(col(window), left.desc(), col(mark))
-    return dealt.mapInArrow(_packed(capacity, 2 * window_bytes, names, digest), f"`{key}` {kind}, {DDL}")
+    return dealt.mapInArrow(trimmed(_packed(capacity, 2 * window_bytes, names, digest)), f"`{key}` {kind}, {DDL}")
 
 
 def id_digest(column: str = "ids"):
