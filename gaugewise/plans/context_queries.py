@@ -55,8 +55,8 @@ def _local(s, d) -> DataFrame:
     return context.local_peers(_stations(s, d), LOCAL)
 
 
-def _evidence(s, d) -> DataFrame:
-    """The evidence of all ten checks; spikes are not held against events."""
+def _evidence(s, d, changes: bool = True) -> DataFrame:
+    """The evidence of all ten checks; spikes are not held against events. Without ``changes`` shifts and epochs are left out."""
     flow = prepared(fx.nation(s, d))
     annual, events = layer2.annual_signatures(flow), layer2.high_flow_events(flow)
     day = F.datediff("peak_date", F.lit("1970-01-01").cast("date"))
@@ -69,6 +69,8 @@ def _evidence(s, d) -> DataFrame:
         layer2.seasonality_profile(layer2.monthly_profile(flow)).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "median"))), lambda x: x["median"]).alias("profile")),
         layer2.representative_event(events).select(*KEYS, "curve", "peak_flow", "time_to_peak_days", "event_duration_days"),
     ]
+    if not changes:
+        return context.with_availability(reduce(lambda a, b: a.join(b, KEYS, "left"), parts).withColumns({"shift_days": F.lit(None).cast("array<int>"), "epoch_behaviour": F.lit(None).cast("string")}))
     shift = F.datediff("boundary_date", F.lit("1970-01-01").cast("date"))
     parts += [
         step_shift.tiered_boundaries(flow, STEPS).where("tier <> 'Tier 3'").groupBy(*KEYS).agg(F.array_sort(F.collect_list(shift)).alias("shift_days")),
@@ -86,7 +88,7 @@ def _similar(s, d, analogue: bool = False, found: DataFrame | None = None) -> Da
 
 
 def _pick(*names: str):
-    return lambda s, d: tidy(_similar(s, d).where(F.col("check").isin(*names)).drop("pair_status", "reason"))
+    return lambda s, d: tidy(_similar(s, d, found=_evidence(s, d, False)).where(F.col("check").isin(*names)).drop("pair_status", "reason"))
 
 
 def _combined(s, d) -> DataFrame:
@@ -109,7 +111,7 @@ QUERIES = {
     "peers_local": lambda s, d: tidy(_local(s, d).select("station_id", "peer_station_id", "distance_km", "catchment_area_ratio", "relationship_rank", "peer_rank", "ready")),
     "peers_analogue": lambda s, d: tidy(context.analogue_peers(_stations(s, d), _local(s, d), {"require_same_climate": False}).select("station_id", "peer_station_id", "distance_km", "catchment_area_ratio", "relationship_rank", "peer_rank", "ready")),
     "date_match": _pick("peak_timing"),
-    "l3_peak_timing": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'peak_timing'"))),
+    "l3_peak_timing": lambda s, d: tidy(context.finished_checks(_similar(s, d, found=_evidence(s, d, False)).where("check = 'peak_timing'"))),
     "l3_shift": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'step_shift_timing'"))),
     "l3_epoch": lambda s, d: tidy(context.finished_checks(_similar(s, d).where("check = 'epoch_behaviour'"))),
     "l3_pair_checks": lambda s, d: tidy(_similar(s, d)),
