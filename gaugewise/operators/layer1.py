@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.numeric import half_even, median, quantile, ratio
-from gaugewise.operators.primitives import KEYS, P, ROWS, SO_FAR, daily_step, missing_intervals, missingness, percent, valid_record
+from gaugewise.operators.primitives import KEYS, P, ROWS, SO_FAR, daily_step, missing_intervals, missingness, out_of_order, per_series, percent, valid_record
 
 
 def missing_values(flow: DataFrame) -> DataFrame:
@@ -67,8 +67,7 @@ def duplicate_timestamps(flow: DataFrame) -> DataFrame:
 
 def _between_valid(flow: DataFrame) -> DataFrame:
     given = F.when(F.col("value").isNotNull(), F.col("ts"))
-    bounded = flow.withColumns({"lo": F.min(given).over(P()), "hi": F.max(given).over(P())})
-    return bounded.where("ts between lo and hi").drop("lo", "hi")
+    return per_series(flow, lo=F.min(given), hi=F.max(given)).where("ts between lo and hi").drop("lo", "hi")
 
 
 def irregular_intervals(flow: DataFrame) -> DataFrame:
@@ -84,14 +83,13 @@ def timestep_consistency(flow: DataFrame) -> DataFrame:
     Rows without a source position have no order to break.
     """
     inside = _between_valid(flow)
-    back = F.col("src_pos").isNotNull() & (F.col("ts") < F.lag("ts").over(P().orderBy("src_pos")))
-    order = inside.withColumn("back", back).groupBy(*KEYS).agg(F.count_if("back").alias("out_of_order_rows"), F.count_distinct("ts").alias("times"))
+    times = inside.groupBy(*KEYS).agg(F.count_distinct("ts").alias("times"))
     odd = irregular_intervals(flow).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("irregular"))
-    irregular = F.coalesce("irregular", F.lit(0).cast("long"))
-    value = irregular + (F.col("out_of_order_rows") > 0).cast("long")
+    irregular, disorder = (F.coalesce(c, F.lit(0).cast("long")) for c in ("irregular", "out_of_order_rows"))
+    value = irregular + (disorder > 0).cast("long")
     done = F.col("times") >= 2
-    return order.join(odd, KEYS, "left").select(
-        *KEYS, F.when(done, value).alias("value"), irregular.alias("irregular_spacing_count"), "out_of_order_rows", F.when(done, value > 0).alias("flag"), done.alias("assessed")
+    return times.join(out_of_order(inside), KEYS, "left").join(odd, KEYS, "left").select(
+        *KEYS, F.when(done, value).alias("value"), irregular.alias("irregular_spacing_count"), disorder.alias("out_of_order_rows"), F.when(done, value > 0).alias("flag"), done.alias("assessed")
     )
 
 

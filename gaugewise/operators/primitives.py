@@ -66,6 +66,25 @@ def positioned(flow: DataFrame) -> DataFrame:
     return out.withColumns({"first_pos": F.min(given).over(P()), "last_pos": F.max(given).over(P())})
 
 
+def per_series(flow: DataFrame, **values: Column) -> DataFrame:
+    """Adds aggregates of each series, handed to all tasks: unlike a window over a series, no task takes in all of its rows."""
+    some = flow.groupBy(*KEYS).agg(*[v.alias(n) for n, v in values.items()]).withColumnsRenamed({k: f"{k}_of" for k in KEYS})
+    same = F.col("station_id").eqNullSafe(F.col("station_id_of")) & F.col("series_slot").eqNullSafe(F.col("series_slot_of"))
+    return flow.join(F.broadcast(some), same).drop(*[f"{k}_of" for k in KEYS])
+
+
+def out_of_order(flow: DataFrame) -> DataFrame:
+    """Of each series the rows earlier than the row before by source position; rows without one play no part.
+
+    Stretches of STRETCH positions are sorted by themselves, then each one's first row meets the last of the stretch before.
+    """
+    placed = flow.where("src_pos is not null").withColumn("stretch", F.floor(F.col("src_pos") / STRETCH))
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy(*KEYS, "stretch").orderBy("src_pos"))
+    ends = placed.withColumn("back", back).groupBy(*KEYS, "stretch").agg(F.count_if("back").alias("n"), F.min_by("ts", "src_pos").alias("first"), F.max_by("ts", "src_pos").alias("last"))
+    met = F.col("first") < F.lag("last").over(P().orderBy("stretch"))
+    return ends.withColumn("met", met).groupBy(*KEYS).agg((F.sum("n") + F.count_if("met")).alias("out_of_order_rows"))
+
+
 def valid_record(flow: DataFrame) -> DataFrame:
     """Rows from the first to the last non-null value; nulls between them stay."""
     return positioned(flow).where("pos between first_pos and last_pos").drop("first_pos", "last_pos")
@@ -115,7 +134,12 @@ def monthly_statistics(flow: DataFrame, minimum_valid_days: int = 10) -> DataFra
     Values of one day collapse to their median; months of fewer than ``minimum_valid_days`` days have nulls.
     """
     day = F.col("ts").cast("date")
-    daily = valid_record(flow).groupBy(*KEYS, day.alias("d")).agg(median(F.col("value")).alias("v"))
+    # the days of valid_record, where undated rows come first, without a position for every row
+    given = F.col("value").isNotNull()
+    inside = per_series(flow, lo=F.min(F.when(given, F.col("ts"))), hi=F.max(F.when(given, F.col("ts"))), undated=F.bool_or(given & F.col("ts").isNull()))
+    inside = inside.where((F.col("undated") | (F.col("ts") >= F.col("lo"))) & (F.col("ts") <= F.col("hi")))
+    # equal values of a day are counted before they meet
+    daily = inside.groupBy(*KEYS, day.alias("d"), "value").agg(F.count(F.lit(1)).alias("n")).groupBy(*KEYS, "d").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("v"))
     month = F.trunc("d", "month")
     clipped = F.when(F.col("v").isNotNull(), F.greatest("v", F.lit(0.0)))
     stats = daily.groupBy(*KEYS, month.alias("month")).agg(F.count("v").alias("valid_days"), F.percentile(clipped, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)])).alias("q"))

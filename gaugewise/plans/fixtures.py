@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from gaugewise.operators.primitives import flow_of
 
+#: Order keys whose rows of one station are numbered by one task.
+ORDERS = 4096
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +28,13 @@ def _shipped(spark: SparkSession, sf_dir: str, region: bool) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows: several a day, source order explicit."""
-    order = Window.partitionBy("station_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    out = _shipped(spark, sf_dir, True).withColumn("place", F.row_number().over(order))
+    """Raw rows: several a day, source order explicit: positions rise in it and leave gaps.
+
+    A station's rows are numbered in stretches of ORDERS order keys, with room for 2**28 rows each, so that no task sorts them all.
+    """
+    stretch = F.floor(F.col("l_orderkey") / ORDERS)
+    order = Window.partitionBy("station_id", "stretch").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    out = _shipped(spark, sf_dir, True).withColumn("stretch", stretch).withColumn("place", F.col("stretch") * (1 << 28) + F.row_number().over(order))
     return flow_of(out.select("station_id", F.col("d").alias("ts"), F.col("l_quantity").cast("double").alias("value"), "place"), order="place")
 
 
