@@ -15,7 +15,7 @@ from gaugewise.config import LAYER2, overlay
 from gaugewise.functions.numeric import correlation, cosine, median, month_distance, quantile, ratio, resampled
 from gaugewise.functions.shared import written
 from gaugewise.operators import layer2
-from gaugewise.operators.primitives import KEYS, prepared
+from gaugewise.operators.primitives import KEYS, out_of_order, prepared
 
 ANNUAL_METRICS = [
     "mean_flow", "median_flow", "minimum_flow", "maximum_flow", "flashiness_index", "baseflow_index", "seasonality_index", "lag1_autocorrelation", "wettest_month", "driest_month",
@@ -29,10 +29,9 @@ def unfit(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """Stations that cannot be compared: a side with repeated times, out of order, or without values."""
 
     def side(flow: DataFrame, name: str) -> DataFrame:
-        back = F.col("ts") < F.lag("ts").over(Window.partitionBy(*KEYS).orderBy("src_pos"))
-        return flow.withColumn("back", F.when(F.col("src_pos").isNotNull(), back)).groupBy("station_id").agg(
-            (F.count(F.lit(1)) > F.count_distinct("ts")).alias("repeated"), F.coalesce(F.bool_or("back"), F.lit(False)).alias("disorder"), (F.count("value") == 0).alias("empty")
-        ).select("station_id", F.concat_ws("; ", F.when(F.col("repeated"), f"{name} has duplicate timestamps"), F.when(F.col("disorder"), f"{name} is not sorted"), F.when(F.col("empty"), f"{name} has no valid values")).alias("reason"))
+        disorder = out_of_order(flow).groupBy(F.col("station_id").alias("of")).agg(F.bool_or(F.col("out_of_order_rows") > 0).alias("disorder"))
+        counts = flow.groupBy("station_id").agg((F.count(F.lit(1)) > F.count_distinct("ts")).alias("repeated"), (F.count("value") == 0).alias("empty"))
+        return counts.join(disorder, F.col("station_id").eqNullSafe(F.col("of")), "left").select("station_id", F.concat_ws("; ", F.when(F.col("repeated"), f"{name} has duplicate timestamps"), F.when(F.col("disorder"), f"{name} is not sorted"), F.when(F.col("empty"), f"{name} has no valid values")).alias("reason"))
 
     both = side(reference, "reference").unionByName(side(candidate, "candidate")).where("reason <> ''")
     return both.groupBy("station_id").agg(F.concat_ws("; ", F.sort_array(F.collect_list("reason"))).alias("reason"))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from gaugewise.operators import layer1, primitives
+from gaugewise.operators import comparison, layer1, primitives
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def whole_series_windows(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["l1_timestep"])
+@pytest.mark.parametrize("name", ["l1_timestep", "c_independent"])
 def test_no_window_over_the_raw_rows_of_a_series(spark, name):
     assert whole_series_windows(entry.queries()[name](spark, SF_DIR)) == []
 
@@ -48,6 +48,8 @@ def test_disorder_across_stretches(flow_from, monkeypatch, one, stretch):
     inside = [d for d in days if min(given) <= d <= max(given)]
     back = sum(b < a for a, b in zip(inside, inside[1:], strict=False))
     assert back > 5 and one(layer1.timestep_consistency(flow))["out_of_order_rows"] == back
+    one_back = flow_from({"a": (pd.to_datetime(["2000-01-01", "2000-01-02", "2000-01-03", "2000-01-05", "2000-01-04"]), [1.0] * 5), "b": (pd.date_range("2000-01-01", periods=9), [1.0] * 9)})
+    assert [tuple(r) for r in comparison.unfit(one_back, one_back.where("station_id = 'b'")).collect()] == [("a", "reference is not sorted")]
 
 
 def test_positions_of_raw_rows_rise_in_source_order(spark, monkeypatch):
