@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gaugewise.functions.numeric import median, quantile, ratio
+from gaugewise.functions.numeric import quantile, ratio
 from gaugewise.functions.shared import once
 
 KEYS = ["station_id", "series_slot"]
+#: Source positions of a series that one task sorts.
+STRETCH = 1 << 16
 
 
 def P() -> WindowSpec:

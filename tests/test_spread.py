@@ -25,7 +25,7 @@ def whole_series_windows(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["l1_timestep", "c_independent"])
+@pytest.mark.parametrize("name", ["l1_timestep", "c_independent", "monthly_stats"])
 def test_no_window_over_the_raw_rows_of_a_series(spark, name):
     assert whole_series_windows(entry.queries()[name](spark, SF_DIR)) == []
 
@@ -66,3 +66,12 @@ def test_positions_of_raw_rows_rise_in_source_order(spark, monkeypatch):
     whole = got()
     monkeypatch.setattr(fixtures, "ORDERS", 7)
     assert got() == whole
+
+
+def test_months_of_a_record_with_repeated_days_and_undated_values(flow_from, spark):
+    rows = [("a", "2000-01-31", None), ("a", "2000-02-01", None), ("a", "2000-02-01", 3.0), ("a", "2000-02-01", 3.0), ("a", "2000-02-01", 9.0), ("a", "2000-04-01", 1.0), ("a", "2000-05-01", None)]
+    flow = flow_from(rows)
+    got = {r.month.month: (r.valid_days, r.median) for r in primitives.monthly_statistics(flow, 1).collect()}
+    assert got == {2: (1, 3.0), 3: (0, None), 4: (1, 1.0)}
+    undated = flow.unionByName(spark.createDataFrame([("a", "series1", None, 1.0, 9)], flow.schema))  # stands first, so the record begins there
+    assert sorted(r.month.month for r in primitives.monthly_statistics(undated, 1).collect()) == [1, 2, 3, 4]
