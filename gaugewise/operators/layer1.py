@@ -47,10 +47,11 @@ def negative_discharge(flow: DataFrame, tolerance: float = 0.001) -> DataFrame:
 
 def duplicate_groups(flow: DataFrame) -> DataFrame:
     """Times that occur more than once in the source, their values in source order, and whether they differ (a null is a value)."""
-    kinds = F.count_distinct("value") + F.max(F.col("value").isNull().cast("int"))
+    n, given = F.count(F.lit(1)), F.count("value")
+    differ = F.coalesce(F.min("value") < F.max("value"), F.lit(False)) | ((given > 0) & (given < n))
     return (
         flow.groupBy(*KEYS, "ts")
-        .agg(F.count(F.lit(1)).alias("occurrences"), F.transform(F.array_sort(F.collect_list(F.struct("src_pos", "value"))), lambda s: s["value"]).alias("values"), (kinds > 1).alias("conflicting"))
+        .agg(n.alias("occurrences"), F.transform(F.array_sort(F.collect_list(F.struct("src_pos", "value"))), lambda s: s["value"]).alias("values"), differ.alias("conflicting"))
         .where("occurrences > 1")
     )
 

@@ -25,7 +25,7 @@ def whole_series_windows(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["l1_timestep", "c_independent", "monthly_stats"])
+@pytest.mark.parametrize("name", ["l1_timestep", "c_independent", "monthly_stats", "l1_duplicate_groups"])
 def test_no_window_over_the_raw_rows_of_a_series(spark, name):
     assert whole_series_windows(entry.queries()[name](spark, SF_DIR)) == []
 
@@ -75,3 +75,10 @@ def test_months_of_a_record_with_repeated_days_and_undated_values(flow_from, spa
     assert got == {2: (1, 3.0), 3: (0, None), 4: (1, 1.0)}
     undated = flow.unionByName(spark.createDataFrame([("a", "series1", None, 1.0, 9)], flow.schema))  # stands first, so the record begins there
     assert sorted(r.month.month for r in primitives.monthly_statistics(undated, 1).collect()) == [1, 2, 3, 4]
+
+
+def test_conflicts_of_repeated_times(flow_from):
+    days = ["2000-01-01"] * 2 + ["2000-01-02"] * 2 + ["2000-01-03"] * 2 + ["2000-01-04"] * 2 + ["2000-01-05"] * 2
+    values = [1, 2, 1, 1, None, None, None, 1, 0.0, -0.0]
+    got = layer1.duplicate_groups(flow_from([("a", d, v) for d, v in zip(days, values, strict=True)])).orderBy("ts").collect()
+    assert [r.conflicting for r in got] == [True, False, False, True, False]
