@@ -307,8 +307,8 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node joins the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its smaller neighbours join the least of them
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours join the least of them; edges that repeat go at its end
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         old, before = edges, now
@@ -365,7 +365,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
         new = written(verify(pairs, texts, k, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
         drop_written(pairs)
         if not new.isEmpty():
-            links = links.unionByName(new).distinct()
+            links = links.unionByName(new)  # of rows that were in different classes: none of them was a link
             classes = components(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(new))
 
 
@@ -385,6 +385,7 @@ def near_duplicates(
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = written(copies, "copies")
     stand = signed.join(copies.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    stand = written(stand, "stand")  # every round over crowded keys reads it
     pairs, crowded = candidate_pairs(stand, bands, rows, near, least)
     texts = given.where("text is not null")
     links = written(verify(pairs, texts, k, least).select("a", "b").distinct(), "verified")

@@ -160,3 +160,14 @@ def test_paths_are_equal(docs_from, monkeypatch):
     monkeypatch.setattr(n, "HOT_COPIES", 3)
     monkeypatch.setattr(n, "FEW_IDS", 0)
     assert cold == sorted(map(tuple, n.near_duplicates(docs_from(rows)).collect())) and {c for _, c in cold} == {*range(7), *range(100, 120), 200, 300}
+
+
+def test_a_task_leaves_little_to_collect():
+    """Collections at the ends of tasks pass over what the worker keeps for good."""
+    import gc
+
+    from gaugewise.llm._common import trimmed
+
+    gc.unfreeze()
+    assert list(trimmed(lambda batches: batches)(iter([1, 2]))) == [1, 2] and gc.get_freeze_count() > 0
+    gc.unfreeze()
