@@ -13,8 +13,10 @@
 5. Classes are the connected components of verified pairs, by large-star and small-star rounds.
 6. A larger key whose rows fall in more than one class goes on in rounds: its row of most links and a
    share of its rows that grows ``GROWTH``-fold, up to all, are representatives, and every row of
-   another class meets them. Sizes and parity bits of the labelled k-mers refute most pairs without
-   loss, the others are verified. So in the end each pair of a key is in one class, or is refuted.
+   another class meets them. Rows of the key's home, the class that was its largest at first, are none:
+   two of them are in one class, and every other row meets them in its own turn. Sizes and parity bits
+   of the labelled k-mers refute most pairs without loss, the others are verified. So in the end each
+   pair of a key is in one class, or is refuted.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ K, ELL, BANDS, ROWS, NEAR, SIMILARITY = 5, 2, 24, 2, 2, 0.8
 GROWTH = 16
 #: Tasks that the rows of one key, or the pairs of one representative, are dealt over.
 SALTS = 16
-#: Rows of one key for each of these tasks, at least.
-SALT_ROWS = 64
+#: Pairs of one key in a round for each of these tasks, at least: some tenths of a second.
+SALT_PAIRS = 1 << 18
 #: A text of this many copies or more, and of a share of all rows above 1 / HOT_TEXTS, is handed to all tasks.
 HOT_COPIES, HOT_TEXTS = 1000, 100_000
 #: Ids of texts to verify that are handed to all tasks, 16 MB; for more, texts are joined as they are.
@@ -319,6 +321,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
 
 
+def homes(told: DataFrame) -> DataFrame:
+    """band, key, low and high class, n rows, hub (row of most links), home (class of the row anchor) and its n_home rows.
+
+    ``told``: band, key, id, class_id, n_links, anchor. Where anchor is null, a row of the key's largest class becomes it;
+    it stays, so that rows which have come home do not leave again.
+    """
+    by_class = told.groupBy("band", "key", "class_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("n_links", "id")).alias("most"), F.min("id").alias("one"),
+        F.max("anchor").alias("anchor"), F.max(F.coalesce(F.col("id") == F.col("anchor"), F.lit(False))).alias("kept"),
+    )
+    keys = by_class.groupBy("band", "key").agg(
+        F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.sum("n").alias("n"), F.max("most")["id"].alias("hub"),
+        F.max("anchor").alias("anchor"), F.max(F.struct("kept", "n", "class_id", "one")).alias("home"),
+    )
+    return keys.select("band", "key", "low", "high", "n", "hub", F.coalesce("anchor", "home.one").alias("anchor"), F.col("home.class_id").alias("home"), F.col("home.n").alias("n_home"))
+
+
 def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``links`` (a, b) and ``classes`` (id, class_id) with what ``crowded`` (band, key, id) adds: no two rows of one
     key that are in different classes are alike. ``signed``: id, size, bits."""
@@ -326,38 +345,42 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     # by id, with its keys, at most as many as bands: classes join ids, not keys
-    crowded = written(crowded.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), "crowded")
+    first = F.struct("band", "key", F.lit(None).cast("long").alias("anchor"))
+    crowded = written(crowded.groupBy("id").agg(F.collect_set(first).alias("keys")), "crowded")
     reps, met_rows = 1, crowded
     while True:
         counted = _ends(links).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.inline("keys"))
         told = written(told, "told")
         drop_written(met_rows)
-        keys = told.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max(F.struct("n_links", "id"))["id"].alias("hub"), F.count(F.lit(1)).alias("n"))
-        # all rows of a key of up to ``reps`` rows have been representatives
-        keys = keys.where("low < high").where(F.lit(reps == 1) | (F.col("n") > reps)).select("band", "key", "hub", "n")
-        keys = written(keys, "keys")
+        keys = homes(told)
+        # all rows of a key of up to ``reps`` rows have been representatives, those at home apart
+        keys = keys.where("low < high").where(F.lit(reps == 1) | (F.col("n") > reps))
+        old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
+        meet = (F.least(F.col("n") - F.col("n_home"), F.lit(reps)) + 1) * F.col("n")
+        tasks = F.least(F.lit(SALTS), F.ceil(meet / SALT_PAIRS)).alias("tasks")  # of a key: small ones need one
+        keys = written(keys.select("band", "key", "hub", "n", "home", "anchor", tasks), "keys")
         if keys.isEmpty():
             return links, classes
         dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        rows = told.withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
-        salts = F.least(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS))  # of a key: small ones need one task
-        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "size", "bits", F.pmod("salt", salts).alias("salt"), order.alias("place"), share.alias("share")), "rows")
+        rows = told.drop("anchor").withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
+        rows = rows.withColumn("salt", F.pmod("salt", "tasks")).withColumn("at_home", F.col("class_id") == F.col("home"))
+        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "anchor", "at_home", "tasks", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
         drop_written(told, keys)
-        crowded, met_rows = rows.groupBy("id").agg(F.collect_set(F.struct("band", "key")).alias("keys")), rows  # a key that is settled stays so
-        old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
+        crowded, met_rows = rows.groupBy("id").agg(F.collect_set(F.struct("band", "key", "anchor")).alias("keys")), rows  # a key that is settled stays so
         turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
-        chosen = rows.where(turn | (F.col("id") == F.col("hub"))).select(
+        chosen = rows.where((turn & ~F.col("at_home")) | (F.col("id") == F.col("hub"))).select(
             "band", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "class_id", "size", "bits", "place")], (F.col("id") == F.col("hub")).alias("hub_"),
-            F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"),
         )
         total = F.col("size") + F.col("size_")
         apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(PARITY)), F.lit(0))
         able = (
             (F.col("rows.band") == F.col("chosen.band")) & (F.col("rows.key") == F.col("chosen.key")) & (F.col("rows.salt") == F.col("chosen.salt"))
             & (F.col("class_id") != F.col("class_id_"))
-            & (F.col("hub_") | (F.struct("place", "id") > F.struct("place_", "id_")))  # other pairs have met, or will
+            # other pairs have met, or will: a home only grows, so who waits for a row's turn at home is met from outside
+            & (F.col("hub_") | F.col("at_home") | (F.struct("place", "id") > F.struct("place_", "id_")))
             & (F.least("size", "size_") >= least * F.greatest("size", "size_"))
             & (apart <= total * ((1 - least) / (1 + least)) + 1e-6)
         )

@@ -171,3 +171,40 @@ def test_a_task_leaves_little_to_collect():
     gc.unfreeze()
     assert list(trimmed(lambda batches: batches)(iter([1, 2]))) == [1, 2] and gc.get_freeze_count() > 0
     gc.unfreeze()
+
+
+def test_rows_at_home_are_no_representatives(docs_from, monkeypatch):
+    """Of a family of 600 only the rows outside its largest class are dealt over tasks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    alias, dealt = DataFrame.alias, []
+
+    def counted(df, name):
+        if name == "chosen":
+            dealt.append(df.count())
+        return alias(df, name)
+
+    monkeypatch.setattr(DataFrame, "alias", counted)
+    rng = random.Random(10)
+    base = text(rng, 150)
+    rows = [(i, edited(rng, base, 1) if i % 8 else " ".join(f"f{i}x{j}" if j % 30 == 7 else w for j, w in enumerate(base.split()))) for i in range(600)]
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(docs_from(rows)).collect()}
+    assert {got[i] for i, _ in rows if i % 8} == {1} and all(got[i] == i for i in range(0, 600, 8))
+    assert 0 < sum(dealt) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("pairs", [4, 1 << 18])
+def test_every_pair_of_a_key_is_settled(spark, monkeypatch, pairs):
+    """A class that outgrows its key's home, in several rounds and over several tasks."""
+    monkeypatch.setattr(n, "GROWTH", 2)
+    monkeypatch.setattr(n, "SALT_PAIRS", pairs)
+    rng = random.Random(11)
+    words, other = text(rng, 200).split(), text(rng, 100)
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(16)]  # a chain: alike to the next two alone
+    rows += [(100 + i, edited(rng, other, 1)) for i in range(3)] + [(200 + i, text(rng, 100)) for i in range(3)]
+    signed = [(i, len(k), n.parity(k).tolist()) for i, k in ((i, n.labelled_kmers(t)) for i, t in rows)]
+    links = spark.createDataFrame([(100, 101), (101, 102)], "a long, b long")
+    crowded = spark.createDataFrame([(band, 7, i) for i, _ in rows for band in range(2)], "band int, key long, id long")
+    got = n.crowded_links(crowded, links, n.components(links), spark.createDataFrame(signed, "id long, size int, bits array<long>"), spark.createDataFrame(rows, "id long, text string"))[1]
+    known = {r.id: r.class_id for r in got.collect()}
+    assert {i: known.get(i, i) for i, _ in rows} == classes(rows)
