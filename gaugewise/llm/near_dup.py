@@ -10,7 +10,8 @@
    is every pair of a key of up to ``NEAR`` + 1 rows; a range partitioning spreads larger keys over tasks.
 4. Pairs are verified by aligning the sequences of labelled k-mers in the band of diagonals in which
    a pair of the required similarity must lie: matched / (all - matched) >= ``SIMILARITY``.
-5. Classes are the connected components of verified pairs, by large-star and small-star rounds.
+5. Classes are the connected components of verified pairs, by large-star and small-star rounds; between
+   them each task turns the links it holds into stars, so that few rounds are left.
 6. A larger key whose rows fall in more than one class goes on in rounds: its row of most links and a
    share of its rows that grows ``GROWTH``-fold, up to all, are representatives, and every row of
    another class meets them. Rows of the key's home, the class that was its largest at first, are none:
@@ -45,6 +46,8 @@ SALT_PAIRS = 1 << 18
 HOT_COPIES, HOT_TEXTS = 1000, 100_000
 #: Ids of texts to verify that are handed to all tasks, 16 MB; for more, texts are joined as they are.
 FEW_IDS = 1 << 20
+#: Links of a task whose components are found at once.
+STRETCH = 1 << 18
 #: Words of 64 parity bits of a row's labelled k-mers.
 PARITY = 16
 _rng = np.random.default_rng(20240229)
@@ -234,7 +237,7 @@ def _neighbours(near: int, least: float):
 
 def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, near: int = NEAR, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of ``signed`` (id, size, sketch) that stand close in the order of some band; and the
-    rows (band, key, id) of the keys of more than ``near`` + 1 rows, with few of other keys."""
+    rows (band, key, id) of the keys of more than ``near`` + 1 rows, with few of other keys; some repeat."""
     spark = signed.sparkSession
     banded = signed.where("sketch is not null").select("id", "size", "sketch").mapInArrow(
         trimmed(_banded(bands, rows)), "band int, key long, first int, second int, id long, size int"
@@ -257,7 +260,7 @@ def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, nea
         )
     for more in joined:
         pairs = pairs.unionByName(more)
-    return written(pairs.where("a <> b").distinct(), "pairs"), found.where("kind = 3").select("band", "key", F.col("a").alias("id")).distinct()
+    return written(pairs.where("a <> b").distinct(), "pairs"), found.where("kind = 3").select("band", "key", F.col("a").alias("id"))
 
 
 def _verified(k: int, least: float):
@@ -295,30 +298,67 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILA
     return both.select("a", "b", "x", "y").mapInArrow(trimmed(_verified(k, least)), "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, class_id (the least id) for every id of ``links`` (a, b); links stay distributed in every round."""
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links u - v that is not the least one of its component, and that least one."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    joined = label != np.arange(len(ids))
+    return ids[joined], ids[label[joined]]
 
-    def told(e: DataFrame) -> tuple[DataFrame, tuple]:
-        """Edges written, and their number and sum of hashes, taken as they are written."""
-        seen = Observation()
-        out = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), "links")
-        return out, (seen.get["n"], seen.get["sum"])
 
-    edges, now = told(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while now[0]:
-        # large star: every larger neighbour of a node joins the least of its neighbourhood
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links u, v in stretches of ``STRETCH``, each as the stars of its components; no more links than there were."""
+
+    def found():
+        u, v = contracted(*(np.concatenate([x[i] for x in kept]) for i in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(u) for u, _ in kept) >= STRETCH:
+            yield found()
+            kept = []
+    if kept:
+        yield found()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """id, class_id (the least id) for every id of ``links`` (a, b) that is not the least, some more than once; links stay
+    distributed in every round."""
+
+    def told(e: DataFrame) -> DataFrame:
+        return written(e.mapInArrow(trimmed(_contracted), "u long, v long"), "links")
+
+    edges = told(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: a node and its smaller neighbours join the least of them; edges that repeat go at its end
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        old, before = edges, now
-        edges, now = told(small.select("e.u", "e.v").where("u <> v").distinct())
+        nodes = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        # done when each node is the least of its neighbourhood, or has one neighbour
+        n, left = nodes.agg(F.count(F.lit(1)), F.count_if((F.col("low") < F.col("u")) & (F.col("low") < F.col("high")))).first()
+        if not left:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
+        small = F.broadcast if n <= FEW_IDS else lambda df: df
+        # large star: every larger neighbour of a node joins the least of its neighbourhood
+        large = edges.join(small(nodes.select(F.col("u").alias("v"), F.least("u", "low").alias("m"))), "v").select("u", F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours join the least of them, with one link for each there was
+        least = small(large.groupBy("u").agg(F.min("v").alias("m")))
+        old = edges
+        edges = told(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
         drop_written(old)
-        if before == now:
-            break
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("class_id"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, class_id (the least id), once for every id of ``links`` (a, b) that is not the least."""
+    return stars(links).groupBy("id").agg(F.min("class_id").alias("class_id"))
 
 
 def homes(told: DataFrame) -> DataFrame:
@@ -340,34 +380,39 @@ def homes(told: DataFrame) -> DataFrame:
 
 def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, signed: DataFrame, texts: DataFrame, k: int = K, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``links`` (a, b) and ``classes`` (id, class_id) with what ``crowded`` (band, key, id) adds: no two rows of one
-    key that are in different classes are alike. ``signed``: id, size, bits."""
+    key that are in different classes are alike. ``signed``: id, size, bits. Links and classes may repeat."""
     order = F.xxhash64(F.col("id"), F.lit(1))
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    # by id, with its keys, at most as many as bands: classes join ids, not keys
-    first = F.struct("band", "key", F.lit(None).cast("long").alias("anchor"))
-    crowded = written(crowded.groupBy("id").agg(F.collect_set(first).alias("keys")), "crowded")
-    reps, met_rows = 1, crowded
+    reps, rows = 1, crowded.withColumn("anchor", F.lit(None).cast("long"))
     while True:
-        counted = _ends(links).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-        told = crowded.join(classes, "id", "left").join(counted, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.inline("keys"))
-        told = written(told, "told")
-        drop_written(met_rows)
+        # by id, with its keys, at most as many as bands: classes join ids, not keys
+        known = rows.select("id", F.struct("band", "key", "anchor").alias("of"), F.lit(None).cast("long").alias("class_id"), F.lit(0).alias("n_links"))
+        known = known.unionByName(classes.select("id", "class_id", F.lit(0).alias("n_links")), allowMissingColumns=True)
+        known = known.unionByName(_ends(links).withColumn("n_links", F.lit(1)), allowMissingColumns=True)
+        told = known.groupBy("id").agg(F.collect_set("of").alias("keys"), F.max("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+        told, seen = told.select("id", F.coalesce("class_id", "id").alias("class_id"), "n_links", F.inline("keys")), Observation()
+        told = written(told.observe(seen, F.count(F.lit(1)).alias("n")), "told")
+        drop_written(rows)
         keys = homes(told)
         # all rows of a key of up to ``reps`` rows have been representatives, those at home apart
         keys = keys.where("low < high").where(F.lit(reps == 1) | (F.col("n") > reps))
         old, reps = (0, GROWTH) if reps == 1 else (reps, reps * GROWTH)
         meet = (F.least(F.col("n") - F.col("n_home"), F.lit(reps)) + 1) * F.col("n")
         tasks = F.least(F.lit(SALTS), F.ceil(meet / SALT_PAIRS)).alias("tasks")  # of a key: small ones need one
-        keys = written(keys.select("band", "key", "hub", "n", "home", "anchor", tasks), "keys")
-        if keys.isEmpty():
-            return links, classes
-        dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        rows = told.drop("anchor").withColumn("salt", salt).join(dealt, ["band", "key", "salt"]).join(signed.select("id", "size", "bits"), "id")
+        keys, rows = keys.select("band", "key", "hub", "n", "home", "anchor", tasks), told.drop("anchor").withColumn("salt", salt)
+        if seen.get["n"] <= FEW_IDS:  # few rows, fewer keys
+            rows = rows.join(F.broadcast(keys), ["band", "key"])
+        else:
+            dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            rows = rows.join(dealt, ["band", "key", "salt"])
+        rows = rows.join(signed.select("id", "size", "bits"), "id")
         rows = rows.withColumn("salt", F.pmod("salt", "tasks")).withColumn("at_home", F.col("class_id") == F.col("home"))
-        rows = written(rows.select("band", "key", "id", "class_id", "hub", "n", "anchor", "at_home", "tasks", "size", "bits", "salt", order.alias("place"), share.alias("share")), "rows")
-        drop_written(told, keys)
-        crowded, met_rows = rows.groupBy("id").agg(F.collect_set(F.struct("band", "key", "anchor")).alias("keys")), rows  # a key that is settled stays so
+        rows, seen = rows.select("band", "key", "id", "class_id", "hub", "n", "anchor", "at_home", "tasks", "size", "bits", "salt", order.alias("place"), share.alias("share")), Observation()
+        rows = written(rows.observe(seen, F.count(F.lit(1)).alias("n")), "rows")
+        drop_written(told)
+        if not seen.get["n"]:  # a key that is settled stays so
+            return links, classes
         turn = (F.col("share") * F.col("n") >= old) | (F.lit(old == 0))
         turn = turn & ((F.col("share") * F.col("n") < reps) | (F.col("n") <= reps))
         chosen = rows.where((turn & ~F.col("at_home")) | (F.col("id") == F.col("hub"))).select(
@@ -384,12 +429,14 @@ def crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sign
             & (F.least("size", "size_") >= least * F.greatest("size", "size_"))
             & (apart <= total * ((1 - least) / (1 + least)) + 1e-6)
         )
-        pairs = written(rows.alias("rows").join(chosen.alias("chosen"), able).select(F.col("id_").alias("a"), F.col("id").alias("b")).distinct(), "met")
-        new = written(verify(pairs, texts, k, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "verified")
+        # each pair once; a is the row that meets others
+        pairs = rows.alias("rows").join(chosen.alias("chosen"), able).groupBy(F.least("id", "id_").alias("low"), F.greatest("id", "id_").alias("high")).agg(F.min("id_").alias("a"))
+        pairs = written(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), "met")
+        new = written(verify(pairs, texts, k, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "verified")
         drop_written(pairs)
         if not new.isEmpty():
             links = links.unionByName(new)  # of rows that were in different classes: none of them was a link
-            classes = components(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(new))
+            classes = stars(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(new))
 
 
 def near_duplicates(
@@ -411,9 +458,10 @@ def near_duplicates(
     stand = written(stand, "stand")  # every round over crowded keys reads it
     pairs, crowded = candidate_pairs(stand, bands, rows, near, least)
     texts = given.where("text is not null")
-    links = written(verify(pairs, texts, k, least).select("a", "b").distinct(), "verified")
-    links, classes = crowded_links(crowded, links, components(links), stand, texts, k, least)
-    known = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("class_id", "rep").alias("class_id"))
+    links = written(verify(pairs, texts, k, least).select("a", "b"), "verified")
+    links, classes = crowded_links(crowded, links, stars(links), stand, texts, k, least)
+    classes = classes.groupBy(F.col("id").alias("rep")).agg(F.min("class_id").alias("class_id"))
+    known = copies.join(classes, "rep", "left").select("digest", "n", F.coalesce("class_id", "rep").alias("class_id"))
     known = written(known, "classes")
     ids = signed.select("id", "digest")
     # rows of a text of many copies do not meet in one task: such texts are few, HOT_TEXTS at most

@@ -111,6 +111,42 @@ def test_components(spark):
     assert n.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contracted_stretches():
+    rng = np.random.default_rng(12)
+    u, v = rng.permutation(500)[:200], rng.permutation(500)[:200]
+    ids, least = n.contracted(u, v)
+    known = {}
+    for _ in range(200):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            known[a] = known[b] = min(known.get(a, a), known.get(b, b))
+    assert dict(zip(ids.tolist(), least.tolist(), strict=True)) == {i: c for i, c in known.items() if i != c} and len(ids) == len(set(ids.tolist()))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_take_few_tasks(spark, monkeypatch, few):
+    """A long chain that lies in four partitions, with shuffles of 40: rounds and shuffles are few."""
+    monkeypatch.setattr(n, "FEW_IDS", few)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    chain = spark.range(0, 3000, 1, 4).selectExpr("id as a", "id + 1 as b")
+
+    def tasks():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalTasks()
+
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        before = tasks()
+        got = {r.id: r.class_id for r in n.components(chain).collect()}
+        took = tasks() - before
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert got == dict.fromkeys(range(1, 3001), 0)
+    assert took < (400 if few else 600), took
+
+
 def test_edges(docs_from):
     assert n.near_duplicates(docs_from([])).count() == 0
     long = " ".join(f"l{i}" for i in range(30_000))
